@@ -169,17 +169,17 @@ def with_ciede2000(df: DataFrame, p: str, q: str, out: str) -> DataFrame:
         + F.cos(rad(c("_hb") * 3 + 6)) * 0.32 - F.cos(rad(c("_hb") * 4 - 63)) * 0.20
     )
     df = df.select(
-        "*", (F.sin(rad(c("_dh")) / 2) * F.sqrt(c("_c1") * c("_c2")) * 2).alias("_dH"), t.alias("_t"),
+        "*", (F.sin(rad(c("_dh")) / 2) * F.sqrt(c("_c1") * c("_c2")) * 2).alias("_dq"), t.alias("_t"),
         (F.pow(c("_lb") - 50, 2)).alias("_ls"), F.exp(-F.pow((c("_hb") - 275) / 25, 2)).alias("_ex"),
         (F.sqrt(F.pow("_cp", F.lit(7.0)) / (F.pow("_cp", F.lit(7.0)) + big + 1e-12)) * 2).alias("_rc"),
     )
     df = df.select(
         "*", ((L2 - L1) / (c("_ls") * 0.015 / F.sqrt(c("_ls") + 20) + 1)).alias("_x"),
-        ((c("_c2") - c("_c1")) / (c("_cp") * 0.045 + 1)).alias("_y"), (c("_dH") / (c("_cp") * c("_t") * 0.015 + 1)).alias("_z"),
+        ((c("_c2") - c("_c1")) / (c("_cp") * 0.045 + 1)).alias("_y"), (c("_dq") / (c("_cp") * c("_t") * 0.015 + 1)).alias("_z"),
         (-c("_rc") * F.sin(rad(c("_ex") * 60))).alias("_rt"),
     )
     total = c("_x") * c("_x") + c("_y") * c("_y") + c("_z") * c("_z") + c("_rt") * c("_y") * c("_z")
-    steps = ["_cb", "_g", "_a1", "_a2", "_c1", "_c2", "_h1", "_h2", "_dh", "_lb", "_cp", "_hb", "_dH", "_t", "_ls", "_ex", "_rc", "_x", "_y", "_z", "_rt"]
+    steps = ["_cb", "_g", "_a1", "_a2", "_c1", "_c2", "_h1", "_h2", "_dh", "_lb", "_cp", "_hb", "_dq", "_t", "_ls", "_ex", "_rc", "_x", "_y", "_z", "_rt"]
     return df.withColumn(out, F.sqrt(F.greatest(F.lit(0.0), total))).drop(*steps)
 
 

@@ -13,18 +13,23 @@ TAUBIN_LAMBDA, TAUBIN_MU, TAUBIN_ITERS = 0.33, -0.34, 5
 CORNER_DEG, CORNER_WINDOW, MIN_ANCHORS, MAX_MOVE, MIN_BOX = 50.0, 2, 10, 1.1, 22.0
 AXIS_TARGETS = [0.0, 45.0, 90.0, 135.0]
 
-PATH = Window.partitionBy("path_id").orderBy("seq")
-WHOLE = Window.partitionBy("path_id")
+
+def path_window():
+    return Window.partitionBy("path_id").orderBy("seq")
+
+
+def whole_path():
+    return Window.partitionBy("path_id")
 
 
 def neighbour(c: str, k: int) -> Column:
     """Value k points ahead, wrapping on closed paths and null beyond open ends."""
     if k == 0:
         return F.col(c)
-    near = F.lead(c, k).over(PATH) if k > 0 else F.lag(c, -k).over(PATH)
+    near = F.lead(c, k).over(path_window()) if k > 0 else F.lag(c, -k).over(path_window())
     # wrap: the k-th point from the other end of the path
-    full = PATH.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    n = F.count(F.lit(1)).over(WHOLE)
+    full = path_window().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    n = F.count(F.lit(1)).over(whole_path())
     ring = F.collect_list(c).over(full)
     return F.coalesce(near, F.when(F.col("closed"), F.get(ring, F.pmod(F.col("seq") + k, n).cast("int"))))
 
@@ -64,11 +69,11 @@ def dedupe_points(points: DataFrame, tol: float = 0.6) -> DataFrame:
 def merge_collinear(points: DataFrame, tol_deg: float) -> DataFrame:
     """Drop points turning less than ``tol_deg``; a path that would keep fewer than 3 is unchanged."""
     df = turn_angle(points)
-    n = F.count(F.lit(1)).over(WHOLE)
+    n = F.count(F.lit(1)).over(whole_path())
     end = ~F.col("closed") & ((F.col("seq") == 0) | (F.col("seq") == n - 1))
     keep = end | (F.col("turn") >= tol_deg) | (n < 3)
     df = df.withColumn("_keep", keep)
-    return df.withColumn("_n", F.count_if("_keep").over(WHOLE)).where(F.col("_keep") | (F.col("_n") < 3)).select(*points.columns)
+    return df.withColumn("_n", F.count_if("_keep").over(whole_path())).where(F.col("_keep") | (F.col("_n") < 3)).select(*points.columns)
 
 
 def segments(points: DataFrame) -> DataFrame:
@@ -84,11 +89,11 @@ def _chain_mean(df: DataFrame, link: Column, value: str, out: str) -> DataFrame:
     ``link`` says whether a point is tied to the next one.
     """
     df = df.withColumn("_l", F.coalesce(link, F.lit(False)))
-    df = df.withColumn("_open", ~F.coalesce(F.lag("_l").over(PATH), F.lit(False)))
-    df = df.withColumn("_g", F.sum(F.col("_open").cast("int")).over(PATH))
+    df = df.withColumn("_open", ~F.coalesce(F.lag("_l").over(path_window()), F.lit(False)))
+    df = df.withColumn("_g", F.sum(F.col("_open").cast("int")).over(path_window()))
     # a tied last point of a closed path joins the first group
-    last = F.last("_l").over(PATH.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    top = F.max("_g").over(WHOLE)
+    last = F.last("_l").over(path_window().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    top = F.max("_g").over(whole_path())
     df = df.withColumn("_g", F.when(F.col("closed") & last & (F.col("_g") == top), 1).otherwise(F.col("_g")))
     return df.withColumn(out, F.avg(value).over(Window.partitionBy("path_id", "_g"))).drop("_l", "_open", "_g")
 
@@ -125,7 +130,7 @@ def snap_diagonal(points: DataFrame, tol_deg: float) -> DataFrame:
         return F.coalesce(mx + t * ux, x), F.coalesce(my + t * uy, y)
     ax, ay = project(F.col("x"), F.col("y"))
     bx, by = project(F.col("nx"), F.col("ny"))
-    n = F.count(F.lit(1)).over(WHOLE)
+    n = F.count(F.lit(1)).over(whole_path())
     total = points.groupBy("path_id").agg(F.count(F.lit(1)).alias("_n"))
     votes = s.join(total, "path_id").select("path_id", F.explode(F.array(
         F.struct(F.col("seq").alias("seq"), ax.alias("x"), ay.alias("y")),
@@ -152,7 +157,7 @@ def corner_intersections(points: DataFrame, tol_deg: float) -> DataFrame:
     q = c("x") * c("ny") - c("y") * c("nx")
     ix, iy = (p * (c("x") - c("nx")) - (c("px") - c("x")) * q) / den, (p * (c("y") - c("ny")) - (c("py") - c("y")) * q) / den
     reach = F.greatest(F.hypot(c("x") - c("px"), c("y") - c("py")), F.hypot(c("nx") - c("x"), c("ny") - c("y")))
-    n = F.count(F.lit(1)).over(WHOLE)
+    n = F.count(F.lit(1)).over(whole_path())
     ok = F.coalesce((n >= 4) & axis(a1) & axis(a2) & (F.abs(den) >= 1e-9) & (F.hypot(ix - c("x"), iy - c("y")) < reach), F.lit(False))
     return df.select("path_id", "seq", F.when(ok, ix).otherwise(c("x")).alias("x"), F.when(ok, iy).otherwise(c("y")).alias("y"), "closed")
 
@@ -193,19 +198,19 @@ def taubin_smooth(points: DataFrame, iters: int = TAUBIN_ITERS) -> DataFrame:
 
     All passes use the same partitioning, so the points are shuffled once.
     """
-    n = F.count(F.lit(1)).over(WHOLE)
-    box = F.least(F.max("x").over(WHOLE) - F.min("x").over(WHOLE), F.max("y").over(WHOLE) - F.min("y").over(WHOLE))
+    n = F.count(F.lit(1)).over(whole_path())
+    box = F.least(F.max("x").over(whole_path()) - F.min("x").over(whole_path()), F.max("y").over(whole_path()) - F.min("y").over(whole_path()))
     df = turn_angle(points, CORNER_WINDOW).withColumn("_ok", (n >= MIN_ANCHORS) & (box >= MIN_BOX)).withColumn("_n", n)
     end = ~F.col("closed") & ((F.col("seq") == 0) | (F.col("seq") == F.col("_n") - 1))
     df = df.select(*points.columns, (F.col("_ok") & ~end & (F.col("turn") <= CORNER_DEG)).alias("_move"), F.col("x").alias("_x"), F.col("y").alias("_y"), "_n")
     # ends of a closed path see each other through first/last values of the ordered path
-    full = PATH.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    full = path_window().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     for _ in range(iters):
         for factor in (TAUBIN_LAMBDA, TAUBIN_MU):
             cols = []
             for v in ("_x", "_y"):
-                back = F.coalesce(F.lag(v).over(PATH), F.when(F.col("closed"), F.last(v).over(full)), F.col(v))
-                ahead = F.coalesce(F.lead(v).over(PATH), F.when(F.col("closed"), F.first(v).over(full)), F.col(v))
+                back = F.coalesce(F.lag(v).over(path_window()), F.when(F.col("closed"), F.last(v).over(full)), F.col(v))
+                ahead = F.coalesce(F.lead(v).over(path_window()), F.when(F.col("closed"), F.first(v).over(full)), F.col(v))
                 cols.append(F.when(F.col("_move"), F.col(v) + ((back + ahead) * 0.5 - F.col(v)) * factor).otherwise(F.col(v)).alias(v))
             df = df.select(*points.columns, "_move", "_n", *cols)
     dx, dy = F.col("_x") - F.col("x"), F.col("_y") - F.col("y")

@@ -237,7 +237,7 @@ def region_stats(rp: DataFrame, label: str = "label", min_area: int = 1) -> Data
 def region_adjacency(rp: DataFrame, ids: str = "region", min_shared: int = 6) -> DataFrame:
     """(image_id, a, b, boundary_length) of 4-adjacent id pairs, a < b."""
     df = st.banded(rp.select(IMG, "x", "y", F.col(ids).alias("_id")), 1)
-    df = st.core(df.withColumn("_n", F.array(st.at("_id", st.ROW, 1), st.at("_id", st.COL, 1))))
+    df = st.core(df.withColumn("_n", F.array(st.at("_id", st.row_window(), 1), st.at("_id", st.col_window(), 1))))
     pairs = df.select(IMG, "_id", F.explode("_n").alias("n")).where(F.col("n") != F.col("_id"))
     g = pairs.groupBy(IMG, F.least("_id", "n").alias("a"), F.greatest("_id", "n").alias("b")).agg(F.count(F.lit(1)).alias("boundary_length"))
     return g.where(F.col("boundary_length") >= min_shared)
@@ -246,8 +246,8 @@ def region_adjacency(rp: DataFrame, ids: str = "region", min_shared: int = 6) ->
 def junctions(rp: DataFrame, ids: str = "region", cell: int = 8) -> DataFrame:
     """2x2 windows with three or more regions, the first per cell in scan order."""
     df = st.banded(rp.select(IMG, "x", "y", F.col(ids).alias("_id")), 1)
-    df = df.withColumn("_r", st.at("_id", st.ROW, 1))
-    df = st.core(df.withColumn("_d", st.at("_id", st.COL, 1)).withColumn("_dr", st.at("_r", st.COL, 1)))
+    df = df.withColumn("_r", st.at("_id", st.row_window(), 1))
+    df = st.core(df.withColumn("_d", st.at("_id", st.col_window(), 1)).withColumn("_dr", st.at("_r", st.col_window(), 1)))
     df = df.where(F.col("_r").isNotNull() & F.col("_d").isNotNull() & F.col("_dr").isNotNull())
     df = df.withColumn("incident", F.array_sort(F.array_distinct(F.array("_id", "_r", "_d", "_dr")))).where(F.size("incident") >= 3)
     first = F.min_by(F.struct("x", "y", "incident"), F.struct("y", "x"))
@@ -447,12 +447,12 @@ def film_evidence(px: DataFrame, centers: DataFrame, radius: float = 30.0) -> Da
     df = st.banded(px.select(IMG, "x", "y", "r", "g", "b").join(centers, IMG).withColumn("n", near).select(IMG, "x", "y", "n"), 1)
     def around(c: str, w) -> list[Column]:
         return [st.at(c, w, -1), st.at(c, w, 1)]
-    df = df.select("*", *[c.alias(f"_r{i}") for i, c in enumerate(around("n", st.ROW))])
+    df = df.select("*", *[c.alias(f"_r{i}") for i, c in enumerate(around("n", st.row_window()))])
     cap = lambda base, others: F.array_intersect(F.array_intersect(base, F.coalesce(others[0], base)), F.coalesce(others[1], base))
     cup = lambda base, others: F.array_union(F.array_union(base, F.coalesce(others[0], base)), F.coalesce(others[1], base))
     side = [F.col("_r0"), F.col("_r1")]
     df = df.select(IMG, "_band", "x", "y", "n", cap(F.col("n"), side).alias("e"), cup(F.col("n"), side).alias("d"))
-    df = df.select("*", *[c.alias(f"_e{i}") for i, c in enumerate(around("e", st.COL))], *[c.alias(f"_d{i}") for i, c in enumerate(around("d", st.COL))])
+    df = df.select("*", *[c.alias(f"_e{i}") for i, c in enumerate(around("e", st.col_window()))], *[c.alias(f"_d{i}") for i, c in enumerate(around("d", st.col_window()))])
     df = st.core(df.select(IMG, "_band", "x", "y", "n", cap(F.col("e"), [F.col("_e0"), F.col("_e1")]).alias("e"), cup(F.col("d"), [F.col("_d0"), F.col("_d1")]).alias("d")))
     all_i = df.select(IMG, F.explode("d").alias("i"), "n", "e")
     inside, kept = F.array_contains("n", F.col("i")), F.array_contains("e", F.col("i"))
@@ -575,8 +575,8 @@ def component_parts(pair: DataFrame, cs: str, ct: str, min_area: int = 48, reach
     ).where(F.col("area") >= min_area)
     key = F.struct("region", F.col("label").alias("c"))
     b = st.banded(lab.select(IMG, "x", "y", "_t", key.alias("k")), reach)
-    b = b.withColumn("_row", F.collect_set("k").over(st.ROW.rangeBetween(-reach, reach)))
-    b = st.core(b.withColumn("_all", F.array_distinct(F.flatten(F.collect_list("_row").over(st.COL.rangeBetween(-reach, reach))))))
+    b = b.withColumn("_row", F.collect_set("k").over(st.row_window().rangeBetween(-reach, reach)))
+    b = st.core(b.withColumn("_all", F.array_distinct(F.flatten(F.collect_list("_row").over(st.col_window().rangeBetween(-reach, reach))))))
     seen = b.select(IMG, "_t", F.explode("_all").alias("k")).where(F.col("k.c") == F.col("_t")).groupBy(IMG, F.col("k.region").alias("region"), F.col("k.c").alias("label")).agg(F.count(F.lit(1)).alias("rr"))
     j = stats.join(seen, [IMG, "region", "label"], "left").withColumn("rr", F.coalesce("rr", F.lit(0)))
     return j.withColumn("iou", F.col("inter") / (F.col("area") + F.col("rr") - F.col("inter")))
@@ -629,7 +629,7 @@ def crack_edges(rp: DataFrame, ids: str = "region") -> DataFrame:
     df = st.banded(rp.select(IMG, "x", "y", F.col(ids).cast("bigint").alias("id")), 1)
     ext = F.lit(-1).cast("bigint")
     near = lambda w, k: F.coalesce(st.at("id", w, k), ext)
-    df = st.core(df.select("*", near(st.ROW, -1).alias("l"), near(st.ROW, 1).alias("r"), near(st.COL, -1).alias("u"), near(st.COL, 1).alias("d")))
+    df = st.core(df.select("*", near(st.row_window(), -1).alias("l"), near(st.row_window(), 1).alias("r"), near(st.col_window(), -1).alias("u"), near(st.col_window(), 1).alias("d")))
     x, y, me = F.col("x"), F.col("y"), F.col("id")
     edge = lambda cond, a, b, c, d, left, right: F.when(
         cond, F.struct(a.alias("x0"), b.alias("y0"), c.alias("x1"), d.alias("y1"), left.alias("left_id"), right.alias("right_id"))

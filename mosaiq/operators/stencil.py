@@ -14,8 +14,14 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 BAND = 64
 IMG = "image_id"
-ROW = Window.partitionBy(IMG, "_band", "y").orderBy("x")
-COL = Window.partitionBy(IMG, "_band", "x").orderBy("y")
+
+
+def row_window():
+    return Window.partitionBy(IMG, "_band", "y").orderBy("x")
+
+
+def col_window():
+    return Window.partitionBy(IMG, "_band", "x").orderBy("y")
 
 
 def banded(df: DataFrame, halo: int, band: int = BAND) -> DataFrame:
@@ -39,7 +45,7 @@ def mirrored(c: str, w, k: int) -> Column:
 
 
 def _square(df: DataFrame, masks: list[str], r: int, fn, suffix: str) -> DataFrame:
-    rows, cols = ROW.rangeBetween(-r, r), COL.rangeBetween(-r, r)
+    rows, cols = row_window().rangeBetween(-r, r), col_window().rangeBetween(-r, r)
     df = df.select("*", *[fn(m).over(rows).alias(f"_h_{m}") for m in masks])
     df = df.select("*", *[fn(f"_h_{m}").over(cols).alias(f"{m}{suffix}") for m in masks])
     return df.drop(*[f"_h_{m}" for m in masks])
@@ -63,7 +69,7 @@ def interior(px: DataFrame, ids: str = "label") -> DataFrame:
     """Adds ``interior``: the existing 4-neighbours all carry the same id."""
     df = banded(px, 1)
     same = F.lit(True)
-    for w in (ROW, COL):
+    for w in (row_window(), col_window()):
         for k in (-1, 1):
             same = same & F.coalesce(at(ids, w, k) == F.col(ids), F.lit(True))
     return core(df.withColumn("interior", same))
@@ -72,10 +78,10 @@ def interior(px: DataFrame, ids: str = "label") -> DataFrame:
 def sobel(df: DataFrame, v: str, gx: str = "gx", gy: str = "gy") -> DataFrame:
     """3x3 Sobel on a banded frame (halo >= 1), mirrored border."""
     df = df.select(
-        "*", (mirrored(v, ROW, -1) + F.col(v) * 2 + mirrored(v, ROW, 1)).alias("_s"), (mirrored(v, ROW, 1) - mirrored(v, ROW, -1)).alias("_d")
+        "*", (mirrored(v, row_window(), -1) + F.col(v) * 2 + mirrored(v, row_window(), 1)).alias("_s"), (mirrored(v, row_window(), 1) - mirrored(v, row_window(), -1)).alias("_d")
     )
     return df.select(
-        "*", (mirrored("_d", COL, -1) + F.col("_d") * 2 + mirrored("_d", COL, 1)).alias(gx), (mirrored("_s", COL, 1) - mirrored("_s", COL, -1)).alias(gy)
+        "*", (mirrored("_d", col_window(), -1) + F.col("_d") * 2 + mirrored("_d", col_window(), 1)).alias(gx), (mirrored("_s", col_window(), 1) - mirrored("_s", col_window(), -1)).alias(gy)
     ).drop("_s", "_d")
 
 
@@ -87,7 +93,7 @@ def gradient(px: DataFrame, v: str) -> DataFrame:
 def blur_score(px: DataFrame, v: str) -> DataFrame:
     """Variance of the 4-neighbour Laplacian per image."""
     df = banded(px, 1)
-    total = sum((mirrored(v, w, k) for w in (ROW, COL) for k in (-1, 1)), F.lit(0))
+    total = sum((mirrored(v, w, k) for w in (row_window(), col_window()) for k in (-1, 1)), F.lit(0))
     lap = core(df.withColumn("_lap", total - F.col(v) * 4))
     return lap.groupBy(IMG).agg(F.bround(F.var_pop("_lap"), 2).alias("blur_score"))
 
@@ -101,7 +107,7 @@ def edge_candidates(px: DataFrame, sources: dict[str, str], lo: float, hi: float
     """
     df = banded(px, 2)
     steps = (-2, -1, 1, 2)
-    df = df.select("*", *[at(v, ROW, k).alias(f"_{n}v{k}") for n, v in sources.items() for k in steps])
+    df = df.select("*", *[at(v, row_window(), k).alias(f"_{n}v{k}") for n, v in sources.items() for k in steps])
     cols = []
     for name, v in sources.items():
         near = {k: F.col(v) if k == 0 else F.col(f"_{name}v{k}") for k in range(-2, 3)}
@@ -118,7 +124,7 @@ def edge_candidates(px: DataFrame, sources: dict[str, str], lo: float, hi: float
             ]
     df = df.select("*", *cols)
     parts = [f"_{n}{t}{k}" for n in sources for t in "sd" for k in range(3)]
-    df = df.select("*", *[at(c, COL, j).alias(f"{c}_{j}") for c in parts for j in steps])
+    df = df.select("*", *[at(c, col_window(), j).alias(f"{c}_{j}") for c in parts for j in steps])
     cols = []
     for name in sources:
         def repeat_col(c: str, j: int) -> Column:
@@ -185,8 +191,8 @@ def gaussian(df: DataFrame, values: list[str], sigma: float) -> DataFrame:
     def tap(c: str, win) -> Column:
         return sum((at(c, win, k - r) * w[k] for k in range(2 * r + 1)), F.lit(0.0))
 
-    df = df.select("*", *[tap(v, ROW).alias(f"_h_{v}") for v in values])
-    df = df.select("*", *[tap(f"_h_{v}", COL).alias(f"{v}_blur") for v in values])
+    df = df.select("*", *[tap(v, row_window()).alias(f"_h_{v}") for v in values])
+    df = df.select("*", *[tap(f"_h_{v}", col_window()).alias(f"{v}_blur") for v in values])
     return df.drop(*[f"_h_{v}" for v in values])
 
 
@@ -246,7 +252,7 @@ def smooth_flat_zone(px: DataFrame, light: str, chroma: str, values: list[str],
     halo = 1 + 7 + reach
     df = sobel(banded(px, halo), light)
     df = df.withColumn("_e", F.sqrt(F.col("gx") ** 2 + F.col("gy") ** 2) / 8.0)
-    df = df.withColumn("_eh", F.avg("_e").over(ROW.rangeBetween(-7, 7))).withColumn("_energy", F.avg("_eh").over(COL.rangeBetween(-7, 7)))
+    df = df.withColumn("_eh", F.avg("_e").over(row_window().rangeBetween(-7, 7))).withColumn("_energy", F.avg("_eh").over(col_window().rangeBetween(-7, 7)))
     df = df.withColumn("_flat", ((F.col(chroma) <= 12.0) & (F.col("_energy") <= 1.0)).cast("int"))
     zones = core(erode(df, ["_flat"], reach)).select(*px.columns, F.col("_flat_ero").alias("_safe"))
     share = zones.groupBy(IMG).agg((F.avg("_safe") > 0.03).alias("_use"))
