@@ -36,11 +36,9 @@ def exact_percentiles(
     """
     groups = list(keys) or ["_all"]
     src = df if keys else df.withColumn("_all", F.lit(0))
-    counts = (
-        src.where(F.col(value).isNotNull())
-        .groupBy(*groups, F.col(value).cast("double").alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_n"))
-    )
+    # nulls drop out by their zero count: a null filter on the value would be pushed
+    # down and copy the whole expression behind it
+    counts = src.groupBy(*groups, F.col(value).cast("double").alias("_v")).agg(F.count(value).alias("_n")).where("_n > 0")
     cuts = _cut_points(counts, groups, "_v", slices)
     sliced = counts.join(cuts, groups).withColumn("_s", _slice_no("_v")).drop("_cuts")
     per_slice = sliced.groupBy(*groups, "_s").agg(F.sum("_n").alias("_sn"))

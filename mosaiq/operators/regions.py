@@ -148,7 +148,8 @@ def hysteresis(cands: DataFrame, state: str) -> DataFrame:
 
 
 def edge_mask(px: DataFrame, grey: str, lo: float, hi: float) -> DataFrame:
-    return hysteresis(st.edge_candidates(px, {"_edge": grey}, lo, hi), "_edge")
+    thin = st.edge_candidates(px.select(IMG, "x", "y", grey), {"_edge": grey}, lo, hi)
+    return hysteresis(cut_lineage(thin.where("_edge > 0").select(IMG, "x", "y", "_edge")), "_edge")
 
 
 def edge_density(px: DataFrame, grey: str, lo: float = 70, hi: float = 160) -> DataFrame:
@@ -159,7 +160,8 @@ def edge_density(px: DataFrame, grey: str, lo: float = 70, hi: float = 160) -> D
 
 def edge_f1(pair: DataFrame, a: str, b: str, tol: int = 2, lo: float = 80, hi: float = 160) -> DataFrame:
     """Tolerant edge agreement per image; 1 if neither side has edges, 0 if only one has."""
-    cands = st.edge_candidates(pair, {"_ea": a, "_eb": b}, lo, hi)
+    thin = st.edge_candidates(pair.select(IMG, "x", "y", a, b), {"_ea": a, "_eb": b}, lo, hi)
+    cands = cut_lineage(thin.where("_ea > 0 or _eb > 0").select(IMG, "x", "y", "_ea", "_eb"))
     base = pair.select(IMG, "x", "y")
     for name in ("_ea", "_eb"):
         hits = hysteresis(cands, name).withColumn(name, F.lit(1))
@@ -186,26 +188,28 @@ def boundary_offsets(a: DataFrame, b: DataFrame, cell: int = 16) -> DataFrame:
     """
     from mosaiq.operators.ordered import exact_percentiles
 
-    size = a.unionByName(b).groupBy(IMG).agg(F.max(F.greatest("x", "y")).alias("m"))
-    both = a.select(IMG).distinct().join(b.select(IMG).distinct(), IMG, "left_semi")
-    found = None
-    for src, dst in ((a, b), (b, a)):
-        left = src.join(both, IMG, "left_semi").select(IMG, "x", "y")
-        right = dst.select(IMG, F.col("x").alias("x2"), F.col("y").alias("y2"))
-        ring = cell
-        while True:
-            spots = F.explode(F.sequence(F.lit(-1), F.lit(1)))
-            l = left.withColumn("_cx", F.floor(F.col("x") / ring) + spots)
-            l = l.withColumn("_cy", F.floor(F.col("y") / ring) + spots)
-            r = right.withColumn("_cx", F.floor(F.col("x2") / ring)).withColumn("_cy", F.floor(F.col("y2") / ring))
-            d = F.sqrt(F.pow(F.col("x") - F.col("x2"), 2) + F.pow(F.col("y") - F.col("y2"), 2))
-            near = l.join(r, [IMG, "_cx", "_cy"]).groupBy(IMG, "x", "y").agg(F.min(d).alias("d")).where(F.col("d") <= ring)
-            near = cut_lineage(near)
-            found = near if found is None else found.unionByName(near)
-            left = cut_lineage(left.join(near, [IMG, "x", "y"], "left_anti"))
-            if left.isEmpty() or size.agg(F.max("m")).first()[0] < ring // 4:
-                break
-            ring *= 4
+    sides = a.select(IMG, "x", "y", F.lit(0).alias("side")).unionByName(b.select(IMG, "x", "y", F.lit(1).alias("side")))
+    both = sides.groupBy(IMG).agg(F.count_distinct("side").alias("_k")).where("_k = 2").select(IMG)
+    sides = cut_lineage(sides.join(both, IMG, "left_semi"))
+    extent = sides.agg(F.max(F.greatest("x", "y"))).first()[0] or 0
+    right = sides.select(IMG, (1 - F.col("side")).alias("side"), F.col("x").alias("x2"), F.col("y").alias("y2"))
+    left, found, ring = sides, None, cell
+    while True:
+        spots = lambda c: F.explode(F.sequence(F.floor(F.col(c) / ring) - 1, F.floor(F.col(c) / ring) + 1))  # noqa: B023, E731
+        l = left.withColumn("_cx", spots("x")).withColumn("_cy", spots("y"))
+        r = right.withColumn("_cx", F.floor(F.col("x2") / ring)).withColumn("_cy", F.floor(F.col("y2") / ring))
+        d = F.sqrt(F.pow(F.col("x") - F.col("x2"), 2) + F.pow(F.col("y") - F.col("y2"), 2))
+        near = l.join(r, [IMG, "side", "_cx", "_cy"]).groupBy(IMG, "side", "x", "y").agg(F.min(d).alias("d"))
+        if ring <= extent:
+            near = near.where(F.col("d") <= ring)
+        near = cut_lineage(near)
+        found = near if found is None else found.unionByName(near)
+        if ring > extent:
+            break
+        left = cut_lineage(left.join(near, [IMG, "side", "x", "y"], "left_anti"))
+        if left.isEmpty():
+            break
+        ring *= 4
     stats = found.groupBy(IMG).agg(F.avg("d").alias("chamfer_mean"), F.max("d").alias("hausdorff_max"))
     return stats.join(exact_percentiles(found, [IMG], "d", {"hausdorff_p95": 0.95}, slices=16), IMG)
 
@@ -339,15 +343,15 @@ def classify_micro_regions(rp: DataFrame, fills: DataFrame, blend_tol: float = 0
     by_color = near.groupBy(IMG, "region", "label", "area", "nl").agg(
         F.sum("boundary_length").alias("len"), F.count(F.lit(1)).alias("parts"), F.max_by("nb", F.struct("boundary_length", -F.col("nb"))).alias("target")
     )
-    lin = fills.select(IMG, F.col("label").alias("_l"), *[cl.srgb_to_linear(f"f{c}").alias(f"_{c}") for c in "rgb"])
-    side = by_color.join(lin, (by_color[IMG] == lin[IMG]) & (by_color["nl"] == lin["_l"])).drop(lin[IMG]).drop("_l")
+    linear = lambda key: fills.select(IMG, F.col("label").alias(key), *[cl.srgb_to_linear(f"f{c}").alias(f"_{c}") for c in "rgb"])
+    side = by_color.join(linear("nl"), [IMG, "nl"])
     # a region with more than two neighbour colours is kept, so only the two smallest labels are held
     g = side.groupBy(IMG, "region", "label", "area").agg(
         F.count(F.lit(1)).alias("k"), F.sum("len").alias("total"),
         F.min_by(F.struct("nl", "len", "parts", "target", "_r", "_g", "_b"), "nl").alias("A"),
         F.max_by(F.struct("nl", "len", "parts", "target", "_r", "_g", "_b"), "nl").alias("B"),
     ).where(F.col("k") <= 2)
-    g = g.join(lin, (g[IMG] == lin[IMG]) & (g["label"] == lin["_l"])).drop(lin[IMG]).drop("_l").join(holes_by_euler(rp), [IMG, "region"])
+    g = g.join(linear("label"), [IMG, "label"]).join(holes_by_euler(rp), [IMG, "region"])
     g = g.select("*", *[F.col(f"{s}._{c}").alias(f"{s}{c}") for s in "AB" for c in "rgb"])
     resid, t = cl.blend_residual(("_r", "_g", "_b"), ("Ar", "Ag", "Ab"), ("Br", "Bg", "Bb"))
     dist = F.sqrt(sum((F.pow(F.col(f"_{c}") - F.col(f"A{c}"), 2) for c in "rgb"), F.lit(0.0)))
@@ -529,7 +533,7 @@ def noise_pair_merge(classes: DataFrame, tol: float) -> DataFrame:
 
 def topology_signature(px: DataFrame, label: str = "label", min_area: int = 1) -> DataFrame:
     """Components and holes per image over all classes (holes: enclosed 4-connected complement parts)."""
-    pix = px.select(IMG, "x", "y", F.col(label).alias("label"))
+    pix = cut_lineage(px.select(IMG, "x", "y", F.col(label).alias("label")))
     comps = components(pix).groupBy(IMG, "label", "region").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_area)
     c = comps.groupBy(IMG).agg(F.count(F.lit(1)).alias("components"))
     classes = pix.select(IMG, F.col("label").alias("cls")).distinct()
