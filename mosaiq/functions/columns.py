@@ -40,3 +40,12 @@ def rounded(df: DataFrame, places: int = 6) -> DataFrame:
     return df.select(
         *[F.round(c, places).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes]
     )
+
+
+def keep_rows(df: DataFrame, condition: Column) -> DataFrame:
+    """Rows where ``condition`` holds, tested on the finished columns.
+
+    A plain filter would be pushed below the projections that build a deeply
+    derived column and copy that whole expression; a generator stays in place.
+    """
+    return df.withColumn("_keep", F.explode(F.when(condition, F.array(F.lit(1))))).drop("_keep")

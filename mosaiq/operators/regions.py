@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from mosaiq.functions import color as cl
-from mosaiq.functions.columns import codes
+from mosaiq.functions.columns import codes, keep_rows
 from mosaiq.operators import stencil as st
 from mosaiq.operators.pixels import nearest_center
 from mosaiq.session import cut_lineage
@@ -149,7 +149,7 @@ def hysteresis(cands: DataFrame, state: str) -> DataFrame:
 
 def edge_mask(px: DataFrame, grey: str, lo: float, hi: float) -> DataFrame:
     thin = st.edge_candidates(px.select(IMG, "x", "y", grey), {"_edge": grey}, lo, hi)
-    return hysteresis(cut_lineage(thin.where("_edge > 0").select(IMG, "x", "y", "_edge")), "_edge")
+    return hysteresis(cut_lineage(keep_rows(thin, F.col("_edge") > 0).select(IMG, "x", "y", "_edge")), "_edge")
 
 
 def edge_density(px: DataFrame, grey: str, lo: float = 70, hi: float = 160) -> DataFrame:
@@ -161,7 +161,7 @@ def edge_density(px: DataFrame, grey: str, lo: float = 70, hi: float = 160) -> D
 def edge_f1(pair: DataFrame, a: str, b: str, tol: int = 2, lo: float = 80, hi: float = 160) -> DataFrame:
     """Tolerant edge agreement per image; 1 if neither side has edges, 0 if only one has."""
     thin = st.edge_candidates(pair.select(IMG, "x", "y", a, b), {"_ea": a, "_eb": b}, lo, hi)
-    cands = cut_lineage(thin.where("_ea > 0 or _eb > 0").select(IMG, "x", "y", "_ea", "_eb"))
+    cands = cut_lineage(keep_rows(thin, (F.col("_ea") > 0) | (F.col("_eb") > 0)).select(IMG, "x", "y", "_ea", "_eb"))
     base = pair.select(IMG, "x", "y")
     for name in ("_ea", "_eb"):
         hits = hysteresis(cands, name).withColumn(name, F.lit(1))

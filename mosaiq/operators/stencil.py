@@ -102,62 +102,33 @@ def edge_candidates(px: DataFrame, sources: dict[str, str], lo: float, hi: float
     """Thin edge candidates of grey columns: ``{name}`` = 0 none, 1 weak, 2 strong.
 
     Sobel with repeated border, |gx|+|gy| magnitude, non-maximum suppression
-    along the quantised gradient direction, double threshold.  Two window
-    passes cover the whole 5x5 reach.
+    along the quantised gradient direction, double threshold.  All window passes
+    share the banded partitioning.
     """
+    row, col = row_window(), col_window()
     df = banded(px, 2)
-    steps = (-2, -1, 1, 2)
-    df = df.select("*", *[at(v, row_window(), k).alias(f"_{n}v{k}") for n, v in sources.items() for k in steps])
-    cols = []
-    for name, v in sources.items():
-        near = {k: F.col(v) if k == 0 else F.col(f"_{name}v{k}") for k in range(-2, 3)}
-
-        def repeat_row(k: int) -> Column:
-            return F.coalesce(*[near[(1 if k > 0 else -1) * i] for i in range(abs(k), -1, -1)])
-
-        for k in (-1, 0, 1):
-            left, mid, right = repeat_row(k - 1), repeat_row(k), repeat_row(k + 1)
-            here = near[k].isNotNull()
-            cols += [
-                F.when(here, left + mid * 2 + right).alias(f"_{name}s{k + 1}"),
-                F.when(here, right - left).alias(f"_{name}d{k + 1}"),
-            ]
-    df = df.select("*", *cols)
-    parts = [f"_{n}{t}{k}" for n in sources for t in "sd" for k in range(3)]
-    df = df.select("*", *[at(c, col_window(), j).alias(f"{c}_{j}") for c in parts for j in steps])
-    cols = []
-    for name in sources:
-        def repeat_col(c: str, j: int) -> Column:
-            return F.coalesce(*[F.col(c) if i == 0 else F.col(f"{c}_{(1 if j > 0 else -1) * i}") for i in range(abs(j), -1, -1)])
-
-        for k in (0, 1, 2):
-            s, d = f"_{name}s{k}", f"_{name}d{k}"
-            for j in (-1, 0, 1):
-                exists = (F.col(s) if j == 0 else F.col(f"{s}_{j}")).isNotNull()
-                gx = repeat_col(d, j - 1) + repeat_col(d, j) * 2 + repeat_col(d, j + 1)
-                gy = repeat_col(s, j + 1) - repeat_col(s, j - 1)
-                if (k, j) == (1, 0):
-                    cols += [gx.alias(f"_{name}gx"), gy.alias(f"_{name}gy")]
-                cols.append(F.coalesce(F.when(exists, F.abs(gx) + F.abs(gy)), F.lit(0)).alias(f"_{name}m{k}{j + 1}"))
-    df = df.select("*", *cols)
+    near = lambda c, w, k: F.coalesce(at(c, w, k), F.col(c))  # noqa: E731 - edge pixel repeated
+    zero = lambda c, w, k: F.coalesce(at(c, w, k), F.lit(0))  # noqa: E731 - no gradient outside
+    df = df.select("*", *[e for n, v in sources.items() for e in (
+        (near(v, row, -1) + F.col(v) * 2 + near(v, row, 1)).alias(f"_{n}s"), (near(v, row, 1) - near(v, row, -1)).alias(f"_{n}d"))])
+    df = df.select("*", *[e for n in sources for e in (
+        (near(f"_{n}d", col, -1) + F.col(f"_{n}d") * 2 + near(f"_{n}d", col, 1)).alias(f"_{n}gx"),
+        (near(f"_{n}s", col, 1) - near(f"_{n}s", col, -1)).alias(f"_{n}gy"))])
+    df = df.select("*", *[(F.abs(f"_{n}gx") + F.abs(f"_{n}gy")).alias(f"_{n}m") for n in sources])
+    df = df.select("*", *[zero(f"_{n}m", row, k).alias(f"_{n}{t}") for n in sources for t, k in (("l", -1), ("r", 1))])
+    df = df.select("*", *[zero(f"_{n}{t}", col, k).alias(f"_{n}{t}{u}") for n in sources for t in "lmr" for u, k in (("u", -1), ("d", 1))])
     out = []
-    for name in sources:
-        m = lambda k, j: F.col(f"_{name}m{k}{j}")  # noqa: E731 - column k, row j of the 3x3 block
-        gx, gy, mid = F.col(f"_{name}gx"), F.col(f"_{name}gy"), m(1, 1)
-        tg = F.abs(gx) * 13573
-        ys = F.abs(gy) * 32768
-        flat = ys < tg
-        steep = ys > tg + F.abs(gx) * 65536
-        diag_neg = (gx < 0) != (gy < 0)
-        keep = (
-            F.when(flat, (mid > m(0, 1)) & (mid >= m(2, 1)))
-            .when(steep, (mid > m(1, 0)) & (mid >= m(1, 2)))
-            .when(diag_neg, (mid > m(2, 0)) & (mid > m(0, 2)))
-            .otherwise((mid > m(0, 0)) & (mid > m(2, 2)))
-        )
-        out.append(F.when(keep & (mid > hi), 2).when(keep & (mid > lo), 1).otherwise(0).alias(name))
-    keep_cols = [F.col(c) for c in [*px.columns, "_band"]]
-    return core(df.select(*keep_cols, *out))
+    for n in sources:
+        c = lambda t: F.col(f"_{n}{t}")  # noqa: B023, E731
+        tg, ys, mid = F.abs(c("gx")) * 13573, F.abs(c("gy")) * 32768, c("m")
+        first = F.when(ys < tg, c("l")).when(ys > tg + F.abs(c("gx")) * 65536, c("mu")).when((c("gx") < 0) != (c("gy") < 0), c("ru")).otherwise(c("lu"))
+        second = F.when(ys < tg, c("r")).when(ys > tg + F.abs(c("gx")) * 65536, c("md")).when((c("gx") < 0) != (c("gy") < 0), c("ld")).otherwise(c("rd"))
+        straight = (ys < tg) | (ys > tg + F.abs(c("gx")) * 65536)
+        out += [first.alias(f"_{n}a"), second.alias(f"_{n}b"), straight.alias(f"_{n}t")]
+    df = df.select("*", *out)
+    peak = lambda n: (F.col(f"_{n}m") > F.col(f"_{n}a")) & ((F.col(f"_{n}m") > F.col(f"_{n}b")) | (F.col(f"_{n}t") & (F.col(f"_{n}m") == F.col(f"_{n}b"))))
+    state = [F.when(peak(n) & (F.col(f"_{n}m") > hi), 2).when(peak(n) & (F.col(f"_{n}m") > lo), 1).otherwise(0).alias(n) for n in sources]
+    return core(df.select(*px.columns, "_band", *state))
 
 
 def gaussian_weights(sigma: float, truncate: float = 4.0) -> list[float]:

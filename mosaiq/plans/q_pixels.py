@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from mosaiq.functions import color as cl
-from mosaiq.functions.columns import finite, is_digest, rounded
+from mosaiq.functions.columns import finite, is_digest, keep_rows, rounded
 from mosaiq.functions.text import markup_structure, redact, sensitive_scan
 from mosaiq.operators import pixels as px, regions as rg, routing as rt, stencil as st
 from mosaiq.plans import sqlkit as k
@@ -444,7 +444,8 @@ def _(t: Tables):
 
 @query("edge_candidates", f"WITH {_PG}, {k.edge_candidates('c','pg','v',70,160)} SELECT image_id, x, y, st FROM c WHERE st>0")
 def _(t: Tables):
-    return st.edge_candidates(t("px").select("image_id", "x", "y", cl.gray().alias("v")), {"st": "v"}, 70, 160).where("st > 0").select("image_id", "x", "y", "st")
+    c = st.edge_candidates(t("px").select("image_id", "x", "y", cl.gray().alias("v")), {"st": "v"}, 70, 160)
+    return keep_rows(c, F.col("st") > 0).select("image_id", "x", "y", "st")
 
 
 @query("edge_mask", f"WITH RECURSIVE {_PG}, {k.edges('ed','pg','v',70,160)} SELECT image_id, x, y FROM ed")
