@@ -50,7 +50,8 @@ def read_images(
     """(accepted, rejected) rasters of a folder.
 
     Accepted rows hold decoded BGR(A) bytes; an undecodable file shows width -1
-    in the image source and is rejected as corrupt.
+    in the image source and is rejected as corrupt.  Zero-byte files have no row
+    in either file source; ``screen_uploads`` rejects empty content in tables.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     screened = screen_uploads(files, max_bytes, max_side, max_pixels).select("path", "length", "format", "sha256", "reason")
