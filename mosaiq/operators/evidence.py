@@ -106,9 +106,9 @@ def aggregate_repeats(repeats: DataFrame, keys: list[str]) -> DataFrame:
         failed.alias("_failed"),
         *worst,
     )
-    for metric in PERFORMANCE:
-        medians = exact_percentiles(repeats, keys, metric, {metric: 0.5}, slices=8)
-        out = out.join(medians, keys, "left").withColumn(metric, F.bround(metric, 6))
+    medians = exact_percentiles(repeats.unpivot(keys, PERFORMANCE, "metric", "value"), [*keys, "metric"], "value", {"m": 0.5}, slices=8)
+    wide = medians.groupBy(*keys).agg(*[F.bround(F.max(F.when(F.col("metric") == m, F.col("m"))), 6).alias(m) for m in PERFORMANCE])
+    out = out.join(wide, keys, "left")
     same = (F.col("_lo") == F.col("_hi")) & (F.col("_nosha") == 0) | (F.col("_nosha") == F.col("repeats"))
     error = F.when(~F.coalesce(same, F.lit(False)), "non_deterministic_artifact").when(
         F.col("_failed") > 0, "benchmark_repeat_failed"

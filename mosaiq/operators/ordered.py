@@ -28,9 +28,11 @@ def exact_percentiles(
     wanted: dict[str, float],
     discrete: bool = False,
     slices: int = SLICES,
+    stats: bool = False,
 ) -> DataFrame:
     """One row per key with the exact percentiles ``wanted = {name: q}``.
 
+    ``stats`` adds the columns ``mean`` and ``max`` from the same value counts.
     ``discrete=False`` interpolates linearly between order statistics,
     ``discrete=True`` takes the nearest rank ``ceil(q*n)``.
     """
@@ -41,7 +43,9 @@ def exact_percentiles(
     counts = src.groupBy(*groups, F.col(value).cast("double").alias("_v")).agg(F.count(value).alias("_n")).where("_n > 0")
     cuts = _cut_points(counts, groups, "_v", slices)
     sliced = counts.join(cuts, groups).withColumn("_s", _slice_no("_v")).drop("_cuts")
-    per_slice = sliced.groupBy(*groups, "_s").agg(F.sum("_n").alias("_sn"))
+    per_slice = sliced.groupBy(*groups, "_s").agg(
+        F.sum("_n").alias("_sn"), F.sum(F.col("_v") * F.col("_n")).alias("_sv"), F.max("_v").alias("_sx")
+    )
     by_key = Window.partitionBy(*groups)
     per_slice = per_slice.select(
         *groups,
@@ -49,6 +53,8 @@ def exact_percentiles(
         (F.sum("_sn").over(by_key.orderBy("_s")) - F.col("_sn")).alias("_before"),
         "_sn",
         F.sum("_sn").over(by_key).alias("_total"),
+        F.sum("_sv").over(by_key).alias("_sum"),
+        F.max("_sx").over(by_key).alias("_top"),
     )
     ranks: dict[str, tuple[Column, Column, Column]] = {}
     for name, q in wanted.items():
@@ -66,7 +72,7 @@ def exact_percentiles(
         sliced.join(per_slice.where(hit), groups + ["_s"])
         .withColumn("_end", F.col("_before") + F.sum("_n").over(Window.partitionBy(*groups, "_s").orderBy("_v")))
     )
-    picks = []
+    picks = [F.max(F.col("_sum") / F.col("_total")).alias("mean"), F.max("_top").alias("max")] if stats else []
     for name, (low, high, at) in ranks.items():
         for tag, rank in (("l", low), ("h", high)):
             here = (rank >= F.col("_end") - F.col("_n")) & (rank < F.col("_end"))
@@ -77,7 +83,7 @@ def exact_percentiles(
         (F.col(f"_{n}_l") * (1 - F.col(f"_{n}_f")) + F.col(f"_{n}_h") * F.col(f"_{n}_f")).alias(n)
         for n in wanted
     ]
-    return out.select(*keys, *cols)
+    return out.select(*keys, *(["mean", "max"] if stats else []), *cols)
 
 
 def prefix_sums(

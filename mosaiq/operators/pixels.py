@@ -320,8 +320,8 @@ def with_delta_e(pair: DataFrame) -> DataFrame:
 def color_metrics(pair: DataFrame) -> DataFrame:
     """Mean, p50, p95, p99 and max CIEDE2000 per image."""
     de = with_delta_e(pair).select(IMG, "de00")
-    basic = de.groupBy(IMG).agg(F.avg("de00").alias("de00_mean"), F.max("de00").alias("de00_max"))
-    return basic.join(exact_percentiles(de, [IMG], "de00", {"de00_p50": 0.5, "de00_p95": 0.95, "de00_p99": 0.99}, slices=16), IMG)
+    out = exact_percentiles(de, [IMG], "de00", {"de00_p50": 0.5, "de00_p95": 0.95, "de00_p99": 0.99}, slices=16, stats=True)
+    return out.withColumnsRenamed({"mean": "de00_mean", "max": "de00_max"})
 
 
 def pixel_error(pair: DataFrame) -> DataFrame:

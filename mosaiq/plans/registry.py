@@ -15,6 +15,12 @@ BASE_TABLES = (
 )
 
 
+_SPREAD = {
+    ("px", "supplier"): "s_suppkey", ("px64_pair", "supplier"): "s_suppkey",
+    ("curve", "embeddings"): "vec_id", ("markup", "part"): "p_partkey",
+}
+
+
 class Tables:
     """Base tables and fixture views of one data folder, as DataFrames."""
 
@@ -32,9 +38,9 @@ class Tables:
         for table in BASE_TABLES:
             if re.search(rf"(?i)\b(from|join)\s+{table}\b", text):
                 df = self.base(table)
-                if name == "px64_pair":
-                    # one raster per supplier: spread the generators before exploding
-                    df = df.repartition(self.spark.sparkContext.defaultParallelism, "s_suppkey")
+                if (name, table) in _SPREAD:
+                    # each row grows into a raster, curve or document: spread the small file first
+                    df = df.repartition(self.spark.sparkContext.defaultParallelism, _SPREAD[name, table])
                 df.createOrReplaceTempView(table)
 
     def __call__(self, name: str) -> DataFrame:
