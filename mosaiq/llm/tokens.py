@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from mosaiq.llm.common import text_buffers
 
 MARK = "▁"
-CACHE_WORDS = 300_000
+CACHE_WORDS = 1_000_000
 """Words whose counts a worker remembers; then it starts anew."""
 
 _SEGMENTS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
@@ -40,7 +40,6 @@ class PrefixCounter:
         self.ends: dict[str, int] = {p[k:]: 1 for p in self.score for k in range(1, len(p))}
         self.ends.update({p: 2 for p in self.score})
         self.pairs: dict[tuple[str, str], bool] = {}
-        self.whole: dict[str, bool] = {}
         self.words = _Words(self, MARK)
         self.bare = _Words(self, "")
 
@@ -58,38 +57,32 @@ class PrefixCounter:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
     def fits(self, left: str, right: str) -> bool:
-        key = (left, right)
-        known = self.pairs.get(key)
-        if known is None:
-            if len(self.pairs) >= CACHE_WORDS:
-                self.pairs.clear()
-            known = self.pairs[key] = self.merge(left + right) == [left, right]
-        return known
-
-    def single(self, piece: str) -> bool:
-        known = self.whole.get(piece)
-        if known is None:
-            known = self.whole[piece] = len(self.merge(piece)) == 1
+        """Whether ``left`` and ``right`` stay as they are side by side (an empty ``left``: ``right`` alone)."""
+        if len(self.pairs) >= CACHE_WORDS:
+            self.pairs.clear()
+        known = self.pairs[left, right] = self.merge(left + right) == ([left, right] if left else [right])
         return known
 
     def steps(self, text: str) -> bytes:
         """Change of the token count from each prefix to the next, one signed byte a character."""
         count, last = [0], [""]
-        ends, fits, score = self.ends, self.fits, self.score
+        ends, known, fits, score = self.ends.get, self.pairs.get, self.fits, self.score
         for i in range(1, len(text) + 1):
-            size = 1
+            size, kind = 1, 2
+            piece = text[i - 1]
             while True:
-                piece = text[i - size : i]
-                kind = ends.get(piece)
-                if size == 1 or kind == 2:
+                if kind == 2 or size == 1:
                     before = last[i - size]
-                    if (not before or fits(before, piece)) and (size == 1 or self.single(piece)):
+                    fit = known((before, piece))
+                    if fit or fit is None and fits(before, piece):
                         # a character that is no piece falls back to its bytes
                         count.append(count[i - size] + (1 if size > 1 or piece in score else len(piece.encode())))
                         last.append(piece)
                         break
                 size += 1
-                if size > i or (size > 2 and kind is None):
+                piece = text[i - size : i]
+                kind = ends(piece)
+                if size > i or kind is None:
                     raise ValueError(f"no last piece for a prefix of {text[:80]!r}")
         return np.diff(count).astype(np.int8).tobytes()
 
