@@ -18,7 +18,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from mosaiq.llm.common import U64, gram_hashes, mix, text_buffers, word_hashes
+from mosaiq.llm.common import U64, blocks, gram_hashes, mix, text_buffers, word_hashes
 from mosaiq.session import cut_lineage
 
 BACKOFF = 0.4
@@ -30,7 +30,8 @@ _WORD_SALT, _CHUNK_SALT = U64(0x5851F42D4C957F2D), U64(0x14057B7EF767814F)
 
 def _ngrams(data: np.ndarray, at: np.ndarray) -> dict[str, np.ndarray]:
     """Keys of the words and pairs of a chunk, the distinct keys with counts, and which distinct key each occurrence has."""
-    words, counts = word_hashes(data, at)
+    parts = [word_hashes(data, at[a : b + 1]) for a, b in blocks(at)]
+    words, counts = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
     ends = np.cumsum(counts)
     inside = np.ones(max(len(words) - 1, 0), dtype=bool)
     edges = ends[:-1]
@@ -69,7 +70,7 @@ def _pack_texts(chunks: int):
     """Texts of a task by chunk, compressed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze = zstandard.ZstdCompressor(level=1)
+        squeeze = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             data, at = text_buffers(batch.column(1))
             ids = np.asarray(batch.column(0).fill_null(0)).astype(np.int64)
@@ -155,7 +156,7 @@ def _score(buckets: int):
             gain = np.log(np.maximum(word, 1))
             gain[follows] = np.where(pair >= SEEN, np.log(np.maximum(pair, 1)) - np.log(np.maximum(word[follows - 1], 1)), gain[follows])
             owner = np.repeat(np.arange(len(ids)), x["counts"])
-            part = lambda v: np.bincount(owner, v, minlength=len(ids))
+            part = lambda v: np.bincount(owner, v, minlength=len(ids)).astype(np.float64)
             back = ~seen & ~x["first"]
             for a in range(0, len(ids), 10_000):
                 s = slice(a, a + 10_000)
@@ -182,7 +183,7 @@ def backoff_scores(docs: DataFrame, backoff: float = BACKOFF) -> DataFrame:
     """
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     inputs = texts.rdd.getNumPartitions()
-    chunks, buckets = max(12, inputs), max(48, inputs)
+    chunks, buckets = max(16, 2 * inputs), max(48, inputs)
     packed = texts.mapInArrow(_pack_texts(chunks), _PACKED)
     asked = packed.repartition(chunks, "chunk").sortWithinPartitions("chunk").mapInArrow(_ask(buckets), "chunk int, bucket int, single binary, more binary, n binary")
     answers = asked.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_answer, _PACKED)
