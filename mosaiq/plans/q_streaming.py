@@ -12,13 +12,13 @@ from pyspark.sql import DataFrame, functions as F
 
 from mosaiq.functions.columns import rounded
 from mosaiq.plans.registry import Tables, query
-from mosaiq.session import _ensure_checkpoint_dir
+from mosaiq.session import ensure_checkpoint_dir
 from mosaiq.streaming import streams
 
 
 def _scratch(t: Tables, name: str) -> str:
     """A fresh folder under the session's shared checkpoint folder."""
-    _ensure_checkpoint_dir(t.spark)
+    ensure_checkpoint_dir(t.spark)
     root = t.spark.sparkContext._jsc.sc().getCheckpointDir().get()
     return f"{root}/{name}-{uuid.uuid4().hex}"
 

@@ -34,7 +34,8 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **extra:
     return spark
 
 
-def _ensure_checkpoint_dir(spark: SparkSession) -> None:
+def ensure_checkpoint_dir(spark: SparkSession) -> None:
+    """Sets the checkpoint folder: the one configured, or in a local session one of its own."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
@@ -53,5 +54,5 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     The result no longer depends on executor-local blocks, so iterative
     operators survive lost executors without replaying every round.
     """
-    _ensure_checkpoint_dir(df.sparkSession)
+    ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
