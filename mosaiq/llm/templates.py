@@ -9,6 +9,8 @@ that several documents share are boilerplate.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -21,14 +23,15 @@ LEAD = 3
 ALIKE = 0.7
 MIN_DOCS = 5
 RUN = 4096
-"""A leaf with more distinct lines is read in runs of so many, in the order of their text; equal templates of its runs are one."""
+"""A leaf with more distinct lines is grown in parts of about so many, by the hash of the line; equal templates of its parts are one."""
 
 FIELD = "<*>"
 
 
 def masked(line: Column) -> Column:
     """A line with single blanks and its digit-bearing tokens as variable fields."""
-    plain = F.trim(F.regexp_replace(line, r"[\x20\x09-\x0D]+", " "))
+    ragged = reduce(or_, [F.contains(line, F.lit(x)) for x in ("  ", "\t", "\r", "\x0b", "\x0c")])
+    plain = F.trim(F.when(ragged, F.regexp_replace(line, r"[\x20\x09-\x0D]+", " ")).otherwise(line))
     return F.when(plain.rlike("[0-9]"), F.regexp_replace(plain, r"[^ ]*[0-9][^ ]*", FIELD)).otherwise(plain)
 
 
@@ -42,8 +45,8 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 
 def _grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Template of each distinct line, leaf by leaf (rows sorted by leaf and line)."""
-    held: list[tuple[int, str, int]] = []
+    """Template of each distinct line, leaf by leaf (rows sorted by leaf, part and line)."""
+    held: list[tuple[int, str, int, int]] = []
 
     def leaf() -> pa.RecordBatch:
         held.sort(key=lambda r: (-r[2], r[1]))
@@ -69,7 +72,7 @@ def _grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for r in zip(*(c.to_pylist() for c in batch.columns)):
-            if held and (held[0][0] != r[0] or len(held) >= RUN):
+            if held and (held[0][0], held[0][3]) != (r[0], r[3]):
                 yield leaf()
                 held.clear()
             held.append(r)
@@ -82,8 +85,11 @@ def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     lines = _lines(docs)
     leaves = lines.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select("leaf")
     some = cut_lineage(lines.join(small_side(cut_lineage(leaves)), "leaf"))
-    distinct = some.select("leaf", "line", "key").distinct().groupBy("leaf", "line").agg(F.count(F.lit(1)).alias("n"))
-    dealt = distinct.repartition("leaf").sortWithinPartitions("leaf", "line").select("leaf", "line", "n")
+    distinct = cut_lineage(some.select("leaf", "line", "key").distinct().groupBy("leaf", "line").agg(F.count(F.lit(1)).alias("n")))
+    # a leaf with more lines than a run is dealt out in as many parts as it has runs
+    crowded = distinct.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / RUN).alias("runs")).where("runs > 1")
+    parted = distinct.join(small_side(cut_lineage(crowded)), "leaf", "left").withColumn("part", F.pmod(F.xxhash64("line"), F.coalesce("runs", F.lit(1))))
+    dealt = parted.repartition("leaf", "part").sortWithinPartitions("leaf", "part", "line").select("leaf", "line", "n", "part")
     grown = small_side(cut_lineage(dealt.mapInArrow(_grow, "leaf long, line string, template string")), 20_000)
     named = cut_lineage(some.join(grown, ["leaf", "line"]).select("key", "doc_id", "pos", "leaf", "template"))
     shared = named.select("leaf", "template", "key").distinct().groupBy("leaf", "template").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs)
