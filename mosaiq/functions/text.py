@@ -11,7 +11,7 @@ PATH_TOKEN = r"(?:[A-Za-z]:)?(?:[\\/][\w.\-~+]+){2,}"
 ADDRESS = r"0x[0-9a-fA-F]+"
 MESSAGE_LIMIT = 200
 SENSITIVE = {
-    "posix_path": r"(?:^|[^A-Za-z0-9_.-])/(?:home|tmp|var|Users|private|opt|workspace|runner)(?:/[^\s\"']+)+",
+    "posix_path": r"(?<![A-Za-z0-9_.-])/(?:home|tmp|var|Users|private|opt|workspace|runner)(?:/[^\s\"']+)+",
     "windows_path": r"\b[A-Za-z]:[\\/](?:[^\s\"']+[\\/])*[^\s\"']+",
     "secret": r"(?i)(authorization\s*:|bearer\s+[A-Za-z0-9._~+/-]{8,}|github_pat_|ghp_[A-Za-z0-9]{10,}|token[=:\s]+[A-Za-z0-9._~+/-]{8,})",
     "traceback": r"Traceback \(most recent call last\):",
@@ -19,10 +19,10 @@ SENSITIVE = {
 DANGEROUS_TAGS = ["script", "foreignobject", "iframe", "object", "embed", "image"]
 
 
-def redact(column: str, limit: int = MESSAGE_LIMIT) -> Column:
-    """Paths and addresses masked; the published message is capped at ``limit`` characters."""
+def redact(column: str, limit: int | None = None) -> Column:
+    """Paths and addresses masked; a report caps its messages with ``limit`` (MESSAGE_LIMIT characters)."""
     clean = F.regexp_replace(F.regexp_replace(column, PATH_TOKEN, "<redacted-path>"), ADDRESS, "<addr>")
-    return F.substring(clean, 1, limit)
+    return clean if limit is None else F.substring(clean, 1, limit)
 
 
 def sensitive_scan(df: DataFrame, key: str, columns: list[str]) -> DataFrame:

@@ -1,6 +1,6 @@
 """Region graphs over label rasters: components, adjacency, merges, boundaries.
 
-Region ids are ``y * 65536 + x`` of the first pixel in scan order, so they are
+Region ids are ``y * 2**32 + x`` of the first pixel in scan order, so they are
 stable and need no renumbering pass.
 """
 
@@ -17,7 +17,7 @@ from mosaiq.operators.pixels import nearest_center
 from mosaiq.session import cut_lineage
 
 IMG = "image_id"
-STEP = 65536
+STEP = 1 << 32
 RUN_BAND = 256
 EDGE_CHUNK = 200_000
 
@@ -595,16 +595,14 @@ def component_iou(parts: DataFrame) -> DataFrame:
     ).select("*", F.concat_ws(",", *[F.col(f"w.{c}").cast("string") for c in ("x0", "y0", "w", "h")]).alias("worst_box")).drop("w")
 
 
-def weak_components(pair: DataFrame, parts: DataFrame, cs: str, ct: str, min_area: int = 48, max_weak: int = 6, cell: int = 32) -> DataFrame:
-    """Offset and scale of small components with IoU < .88 (the report keeps the first ``max_weak`` per image).
+def weak_components(pair: DataFrame, parts: DataFrame, cs: str, ct: str, min_area: int = 48, max_weak: int | None = None, cell: int = 32) -> DataFrame:
+    """Offset and scale of small components with IoU < .88; with ``max_weak`` only the first so many that pass, per image.
 
     Offsets compare the class pixels of both sides inside the padded box.
     """
     size = st.image_size(pair)
     w, h = F.col("x1") - F.col("x0") + 1, F.col("y1") - F.col("y0") + 1
     weak = parts.join(size, IMG).where((F.col("iou") < 0.88) & (F.greatest(w, h) <= F.greatest("_w", "_h") * 0.18))
-    first = Window.partitionBy(IMG).orderBy("label", "region")
-    weak = weak.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= max_weak)
     pad = F.greatest(F.lit(8), F.floor(F.greatest(w, h) * 0.35))
     box = weak.select(IMG, "region", "label", "iou", (F.col("x0") - pad).alias("bx0"), (F.col("x1") + pad).alias("bx1"), (F.col("y0") - pad).alias("by0"), (F.col("y1") + pad).alias("by1"))
     grid = box.withColumn("_cx", F.explode(F.sequence(F.floor(F.col("bx0") / cell), F.floor(F.col("bx1") / cell))))
@@ -617,6 +615,8 @@ def weak_components(pair: DataFrame, parts: DataFrame, cs: str, ct: str, min_are
         m += [F.count_if(on).alias(f"n{side}"), F.avg(F.when(on, F.col("x"))).alias(f"x{side}"), F.avg(F.when(on, F.col("y"))).alias(f"y{side}"),
               F.sqrt(F.var_pop(F.when(on, F.col("x"))) + F.var_pop(F.when(on, F.col("y")))).alias(f"rms{side}")]
     g = j.groupBy(IMG, "region", "label", "iou").agg(*m).where((F.col("ns") >= min_area * 0.4) & (F.col("nt") >= min_area * 0.4))
+    if max_weak is not None:
+        g = g.withColumn("_n", F.row_number().over(Window.partitionBy(IMG).orderBy("label", "region"))).where(F.col("_n") <= max_weak)
     return g.select(
         IMG, "region", F.bround("iou", 4).alias("iou"), F.bround(F.col("xs") - F.col("xt"), 2).alias("dx"), F.bround(F.col("ys") - F.col("yt"), 2).alias("dy"),
         F.bround(F.col("rmss") / F.greatest(F.col("rmst"), F.lit(1e-6)), 4).alias("scale"),
@@ -649,8 +649,8 @@ def crack_edges(rp: DataFrame, ids: str = "region") -> DataFrame:
 
 def _ends(cracks: DataFrame) -> DataFrame:
     """Two rows per crack edge: its corner, edge id and sides."""
-    eid = ((F.col("y0") * STEP + F.col("x0")).cast("bigint") * 2 + (F.col("x0") == F.col("x1")).cast("int")).alias("edge")
-    corner = lambda i: (F.col(f"y{i}") * STEP + F.col(f"x{i}")).cast("bigint")
+    eid = ((F.col("y0").cast("bigint") * STEP + F.col("x0")) * 2 + (F.col("x0") == F.col("x1")).cast("int")).alias("edge")
+    corner = lambda i: (F.col(f"y{i}").cast("bigint") * STEP + F.col(f"x{i}"))
     return cracks.select(IMG, eid, "left_id", "right_id", F.explode(F.array(corner(0), corner(1))).alias("corner"))
 
 
@@ -660,14 +660,14 @@ def lattice_vertices(cracks: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("degree"), F.array_distinct(F.flatten(F.collect_set(F.array("left_id", "right_id")))).alias("ids")
     )
     return g.where((F.col("degree") != 2) | (F.size("ids") >= 3)).select(
-        IMG, (F.col("corner") % STEP).cast("int").alias("x"), F.floor(F.col("corner") / STEP).cast("int").alias("y"), "degree", F.size("ids").alias("regions")
+        IMG, (F.col("corner") % STEP).cast("int").alias("x"), F.shiftright("corner", 32).cast("int").alias("y"), "degree", F.size("ids").alias("regions")
     )
 
 
 def boundary_chains(cracks: DataFrame, vertices: DataFrame) -> DataFrame:
     """Maximal chains of crack edges between vertices: (image_id, chain, edges, is_loop)."""
     ends = _ends(cracks)
-    v = vertices.select(IMG, (F.col("y") * STEP + F.col("x")).cast("bigint").alias("corner"), F.lit(True).alias("_v"))
+    v = vertices.select(IMG, (F.col("y").cast("bigint") * STEP + F.col("x")).alias("corner"), F.lit(True).alias("_v"))
     marked = ends.join(v, [IMG, "corner"], "left")
     inner = marked.where("_v is null").groupBy(IMG, "corner").agg(F.min("edge").alias("u"), F.max("edge").alias("v"))
     roots = graph_components(inner.select(IMG, "u", "v"))

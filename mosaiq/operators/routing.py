@@ -359,6 +359,7 @@ def artifact_gate(df: DataFrame) -> DataFrame:
     seam_max = F.least(gate_limit("seam_ratio"), base("baseline_seam_ratio") + 0.0005)
     strict = F.col("image_class").isin("clean_logo", "lineart", "geometric")
     alpha = F.col("has_alpha")
+    measured = F.col("alpha_iou").isNotNull()  # then a missing background counts as the worst
     required = ["seam_ratio", "de00_p95", "worst_face_de00", "ssim", "edge_f1"]
     hard = codes(
         ("topology_component_delta", strict & (F.col("comp_delta") > gate_limit("comp_delta"))),
@@ -371,8 +372,8 @@ def artifact_gate(df: DataFrame) -> DataFrame:
             (f"alpha_{bg}_{m}", alpha & cond)
             for bg in ("white", "black", "checker")
             for m, cond in [
-                ("ssim_below_min", base(f"{bg}_ssim") < gate_limit("alpha_background_ssim_min")),
-                ("mae_above_max", base(f"{bg}_mae") > gate_limit("alpha_background_mae_max")),
+                ("ssim_below_min", measured & (F.coalesce(base(f"{bg}_ssim"), F.lit(0.0)) < gate_limit("alpha_background_ssim_min"))),
+                ("mae_above_max", measured & (F.coalesce(base(f"{bg}_mae"), F.lit(1.0)) > gate_limit("alpha_background_mae_max"))),
             ]
         ],
     )

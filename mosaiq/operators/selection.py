@@ -190,17 +190,16 @@ def normalize_candidates(cand: DataFrame) -> DataFrame:
     )
 
 
-def reject_reasons(views: DataFrame, floor: float = QUALITY_FLOOR, max_candidates: int = MAX_CANDIDATES) -> DataFrame:
-    """Adds ``reasons`` (empty = eligible) to the first ``max_candidates`` by input position.
-
-    The limit is the reference behaviour of this report, applied on ``ord``.
-    """
+def reject_reasons(views: DataFrame, floor: float = QUALITY_FLOOR, max_candidates: int | None = None) -> DataFrame:
+    """Adds ``reasons`` (empty = eligible); with ``max_candidates`` only to the first so many by input position ``ord``."""
     reasons = F.concat(
         codes(("render_failed", ~F.col("rendered_ok")), ("fidelity_below_floor", F.col("fidelity") < floor)),
         F.col("hard_fail_codes"),
         F.transform("unmeasured_required", lambda c: F.concat(F.lit("unmeasured:"), c)),
     )
-    return views.where(F.col("ord") <= max_candidates).withColumn("reasons", reasons)
+    if max_candidates is not None:
+        views = views.where(F.col("ord") <= max_candidates)
+    return views.withColumn("reasons", reasons)
 
 
 def eligible(views: DataFrame) -> DataFrame:

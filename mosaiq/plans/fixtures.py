@@ -40,14 +40,14 @@ FROM (SELECT l_orderkey AS job_id, CAST(ROW_NUMBER() OVER (PARTITION BY l_orderk
   CASE WHEN l_tax=0 THEN NULL ELSE 50+l_quantity END AS fidelity, 1-l_discount AS edge_f1,
   CAST(FLOOR(l_extendedprice/100) AS INT) AS path_count, 60+l_tax*400 AS total_score, l_linestatus='O' AS rendered_ok FROM lineitem) t""",
     "bench": """
-SELECT CASE WHEN k<=3 THEN 'base' ELSE 'cur' END AS side, case_id, category, CAST((k-1)%3+1 AS INT) AS repeat_index,
+SELECT CASE WHEN (k-1)%6<3 THEN 'base' ELSE 'cur' END AS side, case_id, category, CAST((k-1)%3+1 AS INT) AS repeat_index,
   CONCAT(md5(CAST(CASE WHEN case_id%50=0 THEN case_id+k ELSE case_id END AS VARCHAR(20))), md5('artifact')) AS artifact_sha256,
   fidelity, ssim, edge_f1, alpha_iou, delta_e00, path_count, svg_bytes, render_ms, peak_rss_mb
-FROM (SELECT l_partkey AS case_id, CASE p_size%8 WHEN 0 THEN 'transparent' WHEN 1 THEN 'logos' WHEN 2 THEN 'seals' WHEN 3 THEN 'technical' WHEN 4 THEN 'signatures' WHEN 5 THEN 'gradients' WHEN 6 THEN 'low_resolution' ELSE 'multilingual' END AS category,
+FROM (SELECT *, part_id*1000+CAST(FLOOR((k-1)/6e0) AS BIGINT) AS case_id FROM (SELECT CAST(l_partkey AS BIGINT) AS part_id, CASE p_size%8 WHEN 0 THEN 'transparent' WHEN 1 THEN 'logos' WHEN 2 THEN 'seals' WHEN 3 THEN 'technical' WHEN 4 THEN 'signatures' WHEN 5 THEN 'gradients' WHEN 6 THEN 'low_resolution' ELSE 'multilingual' END AS category,
   ROW_NUMBER() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_suppkey, l_extendedprice, l_quantity, l_discount, l_tax, l_shipdate) AS k,
   50+l_quantity AS fidelity, 1-l_discount/2 AS ssim, 1-l_tax/2 AS edge_f1, CASE WHEN l_returnflag='N' THEN NULL ELSE 1-l_discount END AS alpha_iou,
   l_discount*100 AS delta_e00, CAST(FLOOR(l_extendedprice/100) AS DOUBLE) AS path_count, CAST(FLOOR(l_extendedprice) AS DOUBLE) AS svg_bytes, l_extendedprice/10 AS render_ms, l_quantity*10 AS peak_rss_mb
-  FROM lineitem JOIN part ON p_partkey=l_partkey) t WHERE k<=6""",
+  FROM lineitem JOIN part ON p_partkey=l_partkey) s) t""",
     "bench_case": """
 SELECT side, case_id, category, MIN(fidelity) AS fidelity, MIN(ssim) AS ssim, MIN(edge_f1) AS edge_f1, MIN(alpha_iou) AS alpha_iou,
   MAX(delta_e00) AS delta_e00, MAX(path_count) AS path_count, MAX(svg_bytes) AS svg_bytes, MAX(render_ms) AS render_ms, MAX(peak_rss_mb) AS peak_rss_mb

@@ -186,13 +186,13 @@ def _(t: Tables):
 
 
 @query("retry_audit", """
-WITH g AS (SELECT p_partkey AS case_id, i AS repeat_index FROM part CROSS JOIN (SELECT unnest([1,2,3]) AS i) q), x AS (
+WITH g AS (SELECT case_id, i AS repeat_index FROM (SELECT DISTINCT case_id FROM bench) c CROSS JOIN (SELECT unnest([1,2,3]) AS i) q), x AS (
 SELECT case_id, repeat_index, 'missing_identity' AS code FROM g ANTI JOIN retry USING (case_id, repeat_index)
 UNION ALL SELECT case_id, repeat_index, 'incomplete_sample' FROM retry WHERE status<>'success'
 UNION ALL SELECT case_id, repeat_index, 'non_allowlisted_retry_class' FROM retry WHERE retry_class='quality_threshold_failure')
 SELECT DISTINCT * FROM x""")
 def _(t: Tables):
-    return ev.retry_audit(t("part").select(F.col("p_partkey").alias("case_id")), t("retry"))
+    return ev.retry_audit(t("bench").select("case_id").distinct(), t("retry"))
 
 
 _COVER_SQL = """SELECT case_id, alpha_iou, CASE WHEN delta_e00>=9e0 THEN NULL ELSE delta_e00 END AS delta_e00, CASE WHEN ssim<0.96e0 OR delta_e00>=9e0 THEN NULL ELSE edge_f1 END AS edge_f1,
@@ -254,11 +254,11 @@ _RELEASE_SAMPLES = """SELECT side, case_id, CASE category WHEN 'gradients' THEN
 
 @query("mode_release", f"""
 WITH s AS ({_RELEASE_SAMPLES}), x AS (SELECT *, status='completed' AS dn, mode='photo_poster' AS ph, status='completed' AND mode<>'photo_poster' AND ink_precision IS NOT NULL AS mt FROM s),
-g AS (SELECT side, case_id, mode, COUNT(*) AS n, bool_and(dn) AS alldone, bool_and(status='unavailable') AS gone, bool_or(status='failed') AS failed, COUNT(DISTINCT artifact_sha256) AS shas,
+g AS (SELECT side, case_id, mode, COUNT(*) AS n, COUNT(DISTINCT repeat_index) AS ri, MIN(repeat_index) AS lo, MAX(repeat_index) AS hi, bool_and(dn) AS alldone, bool_and(status='unavailable') AS gone, bool_or(status='failed') AS failed, COUNT(DISTINCT artifact_sha256) AS shas,
   bool_and(verdict='production_ready') AS ready, bool_or(dn AND artifact_sha256<>evaluator_sha256) AS c1, bool_or(dn AND path_count<=0) AS c2, bool_or(dn AND ph AND verdict<>'needs_review') AS c3,
   bool_or(dn AND NOT ph AND ink_precision IS NULL) AS c4, COALESCE(bool_or(mt AND ink_recall<0.995e0),FALSE) AS c5, COALESCE(bool_or(mt AND ink_precision<0.975e0),FALSE) AS c6, bool_or(mt AND component_delta<>0) AS c7,
   bool_or(mt AND seam_ratio>0.002e0) AS c8, bool_or(mt AND halo_ratio>0.02e0) AS c9 FROM x GROUP BY side, case_id, mode),
-r AS (SELECT *, concat_ws(',', CASE WHEN n<>3 THEN 'repeat_sample_count_mismatch' END, CASE WHEN alldone AND c1 THEN 'evaluator_digest_mismatch' END, CASE WHEN alldone AND c2 THEN 'empty_vector_document' END,
+r AS (SELECT *, concat_ws(',', CASE WHEN n<>3 THEN 'repeat_sample_count_mismatch' END, CASE WHEN ri<>3 OR lo<>1 OR hi<>3 THEN 'repeat_indices_invalid' END, CASE WHEN alldone AND c1 THEN 'evaluator_digest_mismatch' END, CASE WHEN alldone AND c2 THEN 'empty_vector_document' END,
   CASE WHEN alldone AND c3 THEN 'false_production_ready' END, CASE WHEN alldone AND c4 THEN 'ink_precision_unmeasured' END, CASE WHEN alldone AND c5 THEN 'ink_recall_below_min' END, CASE WHEN alldone AND c6 THEN 'ink_precision_below_min' END,
   CASE WHEN alldone AND c7 THEN 'component_delta_nonzero' END, CASE WHEN alldone AND c8 THEN 'seam_ratio_above_max' END, CASE WHEN alldone AND c9 THEN 'halo_ratio_above_max' END, CASE WHEN failed THEN 'sample_failed' END,
   CASE WHEN alldone AND shas<>1 THEN 'non_deterministic_artifact_digest' END, CASE WHEN NOT alldone AND NOT gone THEN 'mixed_repeat_status' END) AS reason_codes FROM g)

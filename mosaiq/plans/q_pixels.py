@@ -166,7 +166,7 @@ def _(t: Tables):
     return rounded(st.area_downsample(t("px"), 4, ["r", "b"]))
 
 
-@query("redact", r"""SELECT doc_id, substring(regexp_replace(regexp_replace(CONCAT('/srv/data/f.txt 0xAF09 ', text), '(?:[A-Za-z]:)?(?:[\\/][\w.\-~+]+){2,}', '<redacted-path>', 'g'), '0x[0-9a-fA-F]+', '<addr>', 'g'),1,200) AS message FROM documents""")
+@query("redact", r"""SELECT doc_id, regexp_replace(regexp_replace(CONCAT('/srv/data/f.txt 0xAF09 ', text), '(?:[A-Za-z]:)?(?:[\\/][\w.\-~+]+){2,}', '<redacted-path>', 'g'), '0x[0-9a-fA-F]+', '<addr>', 'g') AS message FROM documents""")
 def _(t: Tables):
     return t("documents").withColumn("m", F.concat(F.lit("/srv/data/f.txt 0xAF09 "), "text")).select("doc_id", redact("m").alias("message"))
 

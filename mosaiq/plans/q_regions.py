@@ -252,7 +252,7 @@ def _(t: Tables):
 @query("weak_components")
 def _(t: Tables):
     p, parts = _parts(t)
-    return rg.weak_components(p, parts.withColumn("iou", F.col("iou") * 0.8).withColumn("x1", F.least("x1", F.col("x0") + 3)).withColumn("y1", F.least("y1", F.col("y0") + 3)), "label", "cls", 20)
+    return rg.weak_components(p, parts, "label", "cls", 20)
 
 
 @query("worst_region_de", f"WITH {k.delta_e('z', 'px_pair')} SELECT image_id, round(MAX(m),5) AS worst_face_de00 FROM (SELECT image_id, label, AVG(de00) AS m FROM z GROUP BY 1,2) q GROUP BY 1")
@@ -279,7 +279,7 @@ def _(t: Tables):
     return rg.lattice_vertices(rg.crack_edges(rg.components(t("px").select("image_id", "x", "y", "label"))))
 
 
-_CHAIN = """en AS (SELECT image_id, (y0*65536+x0)*2+CASE WHEN x0=x1 THEN 1 ELSE 0 END AS e, x0 AS x, y0 AS y FROM ck UNION ALL SELECT image_id, (y0*65536+x0)*2+CASE WHEN x0=x1 THEN 1 ELSE 0 END, x1, y1 FROM ck), iv AS (SELECT en.* FROM en ANTI JOIN vx USING (image_id, x, y)), lk AS (SELECT a.image_id, a.e AS u, b.e AS v FROM iv a JOIN iv b ON a.image_id=b.image_id AND a.x=b.x AND a.y=b.y AND a.e<>b.e),
+_CHAIN = """en AS (SELECT image_id, (CAST(y0 AS BIGINT)*4294967296+x0)*2+CASE WHEN x0=x1 THEN 1 ELSE 0 END AS e, x0 AS x, y0 AS y FROM ck UNION ALL SELECT image_id, (CAST(y0 AS BIGINT)*4294967296+x0)*2+CASE WHEN x0=x1 THEN 1 ELSE 0 END, x1, y1 FROM ck), iv AS (SELECT en.* FROM en ANTI JOIN vx USING (image_id, x, y)), lk AS (SELECT a.image_id, a.e AS u, b.e AS v FROM iv a JOIN iv b ON a.image_id=b.image_id AND a.x=b.x AND a.y=b.y AND a.e<>b.e),
 ch(image_id, s, n) AS (SELECT image_id, e, e FROM (SELECT DISTINCT image_id, e FROM en) z UNION SELECT ch.image_id, ch.s, lk.v FROM ch JOIN lk ON lk.image_id=ch.image_id AND lk.u=ch.n), cr AS (SELECT image_id, n AS e, MIN(s) AS chain FROM ch GROUP BY 1,2),
 cs AS (SELECT cr.image_id, chain, COUNT(DISTINCT cr.e) AS edges, bool_and(vx.x IS NULL) AS is_loop FROM cr JOIN en ON en.image_id=cr.image_id AND en.e=cr.e LEFT JOIN vx ON vx.image_id=en.image_id AND vx.x=en.x AND vx.y=en.y GROUP BY 1,2)"""
 
@@ -290,7 +290,7 @@ def _(t: Tables):
     return rg.boundary_chains(ck, rg.lattice_vertices(ck))
 
 
-@query("euler_check", f"""WITH RECURSIVE {_CC}, {_CRACK}, {_VERT}, {_CHAIN}, cl(image_id, s, n) AS (SELECT image_id, y*65536+x, y*65536+x FROM (SELECT DISTINCT image_id, x, y FROM cn) z UNION SELECT cl.image_id, cl.s, w.v FROM cl JOIN (SELECT image_id, y0*65536+x0 AS u, y1*65536+x1 AS v FROM ck UNION ALL SELECT image_id, y1*65536+x1, y0*65536+x0 FROM ck) w ON w.image_id=cl.image_id AND w.u=cl.n),
+@query("euler_check", f"""WITH RECURSIVE {_CC}, {_CRACK}, {_VERT}, {_CHAIN}, cl(image_id, s, n) AS (SELECT image_id, CAST(y AS BIGINT)*4294967296+x, CAST(y AS BIGINT)*4294967296+x FROM (SELECT DISTINCT image_id, x, y FROM cn) z UNION SELECT cl.image_id, cl.s, w.v FROM cl JOIN (SELECT image_id, CAST(y0 AS BIGINT)*4294967296+x0 AS u, CAST(y1 AS BIGINT)*4294967296+x1 AS v FROM ck UNION ALL SELECT image_id, CAST(y1 AS BIGINT)*4294967296+x1, CAST(y0 AS BIGINT)*4294967296+x0 FROM ck) w ON w.image_id=cl.image_id AND w.u=cl.n),
 cq AS (SELECT image_id, COUNT(DISTINCT r) AS c FROM (SELECT image_id, n, MIN(s) AS r FROM cl GROUP BY 1,2) z GROUP BY 1), ee AS (SELECT image_id, COUNT(*) AS e, COUNT(*) FILTER (is_loop) AS loops FROM cs GROUP BY 1), vv AS (SELECT image_id, COUNT(*) AS v FROM vx GROUP BY 1), ff AS (SELECT image_id, COUNT(DISTINCT region)+1 AS f FROM cc GROUP BY 1)
 SELECT ff.image_id, COALESCE(v,0)+loops AS v, e, f, c, COALESCE(v,0)+loops-e+f=c+1 AS euler_ok FROM ff JOIN ee USING (image_id) JOIN cq USING (image_id) LEFT JOIN vv USING (image_id)""")
 def _(t: Tables):

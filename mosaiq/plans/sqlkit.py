@@ -58,7 +58,7 @@ def components(name: str, src: str, label: str = "label", conn: int = 4) -> str:
     )
     values = ",".join(f"({dx},{dy})" for dx, dy in steps)
     return f"""{name}_p AS (SELECT image_id, x, y, {label} AS label FROM {src}),
-{name}_c(image_id, s, x, y, label) AS (SELECT image_id, CAST(y AS BIGINT)*65536+x, x, y, label FROM {name}_p a WHERE {before}
+{name}_c(image_id, s, x, y, label) AS (SELECT image_id, CAST(y AS BIGINT)*4294967296+x, x, y, label FROM {name}_p a WHERE {before}
  UNION SELECT c.image_id, c.s, p.x, p.y, p.label FROM {name}_c c CROSS JOIN (VALUES {values}) o(dx,dy) JOIN {name}_p p ON p.image_id=c.image_id AND p.x=c.x+o.dx AND p.y=c.y+o.dy AND p.label=c.label),
 {name} AS (SELECT image_id, x, y, label, MIN(s) AS region FROM {name}_c GROUP BY image_id, x, y, label)"""
 

@@ -28,6 +28,9 @@ def stream_attempts(attempts: DataFrame, limit: int, window_seconds: int) -> Dat
     )
 
 
+EPOCH = datetime(1970, 1, 1)  # event times are naive and in the session's zone, which is UTC
+
+
 class JobLifecycle(StatefulProcessor):
     """Per-job state: terminal states are final, silent jobs become stale after ``ttl``."""
 
@@ -54,11 +57,11 @@ class JobLifecycle(StatefulProcessor):
             self.handle.deleteTimer(timer)
         if state not in TERMINAL:
             due = at + timedelta(seconds=self.ttl_seconds)
-            self.handle.registerTimer(int(due.timestamp() * 1000))
+            self.handle.registerTimer(int((due - EPOCH) / timedelta(milliseconds=1)))
         yield pd.DataFrame(out, columns=["job_id", "ts", "state", "accepted"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        due = datetime.fromtimestamp(expiredTimerInfo.getExpiryTimeInMs() / 1000)
+        due = EPOCH + timedelta(milliseconds=expiredTimerInfo.getExpiryTimeInMs())
         if self.job.exists() and self.job.get()[0] not in TERMINAL:
             self.job.update(("stale", due))
             yield pd.DataFrame([(key[0], due, "stale", True)], columns=["job_id", "ts", "state", "accepted"])

@@ -36,14 +36,14 @@ def flood(a, conn):
         for x in range(w):
             if out[y, x] >= 0:
                 continue
-            out[y, x] = y * 65536 + x
+            out[y, x] = (y << 32) + x
             todo = [(x, y)]
             while todo:
                 cx, cy = todo.pop()
                 for dx, dy in steps:
                     nx, ny = cx + dx, cy + dy
                     if 0 <= nx < w and 0 <= ny < h and out[ny, nx] < 0 and a[ny, nx] == a[y, x]:
-                        out[ny, nx] = y * 65536 + x
+                        out[ny, nx] = (y << 32) + x
                         todo.append((nx, ny))
     return out
 
@@ -159,7 +159,7 @@ def test_holes_by_euler(spark):
     a[2:9, 2:9] = 1
     a[4, 4] = a[6, 6] = 0
     got = {r["region"]: r["holes"] for r in rg.holes_by_euler(rg.components(raster(spark, {"label": a}))).collect()}
-    assert got[2 * 65536 + 2] == 2 and got[0] == 1
+    assert got[(2 << 32) + 2] == 2 and got[0] == 1
 
 
 def test_kmeans_recovers_separate_colours(spark):
