@@ -6,6 +6,10 @@ Points: path_id, seq (0..n-1), x, y, closed.  Paths are bounded point lists
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 # Smoothing and scoring constants.
@@ -27,11 +31,14 @@ def neighbour(c: str, k: int) -> Column:
     if k == 0:
         return F.col(c)
     near = F.lead(c, k).over(path_window()) if k > 0 else F.lag(c, -k).over(path_window())
-    # wrap: the k-th point from the other end of the path
-    full = path_window().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    # wrap: one of the first k points of the path, or of the last ones
+    order = F.col("seq") if k > 0 else F.desc("seq")
+    full = Window.partitionBy("path_id").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     n = F.count(F.lit(1)).over(whole_path())
-    ring = F.collect_list(c).over(full)
-    return F.coalesce(near, F.when(F.col("closed"), F.get(ring, F.pmod(F.col("seq") + k, n).cast("int"))))
+    place = F.pmod(F.col("seq") + k, n)
+    rank = place if k > 0 else n - 1 - place
+    ring = F.coalesce(*[F.when(rank == j, F.nth_value(c, j + 1).over(full)) for j in range(abs(k))])
+    return F.coalesce(near, F.when(F.col("closed"), ring))
 
 
 def angle_between(ax: Column, ay: Column, bx: Column, by: Column) -> Column:
@@ -56,14 +63,37 @@ def turn_angle(points: DataFrame, k: int = 1) -> DataFrame:
 
 
 def dedupe_points(points: DataFrame, tol: float = 0.6) -> DataFrame:
-    """Drop points within ``tol`` of the last kept one, and a last point equal to the first."""
-    item = F.struct("seq", "x", "y")
-    ps = points.groupBy("path_id", "closed").agg(F.array_sort(F.collect_list(item)).alias("ps"))
-    far = f"hypot(p.x - element_at(acc, -1).x, p.y - element_at(acc, -1).y) > {tol}d"
-    kept = F.expr(f"aggregate(slice(ps, 2, size(ps)), slice(ps, 1, 1), (acc, p) -> CASE WHEN {far} THEN concat(acc, array(p)) ELSE acc END)")
-    ps = ps.withColumn("k", kept)
-    tail = F.expr(f"CASE WHEN size(k) > 1 AND hypot(k[0].x - element_at(k, -1).x, k[0].y - element_at(k, -1).y) <= {tol}d THEN slice(k, 1, size(k) - 1) ELSE k END")
-    return ps.select("path_id", "closed", F.posexplode(tail).alias("new_seq", "p")).select("path_id", F.col("new_seq").alias("seq"), "p.x", "p.y", "closed", F.col("p.seq").alias("source_seq"))
+    """Drop points within ``tol`` of the last kept one, and a last point equal to the first.
+
+    Each point depends on the last one kept, so the sorted points of a partition are
+    read in batches that carry it on; a path may be of any length.
+    """
+    types = dict(points.dtypes)
+    schema = f"path_id {types['path_id']}, seq int, x double, y double, closed {types['closed']}, source_seq {types['seq']}"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        path = first = last = None
+        held: list[tuple] = []  # the last kept point waits: the end of its path decides
+
+        def close() -> list[tuple]:
+            same = held and last[0] > 0 and math.hypot(first[0] - last[1], first[1] - last[2]) <= tol
+            return [] if same else held[:]
+
+        for batch in batches:
+            out: list[tuple] = []
+            for key, seq, x, y, closed in batch[["path_id", "seq", "x", "y", "closed"]].itertuples(index=False):
+                if key != path:
+                    out += close()
+                    path, first, last, held = key, (x, y), (0, x, y), [(key, 0, x, y, closed, seq)]
+                elif math.hypot(x - last[1], y - last[2]) > tol:
+                    out += held
+                    last = (last[0] + 1, x, y)
+                    held = [(key, last[0], x, y, closed, seq)]
+            yield pd.DataFrame(out, columns=["path_id", "seq", "x", "y", "closed", "source_seq"])
+        yield pd.DataFrame(close(), columns=["path_id", "seq", "x", "y", "closed", "source_seq"])
+
+    ordered = points.select("path_id", "seq", "x", "y", "closed").repartition("path_id").sortWithinPartitions("path_id", "seq")
+    return ordered.mapInPandas(run, schema)
 
 
 def merge_collinear(points: DataFrame, tol_deg: float) -> DataFrame:
