@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import os
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from mosaiq.session import cut_lineage
+from mosaiq.session import cut_lineage, ensure_checkpoint_dir
 
 WORD = r"[^\x20\x09-\x0D]+"
 """Words of a text: runs of anything but ASCII white space."""
@@ -31,9 +31,15 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def package_on_workers() -> str:
-    """Folder of this package: Python workers of a local session import it from there."""
-    return os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet into the shared checkpoint folder and read again; the files go with the session."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    sc = spark.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(sc._jsc.sc().getCheckpointDir().get(), f"table-{uuid.uuid4().hex}")
+    df.write.parquet(path.toString())
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return spark.read.parquet(path.toString())
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -19,7 +19,6 @@ Blocks of anchors travel packed; Spark deals them by anchor, and marks and texts
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -164,6 +163,22 @@ def _later_copies(x: dict[str, np.ndarray], ids: np.ndarray | None) -> tuple[dic
     return x, first, (doc != doc[at]) | (x["lo"] != x["lo"][at])
 
 
+def _pack_found(x: dict[str, np.ndarray], ids: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Packs what a task has found: first occurrences by anchor (kind 0), later ones, which are settled, by document (kind 1)."""
+    x, once, later = _later_copies(x, ids)
+    for kind, rows in ((0, once), (1, later)):
+        part = {k: v[rows] for k, v in x.items()}
+        key = part["gram"] if kind == 0 else mix(ids[part["doc"]].view(U64))
+        if kind == 1:
+            part["gram"] = part["context"] = np.zeros(0, U64)
+        bucket = (key >> U64(48)).astype(np.int64) % buckets
+        order = np.argsort(bucket, kind="stable")
+        cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        for b in np.flatnonzero(np.diff(cut)):
+            at = order[cut[b] : cut[b + 1]]
+            yield _packed(b, kind, {k: v[at] if len(v) else v for k, v in part.items()}, ids)
+
+
 def _find(buckets: int):
     """Anchors of texts, packed by bucket. What is a later copy inside the task's own texts is settled here (kind 1)."""
 
@@ -172,22 +187,6 @@ def _find(buckets: int):
         ids: list[np.ndarray] = []
         docs = size = 0
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            names = np.concatenate(ids)
-            x, once, later = _later_copies({k: np.concatenate([h[k] for h in held]) for k in held[0]}, names)
-            for kind, rows in ((0, once), (1, later)):
-                # open anchors are dealt by anchor, settled ones by document
-                part = {k: v[rows] for k, v in x.items()}
-                key = part["gram"] if kind == 0 else mix(names[part["doc"]].view(U64))
-                if kind == 1:
-                    part["gram"] = part["context"] = np.zeros(0, U64)
-                bucket = (key >> U64(48)).astype(np.int64) % buckets
-                order = np.argsort(bucket, kind="stable")
-                cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
-                for b in np.flatnonzero(np.diff(cut)):
-                    at = order[cut[b] : cut[b + 1]]
-                    yield _packed(b, kind, {k: v[at] if len(v) else v for k, v in part.items()}, names)
-
         for batch in batches:
             data, at = text_buffers(batch.column(1))
             name = np.asarray(batch.column(0))
@@ -200,10 +199,10 @@ def _find(buckets: int):
                 docs += last - first
                 size += len(x["lo"])
                 if size >= FLUSH:
-                    yield from flush()
+                    yield from _pack_found({k: np.concatenate([h[k] for h in held]) for k in x}, np.concatenate(ids), buckets)
                     held, ids, docs, size = [], [], 0, 0
         if held:
-            yield from flush()
+            yield from _pack_found({k: np.concatenate([h[k] for h in held]) for k in held[0]}, np.concatenate(ids), buckets)
 
     return run
 
@@ -345,20 +344,22 @@ def _factor_marks(buckets: int):
     return run
 
 
-def _single_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for first in range(0, len(batch), 2048):
-            table = pa.Table.from_batches([batch.slice(first, 2048)])
-            strings, row, doc, start = _suffixes_of(table)
-            names = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in strings]
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(doc), pa.array(start)], names=["name", "doc", "lo"])
-
+def _single_strings(buckets: int):
+    """The strings of crowded anchors one by one: dealt by the hash of the string, and settled like contexts."""
+    powers = [np.cumprod(np.full(LENGTH, base | 1, dtype=U64)) for base in (_BASE, _ROLL[0])]
 
-def _pack_singles(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            doc, lo = np.asarray(batch.column(0)), np.asarray(batch.column(1))
-            yield from _deal_marks(1, {"doc": doc, "lo": lo, "span": np.zeros(len(doc), np.uint8)}, buckets)
+            held: list[dict[str, np.ndarray]] = []
+            for first in range(0, len(batch), 512):
+                strings, _, doc, start = _suffixes_of(pa.Table.from_batches([batch.slice(first, 512)]))
+                value = _BYTE[strings]
+                none = np.zeros(len(doc), np.int64)
+                held.append({"doc": doc, "lo": start, "span": none, "off": none, "gram": mix((value * powers[0]).sum(axis=1)), "context": mix((value * powers[1]).sum(axis=1))})
+            if held:
+                x = {k: np.concatenate([h[k] for h in held]) for k in held[0]}
+                ids, x["doc"] = np.unique(x["doc"], return_inverse=True)
+                yield from _pack_found(x, ids, buckets)
 
     return run
 
@@ -420,10 +421,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     factors = few.repartition(buckets, "gram").sortWithinPartitions("gram").select("gram", "doc", "lo", "off", "part").mapInArrow(_factor_marks(buckets), _MARKS)
     every = marks.where("kind = 1").unionByName(factors)
     if crowded.limit(1).count():
-        single = cut_lineage(parts.join(crowded, "gram", "left_semi").select("gram", "doc", "lo", "off", "part").mapInArrow(_single_strings, "name binary, doc long, lo long"))
-        first = single.groupBy("name").agg(F.min(F.struct("doc", "lo")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("name", "first")
-        later = single.join(first, "name").where(F.struct("doc", "lo") != F.col("first")).select("doc", "lo")
-        every = every.unionByName(later.mapInArrow(_pack_singles(buckets), _MARKS))
+        single = parts.join(crowded, "gram", "left_semi").select("gram", "doc", "lo", "off", "part").mapInArrow(_single_strings(buckets), _PACK)
+        every = every.unionByName(single.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_settle(buckets), _MARKS).where("kind = 1"))
     return meet(every, rows).mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, edges array<long>, kept binary")
 
 
