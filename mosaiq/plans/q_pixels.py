@@ -525,10 +525,19 @@ def _(t: Tables):
     return px.symmetrize(p, px.mirror_score(p), mean_tol=150.0, hi_tol=0.8)
 
 
-@query("smooth_flat_zone")
+_FLAT_ROWS = """e AS (SELECT image_id, x, y, sqrt(gx*gx+gy*gy)/8e0 AS e FROM sb), n AS (SELECT p.image_id, p.x, p.y, AVG(q.e) AS energy FROM e p JOIN e q ON q.image_id=p.image_id AND ABS(q.x-p.x)<=7 AND ABS(q.y-p.y)<=7 GROUP BY 1,2,3),
+fl AS (SELECT v.*, chroma<=12 AND energy<=1 AS flat FROM v JOIN n USING (image_id, x, y)), sf AS (SELECT p.image_id, p.x, p.y, p.l, p.chroma, bool_and(q.flat) AS safe FROM fl p JOIN fl q ON q.image_id=p.image_id AND ABS(q.x-p.x)<=6 AND ABS(q.y-p.y)<=6 GROUP BY 1,2,3,4,5),
+us AS (SELECT image_id, AVG(CASE WHEN safe THEN 1 ELSE 0 END)>0.03e0 AS u FROM sf GROUP BY 1)"""
+
+
+@query("smooth_flat_zone", f"""WITH gr AS (SELECT image_id, x, y, 128+CAST(FLOOR(x/12e0) AS INT) AS r, 128+CAST(FLOOR(x/12e0) AS INT) AS g, CASE WHEN image_id%3=0 THEN b ELSE 128+CAST(FLOOR(x/12e0) AS INT) END AS b FROM px), {k.lab8('lb', 'gr', [('r', 'g', 'b', 'z')])},
+v AS (SELECT image_id, x, y, CAST(zl8 AS DOUBLE) AS l, sqrt(power(za8-128,2)+power(zb8-128,2)) AS chroma FROM lb), {k.sobel('sb', 'v', 'l', 24)}, {_FLAT_ROWS}, {k.blur('bl', 'v', ['l'], 0.3 * ((15 - 1) * 0.5 - 1) + 0.8, 24)}
+SELECT sf.image_id, sf.x, sf.y, round(chroma,6) AS chroma, round(CASE WHEN u AND safe THEN l_blur ELSE l END,6) AS l, u AND safe AS smoothed FROM sf JOIN us USING (image_id) JOIN bl USING (image_id, x, y)""")
 def _(t: Tables):
-    lab = cl.with_lab8(t("px"), ("r", "g", "b"), "z").select("image_id", "x", "y", F.col("zl8").cast("double").alias("l"), F.hypot(F.col("za8") - 128.0, F.col("zb8") - 128.0).alias("chroma"))
-    return rounded(st.smooth_flat_zone(lab, "l", "chroma", ["l"], reach=1))
+    grey = F.lit(128) + F.floor(F.col("x") / 12).cast("int")
+    p = t("px").select("image_id", "x", "y", grey.alias("r"), grey.alias("g"), F.when(F.col("image_id") % 3 == 0, F.col("b")).otherwise(grey).alias("b"))
+    lab = cl.with_lab8(p, ("r", "g", "b"), "z").select("image_id", "x", "y", F.col("zl8").cast("double").alias("l"), F.hypot(F.col("za8") - 128.0, F.col("zb8") - 128.0).alias("chroma"))
+    return rounded(st.smooth_flat_zone(lab, "l", "chroma", ["l"]))
 
 
 # -- markup -------------------------------------------------------------------------------

@@ -249,10 +249,16 @@ def _(t: Tables):
     return rg.component_iou(_parts(t)[1])
 
 
-@query("weak_components")
+# small parts of the noisier side, looked up in the other one
+@query("weak_components", f"""WITH RECURSIVE {_CLS}, cq AS (SELECT image_id, x, y, t AS label, label AS t FROM cp), {k.components('cc', 'cq', 'label', 8)}, st AS (SELECT cc.image_id, cc.region, cc.label, COUNT(*) AS area, COUNT(*) FILTER (cq.t=cc.label) AS inter, MIN(cc.x) AS x0, MIN(cc.y) AS y0, MAX(cc.x) AS x1, MAX(cc.y) AS y1 FROM cc JOIN cq USING (image_id, x, y) GROUP BY 1,2,3),
+rr AS (SELECT image_id, region, label, COUNT(*) AS rr FROM (SELECT DISTINCT cc.image_id, cc.region, cc.label, q.x, q.y FROM cc JOIN cq q ON q.image_id=cc.image_id AND q.t=cc.label AND ABS(q.x-cc.x)<=4 AND ABS(q.y-cc.y)<=4) z GROUP BY 1,2,3), ps AS (SELECT st.*, inter/(area+COALESCE(rr,0)-inter) AS iou FROM st LEFT JOIN rr USING (image_id, region, label)),
+bx AS (SELECT *, GREATEST(8, FLOOR(GREATEST(x1-x0+1,y1-y0+1)*0.35e0)) AS pad FROM ps WHERE iou<0.88e0 AND GREATEST(x1-x0+1,y1-y0+1)<=24*0.18e0),
+g AS (SELECT b.image_id, b.region, b.label, b.iou, COUNT(*) FILTER (p.label=b.label) AS ns, COUNT(*) FILTER (p.t=b.label) AS nt, AVG(p.x) FILTER (p.label=b.label) AS xs, AVG(p.y) FILTER (p.label=b.label) AS ys, AVG(p.x) FILTER (p.t=b.label) AS xt, AVG(p.y) FILTER (p.t=b.label) AS yt,
+ sqrt(var_pop(p.x) FILTER (p.label=b.label)+var_pop(p.y) FILTER (p.label=b.label)) AS rs, sqrt(var_pop(p.x) FILTER (p.t=b.label)+var_pop(p.y) FILTER (p.t=b.label)) AS rt FROM bx b JOIN cq p ON p.image_id=b.image_id AND p.x BETWEEN b.x0-pad AND b.x1+pad AND p.y BETWEEN b.y0-pad AND b.y1+pad GROUP BY 1,2,3,4)
+SELECT image_id, region, round_even(iou,4) AS iou, round_even(xs-xt,2) AS dx, round_even(ys-yt,2) AS dy, round_even(rs/GREATEST(rt,1e-6),4) AS scale FROM g WHERE ns>=0.4e0 AND nt>=0.4e0""")
 def _(t: Tables):
-    p, parts = _parts(t)
-    return rg.weak_components(p, parts, "label", "cls", 20)
+    p, _ = _parts(t)
+    return rounded(rg.weak_components(p, rg.component_parts(p, "cls", "label", 1), "cls", "label", 1), 4)
 
 
 @query("worst_region_de", f"WITH {k.delta_e('z', 'px_pair')} SELECT image_id, round(MAX(m),5) AS worst_face_de00 FROM (SELECT image_id, label, AVG(de00) AS m FROM z GROUP BY 1,2) q GROUP BY 1")
@@ -337,7 +343,10 @@ def _(t: Tables):
     return rounded(pt.turn_angle(t("curve"), 2).select("path_id", "seq", "turn"), 5)
 
 
-@query("dedupe_points")
+@query("dedupe_points", """WITH RECURSIVE r(path_id, seq, kx, ky, kept) AS (SELECT path_id, seq, x, y, TRUE FROM curve WHERE seq=0
+ UNION ALL SELECT c.path_id, c.seq, CASE WHEN sqrt(power(c.x-r.kx,2)+power(c.y-r.ky,2))>30 THEN c.x ELSE r.kx END, CASE WHEN sqrt(power(c.x-r.kx,2)+power(c.y-r.ky,2))>30 THEN c.y ELSE r.ky END, sqrt(power(c.x-r.kx,2)+power(c.y-r.ky,2))>30 FROM r JOIN curve c ON c.path_id=r.path_id AND c.seq=r.seq+1),
+k AS (SELECT path_id, seq AS source_seq, kx AS x, ky AS y, ROW_NUMBER() OVER w-1 AS seq, COUNT(*) OVER (PARTITION BY path_id) AS n, first_value(kx) OVER w AS fx, first_value(ky) OVER w AS fy FROM r WHERE kept WINDOW w AS (PARTITION BY path_id ORDER BY seq))
+SELECT k.path_id, CAST(k.seq AS INT) AS seq, round(k.x,6) AS x, round(k.y,6) AS y, c.closed, k.source_seq FROM k JOIN curve c ON c.path_id=k.path_id AND c.seq=k.source_seq WHERE NOT (n>1 AND k.seq=n-1 AND sqrt(power(k.x-fx,2)+power(k.y-fy,2))<=30)""")
 def _(t: Tables):
     return rounded(pt.dedupe_points(t("curve"), 30.0))
 
@@ -367,7 +376,13 @@ def _(t: Tables):
     return rounded(pt.snap_diagonal(t("curve"), 20.0), 5)
 
 
-@query("corner_intersections")
+_NEAR_AXIS = "(LEAST({0},180-{0})<=25 OR ABS({0}-90)<=25)"
+
+
+@query("corner_intersections", f"""WITH {_NB1}, z AS (SELECT *, {_MOD180('degrees(atan2(y-py,x-px))')} AS a1, {_MOD180('degrees(atan2(ny-y,nx-x))')} AS a2, (px-x)*(y-ny)-(py-y)*(x-nx) AS den, px*y-py*x AS p, x*ny-y*nx AS q FROM nb),
+i AS (SELECT *, (p*(x-nx)-(px-x)*q)/den AS ix, (p*(y-ny)-(py-y)*q)/den AS iy FROM z),
+o AS (SELECT *, COALESCE({_NEAR_AXIS.format('a1')} AND {_NEAR_AXIS.format('a2')} AND ABS(den)>=1e-9 AND sqrt(power(ix-x,2)+power(iy-y,2))<GREATEST(sqrt(power(x-px,2)+power(y-py,2)), sqrt(power(nx-x,2)+power(ny-y,2))), FALSE) AS ok FROM i)
+SELECT path_id, seq, round(CASE WHEN ok THEN ix ELSE x END,6) AS x, round(CASE WHEN ok THEN iy ELSE y END,6) AS y, closed FROM o""")
 def _(t: Tables):
     return rounded(pt.corner_intersections(t("curve"), 25.0))
 
@@ -375,9 +390,9 @@ def _(t: Tables):
 @query("run_stats", f"""WITH RECURSIVE op AS (SELECT path_id, seq, x, y FROM curve), s AS (SELECT a.path_id, sqrt(power(b.x-a.x,2)+power(b.y-a.y,2)) AS l, {_MOD180('degrees(atan2(b.y-a.y,b.x-a.x))')} AS a FROM op a JOIN op b ON b.path_id=a.path_id AND b.seq=a.seq+1), sa AS (SELECT path_id, COUNT(*) AS seg, COUNT(*) FILTER (l<2.5e0) AS short, SUM(l) AS tl, COALESCE(SUM(l) FILTER (LEAST(a,180-a)<=6 OR ABS(a-45)<=6 OR ABS(a-90)<=6 OR ABS(a-135)<=6),0) AS al FROM s WHERE l>=1e-9 GROUP BY 1),
 v AS (SELECT b.path_id, degrees(acos(GREATEST(-1,LEAST(1,((b.x-a.x)*(c.x-b.x)+(b.y-a.y)*(c.y-b.y))/(sqrt(power(b.x-a.x,2)+power(b.y-a.y,2))*sqrt(power(c.x-b.x,2)+power(c.y-b.y,2))))))) AS t FROM op a JOIN op b ON b.path_id=a.path_id AND b.seq=a.seq+1 JOIN op c ON c.path_id=b.path_id AND c.seq=b.seq+1),
 va AS (SELECT path_id, COUNT(*) AS verts, COUNT(*) FILTER (t BETWEEN 25 AND 150) AS corner_v, COUNT(*) FILTER (t>=3 AND t<25) AS facet_v, COUNT(*) FILTER (t>150) AS dirty_v FROM v GROUP BY 1)
-SELECT path_id, seg, short, verts, corner_v, facet_v, dirty_v, round(tl,5) AS total_len, round(GREATEST(0e0,1-0.7e0*facet_v/verts-0.5e0*short/seg),4) AS straight_edge_score, round(LEAST(1e0,al/tl),4) AS axis_alignment_score, round(GREATEST(0e0,1-(dirty_v/verts+short/seg)),4) AS corner_cleanliness_score FROM sa JOIN va USING (path_id)""")
+SELECT *, round_even((straight_edge_score+axis_alignment_score+corner_cleanliness_score)/3e0,4) AS geometry_score FROM (SELECT path_id, seg, short, verts, corner_v, facet_v, dirty_v, round(tl,5) AS total_len, round(al,5) AS aligned_len, round(GREATEST(0e0,1-0.7e0*facet_v/verts-0.5e0*short/seg),4) AS straight_edge_score, round(LEAST(1e0,al/tl),4) AS axis_alignment_score, round(GREATEST(0e0,1-(dirty_v/verts+short/seg)),4) AS corner_cleanliness_score FROM sa JOIN va USING (path_id)) z""")
 def _(t: Tables):
-    return rounded(pt.run_stats(t("curve")).drop("aligned_len", "geometry_score"), 5)
+    return rounded(pt.run_stats(t("curve")), 5)
 
 
 def _taubin_sql() -> str:
@@ -430,6 +445,6 @@ def _(t: Tables):
     return rounded(pt.signed_area(t("curve")), 4)
 
 
-@query("circularity", f"""WITH {_RING}, s AS (SELECT path_id, ABS(SUM(x*ny-nx*y)/2) AS area, SUM(sqrt(power(nx-x,2)+power(ny-y,2))) AS p, (MAX(x)-MIN(x))*(MAX(y)-MIN(y)) AS box FROM rg GROUP BY 1) SELECT path_id, round(area,4) AS area, round(p,4) AS perimeter, round(4*pi()*area/(p*p),4) AS circularity, round(area/box,4) AS box_fill FROM s""")
+@query("circularity", f"""WITH {_RING}, s AS (SELECT path_id, ABS(SUM(x*ny-nx*y)/2) AS area, SUM(sqrt(power(nx-x,2)+power(ny-y,2))) AS p, (MAX(x)-MIN(x))*(MAX(y)-MIN(y)) AS box FROM rg GROUP BY 1) SELECT path_id, round(area,4) AS area, round(p,4) AS perimeter, round(4*pi()*area/(p*p),4) AS circularity, round(area/box,4) AS box_fill, round(p*p/(4*pi()*area),4) AS elongation FROM s""")
 def _(t: Tables):
-    return rounded(pt.circularity(t("curve")).drop("elongation"), 4)
+    return rounded(pt.circularity(t("curve")), 4)
