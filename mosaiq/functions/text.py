@@ -32,8 +32,12 @@ def sensitive_scan(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
 
 
 def markup_structure(df: DataFrame, key: str, column: str = "text") -> DataFrame:
-    """Counts and defect codes of vector markup text (well-formedness itself is not checked)."""
-    c = F.col(column)
+    """Counts and defect codes of vector markup text (well-formedness itself is not checked).
+
+    References count if the gradient they name exists.
+    """
+    # attributes in single quotes are read like those in double ones
+    c = F.regexp_replace(column, r"(\s[\w:.-]+\s*=\s*)'([^'\"<]*)'", r'$1"$2"')
     low = F.lower(c)
     n = lambda p: F.regexp_count(c, F.lit(p))
     d_attr = r"(?i)<path\b[^>]*?\sd\s*=\s*\"([^\"]*)\""
@@ -41,6 +45,8 @@ def markup_structure(df: DataFrame, key: str, column: str = "text") -> DataFrame
         F.regexp_extract_all(c, F.lit(d_attr), F.lit(1)), F.lit(0), lambda acc, d: acc + F.regexp_count(d, F.lit("[MmLlHhVvCcSsQqTtAaZz]"))
     )
     href = r"(?i)\s(?:xlink:)?(?:href|src)\s*=\s*\""
+    ids = F.regexp_extract_all(c, F.lit(r"(?i)<(?:linear|radial|mesh)gradient\b[^>]*?\sid\s*=\s*\"([^\"]+)\""), F.lit(1))
+    used = F.regexp_extract_all(c, F.lit(r"url\(\s*['\"]?#([^)'\"\s]+)"), F.lit(1))
     raster = low.rlike(r"<image\b") | low.rlike(href + r"\s*data:image")
     external = low.rlike(href + r"\s*(?!data:image)[^#\"\s]") | low.rlike(r"url\(\s*['\"]?\s*[^#'\"\s)]")
     viewbox = F.regexp_extract(c, r"(?i)<svg\b[^>]*?\sviewbox\s*=\s*\"([^\"]*)\"", 1)
@@ -55,11 +61,13 @@ def markup_structure(df: DataFrame, key: str, column: str = "text") -> DataFrame
         ("embedded_raster", raster), *tags,
         ("event_handler", low.rlike(r"<[a-z][^>]*\son[a-z]+\s*=")),
         ("external_reference", external),
+        ("unsafe_css", low.rlike(r">[^<]*(?:javascript:|@import|data:)")),
         ("unsafe_uri", low.rlike(r"javascript:|=\s*\"\s*data:")),
         ("nonfinite_geometry", low.rlike(r"\s(?:d|points|transform|viewbox|x|y|x1|y1|x2|y2|cx|cy|r|rx|ry|width|height)\s*=\s*\"[^\"]*\b(?:nan|inf|infinity)\b")),
     )
     return df.select(
         key, n(r"(?i)<path\b").alias("path_count"), node_count.alias("node_count"),
         n(r"(?i)<linearGradient\b").alias("linear_gradient_count"), n(r"(?i)<radialGradient\b").alias("radial_gradient_count"),
-        n(r"url\(#").alias("gradient_reference_count"), F.array_join(found, ",").alias("codes"),
+        n(r"(?i)<meshGradient\b").alias("mesh_gradient_count"), n(r"(?i)<(?:linear|radial|mesh)Gradient\b").alias("gradient_count"),
+        F.size(F.filter(used, lambda u: F.array_contains(ids, u))).alias("gradient_reference_count"), F.array_join(found, ",").alias("codes"),
     )

@@ -100,6 +100,10 @@ SELECT p_partkey AS doc_id, CONCAT(CASE WHEN p_partkey%31=0 THEN '<html>' ELSE '
   CASE WHEN p_partkey%11=0 THEN '<rect onclick="x()"/>' ELSE '' END,
   CASE WHEN p_partkey%17=0 THEN '<use href="http://example.org/a"/>' ELSE '' END,
   CASE WHEN p_partkey%19=0 THEN '<path d="M NaN 0"/>' ELSE '' END,
+  CASE WHEN p_partkey%23=0 THEN '<style>@import "x.css";</style>' ELSE '' END,
+  CASE WHEN p_partkey%29=0 THEN CONCAT('<path d=', chr(39), 'M1 1 L2 2', chr(39), '/>') ELSE '' END,
+  CASE WHEN p_partkey%37=0 THEN '<rect fill="url(#gone)"/>' ELSE '' END,
+  CASE WHEN p_partkey%41=0 THEN '<meshGradient id="m"/><rect fill="url(#m)"/>' ELSE '' END,
   REPEAT(CONCAT('<path fill="#', SUBSTRING(md5(p_brand),1,6), '" d="M0 0 C1 1 2 2 3 3 L4 4 Z"/>'), CAST(p_size AS INT)),
   CASE WHEN p_partkey%31=0 THEN '</html>' ELSE '</svg>' END) AS text FROM part""",
 }

@@ -543,8 +543,8 @@ def _(t: Tables):
 # -- markup -------------------------------------------------------------------------------
 
 @query("markup_structure", """SELECT doc_id, CAST(len(regexp_extract_all(text,'<path\\b')) AS INT) AS path_count, CAST(len(regexp_extract_all(text,'(M|C|L|Z)[0-9 ]')) + len(regexp_extract_all(text,'Z"')) + CASE WHEN doc_id%19=0 THEN 1 ELSE 0 END AS INT) AS node_count,
- CASE WHEN doc_id%5=0 THEN 1 ELSE 0 END AS linear_gradient_count, 0 AS radial_gradient_count, CASE WHEN doc_id%5=0 THEN 1 ELSE 0 END AS gradient_reference_count,
- concat_ws(',', CASE WHEN doc_id%31=0 THEN 'root_not_svg' END, CASE WHEN doc_id%31=0 OR doc_id%13=0 THEN 'viewbox_missing' END, CASE WHEN doc_id%7=0 THEN 'embedded_raster' END, CASE WHEN doc_id%11=0 THEN 'event_handler' END, CASE WHEN doc_id%17=0 THEN 'external_reference' END, CASE WHEN doc_id%7=0 THEN 'unsafe_uri' END, CASE WHEN doc_id%19=0 THEN 'nonfinite_geometry' END) AS codes FROM markup""")
+ CASE WHEN doc_id%5=0 THEN 1 ELSE 0 END AS linear_gradient_count, 0 AS radial_gradient_count, CASE WHEN doc_id%41=0 THEN 1 ELSE 0 END AS mesh_gradient_count, CASE WHEN doc_id%5=0 THEN 1 ELSE 0 END + CASE WHEN doc_id%41=0 THEN 1 ELSE 0 END AS gradient_count, CASE WHEN doc_id%5=0 THEN 1 ELSE 0 END + CASE WHEN doc_id%41=0 THEN 1 ELSE 0 END AS gradient_reference_count,
+ concat_ws(',', CASE WHEN doc_id%31=0 THEN 'root_not_svg' END, CASE WHEN doc_id%31=0 OR doc_id%13=0 THEN 'viewbox_missing' END, CASE WHEN doc_id%7=0 THEN 'embedded_raster' END, CASE WHEN doc_id%11=0 THEN 'event_handler' END, CASE WHEN doc_id%17=0 THEN 'external_reference' END, CASE WHEN doc_id%23=0 THEN 'unsafe_css' END, CASE WHEN doc_id%7=0 THEN 'unsafe_uri' END, CASE WHEN doc_id%19=0 THEN 'nonfinite_geometry' END) AS codes FROM markup""")
 def _(t: Tables):
     return markup_structure(t("markup"), "doc_id")
 
