@@ -6,6 +6,8 @@ stable and need no renumbering pass.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -325,14 +327,42 @@ def holes_by_euler(rp: DataFrame, ids: str = "region") -> DataFrame:
     return q.groupBy(IMG, "region").agg((1 - (one - three + diag * 2) / 4).cast("int").alias("holes"))
 
 
+# Step lengths of the 3x3 distance.
+STRAIGHT, DIAGONAL = 0.955, 1.3693
+
+
+def deep_pixels(rp: DataFrame, ids: str, reach: float) -> DataFrame:
+    """Adds ``deep``: no pixel of another region within ``reach`` in the 3x3 step distance (outside the raster nothing counts)."""
+    steps = int(reach / STRAIGHT)
+    length = lambda dx, dy: DIAGONAL * min(dx, dy) + STRAIGHT * abs(dx - dy)
+    half = {dy: max(dx for dx in range(steps + 1) if length(dx, dy) <= reach) for dy in range(steps + 1) if length(0, dy) <= reach}
+    df = st.banded(rp.withColumn("_id", F.col(ids)), max(steps, 1))
+    for h in sorted(set(half.values())):
+        span = st.row_window().rangeBetween(-h, h)
+        df = df.withColumn(f"_lo{h}", F.min("_id").over(span)).withColumn(f"_hi{h}", F.max("_id").over(span))
+    deep = F.lit(True)
+    for dy, h in half.items():
+        for k in {dy, -dy}:
+            for side in ("lo", "hi"):
+                there = F.col(f"_{side}{h}") if k == 0 else st.at(f"_{side}{h}", st.col_window(), k)
+                deep = deep & F.coalesce(there == F.col("_id"), F.lit(True))
+    return st.core(df.withColumn("deep", deep)).select(*rp.columns, "deep")
+
+
 def classify_micro_regions(rp: DataFrame, fills: DataFrame, blend_tol: float = 0.10, island_tol: float = 0.06, area_share: float = 0.15) -> DataFrame:
     """Thin regions that are fringes of two neighbours or islands in one, with a merge target.
 
-    ``fills(image_id, label, fr, fg, fb)``.  Regions with an interior pixel are
-    too wide; a target is unsafe if the region touches two regions of its colour.
+    ``fills(image_id, label, fr, fg, fb)``.  A region is too wide if twice the
+    depth of a pixel exceeds 2.5 or a 900th of the diagonal; a target is unsafe
+    if the region touches two regions of its colour.
     """
-    inner = st.interior(rp, "region").groupBy(IMG, "region", "label").agg(F.count(F.lit(1)).alias("area"), F.bool_or("interior").alias("wide"))
-    size = st.image_size(rp).select(IMG, (F.col("_w") * F.col("_h") * area_share).alias("gate"))
+    sizes = st.image_size(rp).withColumn("_width", F.greatest(F.lit(2.5), F.bround(F.hypot("_w", "_h") / 900.0)))
+    sizes = cut_lineage(sizes)
+    widths = [r[0] for r in sizes.select("_width").distinct().collect()]  # a value for 900 px of diagonal
+    each = [deep_pixels(rp if len(widths) == 1 else rp.join(sizes.where(F.col("_width") == w).select(IMG), IMG, "left_semi"), "region", w / 2) for w in widths]
+    rows = reduce(DataFrame.unionByName, each) if each else rp.withColumn("deep", F.lit(False))
+    inner = rows.groupBy(IMG, "region", "label").agg(F.count(F.lit(1)).alias("area"), F.bool_or("deep").alias("wide"))
+    size = sizes.select(IMG, (F.col("_w") * F.col("_h") * area_share).alias("gate"))
     thin = inner.join(size, IMG).where(~F.col("wide") & (F.col("area") <= F.col("gate"))).select(IMG, "region", "label", "area")
     adj = region_adjacency(rp, "region", 1)
     both = adj.select(IMG, F.col("a").alias("region"), F.col("b").alias("nb"), "boundary_length").unionByName(

@@ -203,3 +203,18 @@ def test_read_images_and_pixels(spark, tmp_path):
     assert im.screen_uploads(empty).first()["reason"] == "corrupt_image"
     _, rejected = im.read_images(spark, str(tmp_path), max_side=30)
     assert {r["path"].rsplit("/", 1)[1] for r in rejected.where("reason = 'image_too_large'").collect()} == {"ok.png", "wide.png"}
+
+
+@pytest.mark.parametrize("reach", [1.25, 1.5, 2.0, 2.5, 4.0])
+def test_deep_pixels(spark, reach):
+    rng = np.random.default_rng(5)
+    ids = np.kron(rng.integers(0, 3, (5, 5)), np.ones((11, 11), int))
+    ids[20:23, 3:40] = 7
+    n = len(ids)
+    rows = [(1, x, y, int(ids[y, x])) for y in range(n) for x in range(n)]
+    got = {(r.x, r.y): r.deep for r in rg.deep_pixels(spark.createDataFrame(rows, "image_id int, x int, y int, region int"), "region", reach).collect()}
+    near = [(dx, dy) for dx in range(-5, 6) for dy in range(-5, 6) if 1.3693 * min(abs(dx), abs(dy)) + 0.955 * abs(abs(dx) - abs(dy)) <= reach]
+    for y in range(n):
+        for x in range(n):
+            want = all(ids[y + dy, x + dx] == ids[y, x] for dx, dy in near if 0 <= x + dx < n and 0 <= y + dy < n)
+            assert got[x, y] == want
