@@ -6,6 +6,8 @@ Palettes travel as bounded arrays of (r, g, b) per image.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from mosaiq.functions import color as cl
@@ -494,22 +496,30 @@ def fit_linear_gradient(px: DataFrame, region: str, min_px: int = 900, min_gain:
 
 # -- clustering ------------------------------------------------------------------------
 
-def kmeans_palette(px: DataFrame, k: int, rounds: int = 8) -> DataFrame:
+def kmeans_palette(px: DataFrame, k: int, rounds: int = 20, shift: float = 1.0) -> DataFrame:
     """Lloyd iterations for all images at once, started from the k most common colour buckets.
 
-    Works on distinct colours with counts, so repeated colours cost one row.
+    An image is done when no centre moves by ``shift`` or after ``rounds``; only the
+    others go on. Works on distinct colours with counts, so repeated colours cost one row.
     """
     hist = cut_lineage(px.groupBy(IMG, "r", "g", "b").agg(F.count(F.lit(1)).alias("n")))
     seeds = dominant_colors(px, 0.0)
     start = seeds.groupBy(IMG).agg(F.expr(
         f"transform(slice(array_sort(collect_list(struct(-n AS k, r, g, b))), 1, {k}), s -> struct(double(s.r) AS r, double(s.g) AS g, double(s.b) AS b))"
     ).alias("centers"))
-    centers = cut_lineage(start)
+    live, done = cut_lineage(start), []
+    moves = "array_max(zip_with(_old, centers, (a, b) -> sqrt(power(a.r - b.r, 2) + power(a.g - b.g, 2) + power(a.b - b.b, 2))))"
     for _ in range(rounds):
-        near = nearest_center(hist, centers)
+        near = nearest_center(hist, live)
         means = near.groupBy(IMG, "center").agg(*[(F.sum(F.col(c) * F.col("n")) / F.sum("n")).alias(c) for c in "rgb"])
-        centers = cut_lineage(palette_array(means, "center"))
-    return centers
+        new = palette_array(means, "center").join(live.withColumnRenamed("centers", "_old"), IMG)
+        moved = F.when(F.size("_old") == F.size("centers"), F.expr(moves)).otherwise(F.lit(float("inf")))
+        new = cut_lineage(new.select(IMG, "centers", (moved >= shift).alias("_live")))
+        done.append(new.where("not _live").select(IMG, "centers"))
+        live = new.where("_live").select(IMG, "centers")
+        if not live.limit(1).count():
+            break
+    return reduce(DataFrame.unionByName, done, live)
 
 
 def recenter_by_median(labels: DataFrame, label: str = "label") -> DataFrame:

@@ -384,7 +384,7 @@ def _(t: Tables):
 
 @query("kmeans_palette")
 def _(t: Tables):
-    c = px.kmeans_palette(t("px"), 5, rounds=4)
+    c = px.kmeans_palette(t("px"), 5)
     return rounded(c.select("image_id", F.posexplode("centers").alias("idx", "c")).select("image_id", "idx", "c.r", "c.g", "c.b"))
 
 
@@ -395,9 +395,10 @@ def _(t: Tables):
 
 @query("augment_centers")
 def _(t: Tables):
-    lab = cl.with_lab8(t("px"), ("r", "g", "b"), "z").select("image_id", "x", "y", F.col("zl8").alias("l8"), F.col("za8").alias("a8"), F.col("zb8").alias("b8"), F.lit(2.0).alias("energy"))
+    lab = cl.with_lab8(t("px"), ("r", "g", "b"), "z").select("image_id", "x", "y", F.col("zl8").alias("l8"), F.col("za8").alias("a8"), F.col("zb8").alias("b8"))
+    lab = st.gradient(lab, "l8").withColumn("energy", F.col("grad") / 8.0)
     start = lab.groupBy("image_id").agg(F.array(F.struct(F.avg("l8").alias("r"), F.avg("a8").alias("g"), F.avg("b8").alias("b"))).alias("centers"))
-    c = rg.augment_centers(lab, start, min_component=40, rounds=2)
+    c = rg.augment_centers(lab, start, min_component=40)
     return rounded(c.select("image_id", F.posexplode("centers").alias("idx", "c")).select("image_id", "idx", "c.r", "c.g", "c.b"))
 
 
