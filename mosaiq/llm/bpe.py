@@ -11,20 +11,27 @@ from __future__ import annotations
 import base64
 import heapq
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from mosaiq.llm.common import blocks, released, text_buffers
+
 BUCKETS = 1 << 15
 """Buckets of the literal rank map: a bucket has a few entries, as Spark searches a map from its start."""
 
 FOLD_BYTES = 192
 """Longer single words take the same merges from a heap, as a fold over them needs quadratic time."""
 
+BLOCK_BYTES = 10 << 20
+KNOWN_WORDS = 1_000_000
 OUT_DOCS = 512
+OPEN, CLOSE = "\u0100", "\u0101"
+"""Bars around the parts of a word; its bytes are characters below them."""
 
 
 def load_ranks(rank_file: str) -> dict[bytes, int]:
@@ -46,30 +53,57 @@ def rank_literal(spark: SparkSession, ranks: dict[bytes, int]) -> Column:
     return F.from_json(F.lit(json.dumps(maps)), "array<map<string,int>>")
 
 
-def rank_of(table: Column, token: Column) -> Column:
-    return F.get(table, _bucket_of(token))[token]
-
+def _strings(values: list[str]) -> Column:
+    return F.from_json(F.lit(json.dumps(values)), "array<string>")
 
-def encode_word(word: Column, table: Column) -> Column:
-    """Ids of one word given with one character a byte: the pair of lowest rank is merged, the leftmost of equals, until none is left."""
 
-    def ranks_of(parts: Column) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.size(parts) - 2), lambda i: rank_of(table, F.concat(F.get(parts, i), F.get(parts, i + 1))))
+def rank_of(table: Column, token: Column) -> Column:
+    return F.get(table, _bucket_of(token))[token]
 
-    def merged(parts: Column, ranks: Column) -> Column:
-        low = F.array_min(ranks)
-        at = F.array_position(ranks, low).cast("int")
-        pair = F.array(F.concat(F.get(parts, at - 1), F.get(parts, at)))
-        joined = F.concat(F.slice(parts, F.lit(1), at - 1), pair, F.slice(parts, at + 2, F.size(parts)))
-        return F.when(low.isNull(), F.struct(parts.alias("parts"), F.lit(False).alias("live"))).otherwise(F.struct(joined.alias("parts"), F.lit(True).alias("live")))
 
-    def step(state: Column, _: Column) -> Column:
-        parts = state["parts"]
-        bound = F.get(F.transform(F.array(ranks_of(parts)), lambda r: merged(parts, r)), F.lit(0))
-        return F.when(state["live"] & (F.size(parts) > 1), bound).otherwise(state)
+def merge_rules(ranks: dict[bytes, int]) -> tuple[list[str], list[str]]:
+    """For each rank, the two parts that its merge joins, between bars, and the same joined.
 
-    start = F.struct(F.split(word, "").alias("parts"), F.lit(True).alias("live"))
-    folded = F.aggregate(F.sequence(F.lit(2), F.length(word)), start, step, lambda s: F.transform(s["parts"], lambda p: rank_of(table, p)))
+    The parts of a token are what the merges of lower rank make of it. By the time that
+    a token's rank comes, its bytes are always those two parts: nothing has been merged
+    across the token's ends, so what happened inside did not depend on the rest.
+    """
+    found, joined = [""] * (max(ranks.values()) + 1), [""] * (max(ranks.values()) + 1)
+    for token, rank in ranks.items():
+        parts = [token[i : i + 1] for i in range(len(token))]
+        while len(parts) > 2:
+            pairs = [(r, i) for i in range(len(parts) - 1) if (r := ranks.get(parts[i] + parts[i + 1], rank)) < rank]
+            if not pairs:
+                break
+            _, i = min(pairs)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        if len(parts) > 2:
+            raise ValueError(f"the merges cannot make {token!r}")
+        if len(parts) == 2:
+            found[rank] = "".join(OPEN + p.decode("latin-1") + CLOSE for p in parts)
+            joined[rank] = OPEN + token.decode("latin-1") + CLOSE
+    return found, joined
+
+
+def encode_word(word: Column, table: Column, found: Column, joined: Column, longest: int) -> Column:
+    """Ids of one word given with one character a byte.
+
+    The ranks of all its substrings that are tokens are the merges that can come about,
+    and in a sound vocabulary merges come in the order of their ranks. So one fold over
+    those ranks does the work: each joins its pair wherever it stands, from left to right.
+    """
+    at = F.sequence(F.lit(1), F.length(word) - 1)
+    parts = F.transform(at, lambda i: F.transform(
+        F.transform(F.sequence(F.lit(2), F.least(F.lit(longest), F.length(word) - i + 1)), lambda n: F.substring(word, i, n)),
+        lambda part: rank_of(table, part)))
+    ranks = F.sort_array(F.array_distinct(F.flatten(parts)))
+    start = F.concat(F.lit(OPEN), F.array_join(F.split(word, ""), CLOSE + OPEN), F.lit(CLOSE))
+
+    def ids(text: Column) -> Column:
+        pieces = F.split(F.substring(text, F.lit(2), F.length(text) - 2), CLOSE + OPEN)
+        return F.transform(pieces, lambda p: rank_of(table, p))
+
+    folded = F.aggregate(ranks, start, lambda text, r: F.when(r.isNull(), text).otherwise(F.replace(text, F.get(found, r), F.get(joined, r))), ids)
     known = rank_of(table, word)
     return F.when(known.isNotNull(), F.array(known)).otherwise(folded)
 
@@ -103,6 +137,13 @@ def _heap_merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
+def _blocks(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """Ids and texts, BLOCK_BYTES of text at a time: a block's distinct words are held at once."""
+    _, at = text_buffers(batch.column(1))
+    for first, last in blocks(at, BLOCK_BYTES):
+        yield batch.column(0).slice(first, last - first), batch.column(1).slice(first, last - first)
+
+
 class _Numbers(dict):
     def __missing__(self, word: str) -> int:
         self[word] = n = len(self)
@@ -112,42 +153,69 @@ class _Numbers(dict):
 _RANKS: dict[str, dict[bytes, int]] = {}
 
 
-def encode(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
+def _ranks(rank_file: str) -> dict[bytes, int]:
+    if rank_file not in _RANKS:
+        _RANKS[rank_file] = load_ranks(rank_file)
+    return _RANKS[rank_file]
+
+
+def pieces_of(rank_file: str) -> list[bytes]:
+    """Bytes of each id (an id that the file lacks has none)."""
+    ranks = _ranks(rank_file)
+    out = [b""] * (max(ranks.values()) + 1)
+    for token, rank in ranks.items():
+        out[rank] = token
+    return out
+
+
+def encode(docs: DataFrame, rank_file: str, pattern: str, summary: tuple[str, Callable[[list[list[int]]], list[pa.Array]]] | None = None) -> DataFrame:
     """docs(doc_id, text) -> doc_id, ids (array of int), for whole texts, without special tokens.
 
+    ``summary`` (columns as DDL, a function from id sequences to these columns) returns
+    what it makes of the ids in their place, in the task that has them.
+
     Each match of ``pattern`` is encoded by itself. Null text counts as empty: no ids.
     Rows pass one by one: repeated rows, null ids and empty tables need no rule. Other
     columns are dropped.
     """
-    table = rank_literal(docs.sparkSession, load_ranks(rank_file))
+    ranks = load_ranks(rank_file)
+    table = rank_literal(docs.sparkSession, ranks)
+    found, joined = (_strings(x) for x in merge_rules(ranks))
+    longest = max(map(len, ranks))
+    out_schema = "doc_id long, " + (summary[0] if summary else "ids array<int>")
+    out_names = [c.split()[0] for c in out_schema.split(", ")]
     block_schema = T.StructType([
         T.StructField("doc_ids", T.ArrayType(T.LongType())), T.StructField("counts", T.ArrayType(T.IntegerType())), T.StructField("numbers", T.BinaryType()),
-        T.StructField("words", T.ArrayType(T.StringType())), T.StructField("long_ids", T.ArrayType(T.ArrayType(T.IntegerType()))),
+        T.StructField("words", T.ArrayType(T.StringType())), T.StructField("long_ids", T.ArrayType(T.ArrayType(T.IntegerType()))), T.StructField("known", T.IntegerType()),
     ])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = regex.compile(pattern).findall
-        for batch in batches:
-            numbers, parts, counts = _Numbers(), [], []
-            for text in batch.column(1):
+        numbers = _Numbers()
+        for names, texts in (x for batch in batches for x in _blocks(batch)):
+            # words of earlier blocks of the task are not folded again
+            if len(numbers) > KNOWN_WORDS:
+                numbers.clear()
+            known, parts, counts = len(numbers), [], []
+            for text in texts:
                 words = find(text.as_py() or "")
                 counts.append(len(words))
                 parts.append(np.fromiter(map(numbers.__getitem__, words), dtype=np.int32, count=len(words)))
-            raw = [w.encode() for w in numbers]
+            words = [w if w.isascii() else w.encode().decode("latin-1") for w in islice(numbers, known, None)]
             long_ids = []
-            for k, w in enumerate(raw):
+            for k, w in enumerate(words):
                 if len(w) > FOLD_BYTES:
-                    if rank_file not in _RANKS:
-                        _RANKS[rank_file] = load_ranks(rank_file)
-                    long_ids.append([k, *_heap_merge(w, _RANKS[rank_file])])
-                    raw[k] = b""
+                    long_ids.append([k, *_heap_merge(w.encode("latin-1"), _ranks(rank_file))])
+                    words[k] = ""
             yield pa.RecordBatch.from_arrays([
-                pa.array([batch.column(0).to_pylist()], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int32())),
+                pa.array([names.to_pylist()], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int32())),
                 pa.array([np.concatenate([np.zeros(0, np.int32), *parts]).tobytes()], pa.binary()),
-                pa.array([[w.decode("latin-1") for w in raw]], pa.list_(pa.string())), pa.array([long_ids], pa.list_(pa.list_(pa.int32()))),
+                pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), pa.array(words, pa.string())), pa.array([long_ids], pa.list_(pa.list_(pa.int32()))), pa.array([known], pa.int32()),
             ], names=block_schema.names)
+            del words, parts
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flat, begin, size = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
         for batch in batches:
             for row in range(len(batch)):
                 ids = batch.column(0)[row].values
@@ -155,11 +223,13 @@ def encode(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
                 numbers = np.frombuffer(batch.column(2)[row].as_py(), dtype=np.int32)
                 lists = batch.column(3)[row].values
                 at = np.asarray(lists.offsets).astype(np.int64)
-                flat = np.asarray(lists.values)
-                extra = batch.column(4)[row].as_py()
-                begin, size = at[:-1].copy(), np.diff(at)
-                for k, *own in extra:
-                    begin[k], size[k] = len(flat), len(own)
+                if batch.column(5)[row].as_py() == 0:
+                    flat, begin, size = flat[:0], begin[:0], size[:0]
+                first_new = len(begin)
+                begin, size = np.concatenate([begin, at[:-1] - at[0] + len(flat)]), np.concatenate([size, np.diff(at)])
+                flat = np.concatenate([flat, np.asarray(lists.values)[at[0] : at[-1]]])
+                for k, *own in batch.column(4)[row].as_py():
+                    begin[first_new + k], size[first_new + k] = len(flat), len(own)
                     flat = np.concatenate([flat, np.array(own, flat.dtype)])
                 edges = np.concatenate([[0], np.cumsum(counts)])
                 for first in range(0, len(ids), OUT_DOCS):
@@ -169,19 +239,30 @@ def encode(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
                     stop = np.concatenate([[0], np.cumsum(n)])
                     place = np.arange(stop[-1]) + np.repeat(begin[word] - stop[:-1], n)
                     offsets = stop[edges[first : last + 1] - edges[first]]
+                    if summary:
+                        made = flat[place].tolist()
+                        yield pa.RecordBatch.from_arrays([ids[first:last], *summary[1]([made[a:b] for a, b in zip(offsets, offsets[1:])])], names=out_names)
+                        continue
                     yield pa.RecordBatch.from_arrays(
                         [ids[first:last], pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat[place].astype(np.int32)))], names=["doc_id", "ids"])
 
-    words = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, block_schema)
-    folded = words.select("doc_ids", "counts", "numbers", F.transform("words", lambda w: F.when(w == "", F.array().cast("array<int>")).otherwise(encode_word(w, table))).alias("ids"), "long_ids")
-    return folded.mapInArrow(deal, "doc_id long, ids array<int>")
+    words = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(released(cut), block_schema)
+    folded = words.select("doc_ids", "counts", "numbers", F.transform("words", lambda w: F.when(w == "", F.array().cast("array<int>")).otherwise(encode_word(w, table, found, joined, longest))).alias("ids"), "long_ids", "known")
+    return folded.mapInArrow(released(deal), out_schema)
 
 
-def decode(ids: Column, ranks: dict[bytes, int]) -> Column:
-    """Bytes of an array of ids: the pieces one after another; null if an id is not in the vocabulary."""
-    pieces = [""] * (max(ranks.values()) + 1)
-    for token, rank in ranks.items():
-        pieces[rank] = token.hex()
-    table = F.split(F.lit(",".join(pieces)), ",")
-    strange = F.exists(ids, lambda i: i.isNull() | (i < 0) | (F.get(table, i) == "") | (i >= len(pieces)))
-    return F.when(~strange, F.unhex(F.array_join(F.transform(ids, lambda i: F.get(table, i)), "")))
+def join_pieces(ids: list[int], pieces: list[bytes]) -> bytes:
+    """Bytes of one id sequence; an id beyond the vocabulary is an IndexError."""
+    return b"".join(map(pieces.__getitem__, ids))
+
+
+def decode(coded: DataFrame, rank_file: str) -> DataFrame:
+    """coded(doc_id, ids) -> doc_id, ids, decoded: the pieces of the ids one after another. Null ids give null."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = pieces_of(rank_file)
+        for batch in batches:
+            made = [None if x is None else join_pieces(x, pieces) for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.binary())], names=["doc_id", "ids", "decoded"])
+
+    return coded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
