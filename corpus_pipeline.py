@@ -1,4 +1,76 @@
-"""Corpus pipeline: language, line, near-duplicate, mixing and encoding stages over documents."""
+"""Corpus pipeline: language, repeated lines, near duplicates, source mixture and encoding of a documents table.
 
-STAGES = []
-ORACLE_SQL = None
+Each stage takes (spark, docs, sf_dir); all but the last return the columns of documents,
+with what the stage decided carried out. ``run`` chains them, each result stored before
+the next stage reads it.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from mosaiq.llm import bpe, jaccard, language, mixing, templates
+from mosaiq.llm.common import read, small_side, stored
+from mosaiq.session import cut_lineage
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+RAW_BITS = 8.0
+"""A text whose cross-parsing entropy is above that of raw bytes is in none of the learned languages."""
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a recognised language, which becomes their ``lang``; those without letters or like no language go."""
+    found = language.identify(docs.select(*COLUMNS), language.fit(docs))
+    kept = found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("bits_per_byte") <= RAW_BITS))
+    return kept.withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
+
+
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the later lines of recurring templates; a document that loses all its words goes."""
+    cut = templates.drop_recurring_lines(docs.select(*COLUMNS))
+    kept = cut.where((F.col("n_dropped") == 0) | F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)))
+    return kept.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of smallest doc_id of each group of similar ones. Rows that repeat an id share its fate."""
+    groups = jaccard.similar_documents(docs)
+    gone = groups.where("component_id is not null and not (doc_id <=> component_id)").select(F.col("doc_id").alias("gone")).distinct()
+    gone = small_side(cut_lineage(gone))
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone"]), "left_anti").select(*COLUMNS)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """As many copies of each document as its source's share asks for, none for some."""
+    copies = mixing.mix_sources(docs).groupBy(F.col("doc_id").alias("mixed_id")).agg(F.max("copies").alias("copies"))
+    copies = small_side(cut_lineage(copies.where("copies > 0")))
+    mixed = docs.join(copies, docs["doc_id"].eqNullSafe(copies["mixed_id"]))
+    return mixed.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*COLUMNS)
+
+
+def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document kept."""
+    coded = bpe.encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
+
+
+STAGES = [
+    ("language", language_stage),
+    ("lines", line_stage),
+    ("near_duplicates", near_duplicate_stage),
+    ("mixing", mixing_stage),
+    ("encoding", encoding_stage),
+]
+
+ORACLE_SQL = None  # learned models and a template tree: tests/llm holds each stage against a plain version
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = stage(spark, docs, sf_dir)
+        if (name, stage) != STAGES[-1]:
+            docs = stored(docs)
+    return docs

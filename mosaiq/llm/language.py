@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from mosaiq.llm.common import blocks, text_buffers
+from mosaiq.llm.common import blocks, released, text_buffers
 
 UNKNOWN = "und"
 SAMPLE_DOCS = 64
@@ -25,6 +25,7 @@ SAMPLE_BYTES = 512
 SEGMENT = 256
 """Texts are parsed in segments of so many bytes, all segments of a block in step."""
 
+_LATIN = 0xC3  # first byte of letters whose capitals are 0x20 below, as in ASCII
 _PLAIN = np.full(256, 0x20, dtype=np.uint8)
 _PLAIN[97:123] = np.arange(97, 123)
 _PLAIN[65:91] = np.arange(97, 123)
@@ -32,9 +33,12 @@ _PLAIN[128:] = np.arange(128, 256)
 
 
 def plain(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Lower-case letters and bytes beyond ASCII; every other run is one space. Offsets follow."""
+    """Letters (ASCII and Latin ones in lower case) and other bytes beyond ASCII; every other run is one space. Offsets follow."""
     lo, hi = int(at[0]), int(at[-1])
     part = _PLAIN[data[lo:hi]]
+    second = np.flatnonzero(part[:-1] == _LATIN) + 1
+    capital = second[(part[second] >= 0x80) & (part[second] < 0x9F) & (part[second] != 0x97)]
+    part[capital] += 0x20
     keep = part != 0x20
     keep[1:] |= part[:-1] != 0x20
     kept = np.concatenate([[0], np.cumsum(keep)])
@@ -156,7 +160,7 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAM
     usable = docs.where(~held_out() & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     chosen = usable.select("lang", "doc_id", rank.alias("_rank")).where(F.col("_rank") <= sample_docs).select("lang", "doc_id").distinct()
     start = F.pmod(mark, F.greatest(F.length("text") - sample_bytes + 1, F.lit(1))).cast("int") + 1
-    excerpt = F.lower(F.substring(F.col("text"), start, F.lit(sample_bytes)))
+    excerpt = F.substring(F.col("text"), start, F.lit(sample_bytes))
     rows = (
         usable.join(F.broadcast(chosen), ["lang", "doc_id"])  # at most sample_docs rows of each language
         .groupBy("lang", "doc_id").agg(F.min(excerpt).alias("excerpt")).collect()
@@ -180,16 +184,16 @@ def identify(docs: DataFrame, models: dict[str, bytes]) -> DataFrame:
     """
     names = ("lang_pred", "score", "bits_per_byte")
     kept = docs.drop(*[c for c in docs.columns if c.lower() in names])
-    # letters are looked for, and cases folded, on the JVM; the lowered text travels as one more column
-    lettered = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    sent = kept.withColumn("_lettered", F.when(lettered, F.lower("text")))
+    # letters are looked for on the JVM
+    sent = kept.withColumn("_lettered", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+    place = [c.lower() for c in kept.columns].index("text")
     schema = T.StructType([*kept.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("bits_per_byte", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             k = batch.schema.get_field_index("_lettered")
-            column = batch.column(k)
-            has = np.asarray(column.is_valid()) & bool(models)
+            column = batch.column(place)
+            has = np.asarray(batch.column(k).fill_null(False)).astype(bool) & bool(models)
             pred, sure, rate = score_texts(column, models) if models else ([UNKNOWN] * len(column), np.zeros(len(column)), np.zeros(len(column)))
             pred = [p if h else UNKNOWN for p, h in zip(pred, has)]
             yield pa.RecordBatch.from_arrays(
@@ -197,4 +201,4 @@ def identify(docs: DataFrame, models: dict[str, bytes]) -> DataFrame:
                 names=[f.name for f in schema.fields],
             )
 
-    return sent.mapInArrow(run, schema)
+    return sent.mapInArrow(released(run), schema)

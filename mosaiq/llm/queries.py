@@ -1,79 +1,4 @@
-"""The registered corpus queries: one per operator over its whole table, and the pipeline, with SQL where it can say the same."""
+"""All registered corpus queries: one per operator over its whole table, and the pipeline, with SQL where it can say the same."""
 
-from __future__ import annotations
-
-from collections.abc import Callable
-
-import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, functions as F
-
-from mosaiq.llm import bpe, language, mixing, tokens
-from mosaiq.llm.common import read
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    def wrap(fn: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[name] = fn
-        if sql is not None:
-            ORACLES[name] = sql
-        return fn
-
-    return wrap
-
-
-@query("op7_mix_sources", r"""
-WITH sized AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-         (('0x' || substr(md5('mix' || coalesce(doc_id::VARCHAR, 'null')), 1, 12))::BIGINT::DOUBLE + 0.5) / 281474976710656.0::DOUBLE AS u
-  FROM documents),
-src AS (
-  SELECT source, sum(size)::BIGINT AS source_size,
-         ([1.0, 2.0, 3.0]::DOUBLE[])[1 + (row_number() OVER (ORDER BY source IS NULL, encode(source)) - 1) % 3] AS w
-  FROM sized GROUP BY source),
-lev AS (SELECT *, 3.0::DOUBLE * source_size AS cap, 3.0::DOUBLE * source_size / w AS level,
-               sum(source_size) OVER ()::DOUBLE AS total, sum(w) OVER () AS all_w FROM src),
-run AS (SELECT *, (total - coalesce(sum(cap) OVER b, 0)) / (all_w - coalesce(sum(w) OVER b, 0)) AS share FROM lev
-        WINDOW b AS (ORDER BY level, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-stop AS (SELECT coalesce(arg_min(share, level) FILTER (WHERE share < level), 'infinity'::DOUBLE) AS s FROM run),
-tgt AS (SELECT source, source_size, least(cap, s * w) AS target FROM run, stop),
-e AS (SELECT *, CASE WHEN source_size > 0 THEN least(target / source_size, 3.0::DOUBLE) ELSE 0 END AS e FROM tgt),
-p AS (SELECT *, floor(e)::BIGINT AS whole, e - floor(e) AS p, target - floor(e) * source_size AS need FROM e),
-q AS (SELECT d.doc_id, d.size, p.*, (u / (1 - u)) / nullif(p / (1 - p), 0) AS q
-      FROM sized d JOIN p ON d.source IS NOT DISTINCT FROM p.source),
-c AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY q, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM q),
-n AS (SELECT *, whole + CASE WHEN p > 0 AND before + size / 2 <= need THEN 1 ELSE 0 END AS copies FROM c)
-SELECT doc_id, size, source_size, target, copies::BIGINT AS copies, (copies * size)::BIGINT AS taken FROM n
-""")
-def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix_sources(read(spark, sf_dir, "documents"))
-
-
-TOKEN_LIMIT = 4096
-"""Budget of op2's over_limit."""
-
-
-@query("op2_token_counts")
-def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counted = tokens.prefix_counts(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
-    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
-
-
-@query("op5_language")
-def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
-    found = language.identify(docs, language.fit(docs))
-    return found.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score", "bits_per_byte")
-
-
-@query("op8_byte_bpe")
-def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    coded = bpe.encode(read(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
-    ids = F.col("ids")
-    return coded.select(
-        "doc_id", F.size(ids).cast("long").alias("n_tokens"), F.sha2(F.array_join(ids.cast("array<string>"), ","), 256).alias("ids_sha256"),
-        F.sha2(bpe.decode(ids, bpe.load_ranks(ranks)), 256).alias("decoded_sha256"),
-    )
+from mosaiq.llm import queries_links, queries_texts  # noqa: F401
+from mosaiq.llm.registry import ORACLES, QUERIES  # noqa: F401

@@ -18,7 +18,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from mosaiq.llm.common import U64, blocks, gram_hashes, mix, text_buffers, word_hashes
+from mosaiq.llm.common import U64, blocks, gram_hashes, mix, released, text_buffers, word_hashes
 from mosaiq.session import cut_lineage
 
 BACKOFF = 0.4
@@ -185,10 +185,10 @@ def backoff_scores(docs: DataFrame, backoff: float = BACKOFF) -> DataFrame:
     inputs = texts.rdd.getNumPartitions()
     chunks, buckets = max(16, 2 * inputs), max(48, inputs)
     packed = texts.mapInArrow(_pack_texts(chunks), _PACKED)
-    asked = packed.repartition(chunks, "chunk").sortWithinPartitions("chunk").mapInArrow(_ask(buckets), "chunk int, bucket int, single binary, more binary, n binary")
-    answers = asked.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_answer, _PACKED)
+    asked = packed.repartition(chunks, "chunk").sortWithinPartitions("chunk").mapInArrow(released(_ask(buckets)), "chunk int, bucket int, single binary, more binary, n binary")
+    answers = asked.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(released(_answer), _PACKED)
     both = packed.unionByName(answers).repartition(chunks, "chunk").sortWithinPartitions("chunk")
-    scored = cut_lineage(both.mapInArrow(_score(buckets), "doc_id long, n_words long, gain double, n_single long, n_backoff long"))
+    scored = cut_lineage(both.mapInArrow(released(_score(buckets)), "doc_id long, n_words long, gain double, n_single long, n_backoff long"))
     total = scored.agg(F.sum("n_words")).first()[0] or 1
     log_score = F.col("gain") - F.col("n_single") * math.log(total) + F.col("n_backoff") * math.log(backoff)
     return scored.select("doc_id", "n_words", "n_backoff", log_score.alias("log_score"),

@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from mosaiq.llm.common import U64, blocks, mix, small_side, text_buffers
+from mosaiq.llm.common import U64, blocks, mix, released, small_side, text_buffers
 from mosaiq.session import cut_lineage
 
 LENGTH = 100
@@ -405,7 +405,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     buckets = max(48, 2 * texts.rdd.getNumPartitions())
-    found = texts.where("doc_id is not null and octet_length(text) >= 100").mapInArrow(_find(buckets), _PACK)
+    found = texts.where("doc_id is not null and octet_length(text) >= 100").mapInArrow(released(_find(buckets)), _PACK)
     marks = cut_lineage(found.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_settle(buckets), _MARKS))
 
     rows = _document_bucket(texts, buckets).select("bucket", F.lit(2).cast("byte").alias("kind"), *[F.lit(None).cast("binary").alias(c) for c in ("doc", "lo", "span", "off", "gram")], "doc_id", "text")
@@ -418,12 +418,12 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     parts = cut_lineage(meet(marks.where("kind = 0"), asked).mapInArrow(_contexts, "gram long, doc long, lo long, off int, part binary"))
     crowded = small_side(cut_lineage(parts.groupBy("gram").count().where(F.col("count") > HOT).select("gram")))
     few = parts.join(crowded, "gram", "left_anti")
-    factors = few.repartition(buckets, "gram").sortWithinPartitions("gram").select("gram", "doc", "lo", "off", "part").mapInArrow(_factor_marks(buckets), _MARKS)
+    factors = few.repartition(buckets, "gram").sortWithinPartitions("gram").select("gram", "doc", "lo", "off", "part").mapInArrow(released(_factor_marks(buckets)), _MARKS)
     every = marks.where("kind = 1").unionByName(factors)
     if crowded.limit(1).count():
         single = parts.join(crowded, "gram", "left_semi").select("gram", "doc", "lo", "off", "part").mapInArrow(_single_strings(buckets), _PACK)
         every = every.unionByName(single.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_settle(buckets), _MARKS).where("kind = 1"))
-    return meet(every, rows).mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, edges array<long>, kept binary")
+    return meet(every, rows).mapInArrow(released(_cut), "doc_id long, n_bytes long, n_removed long, edges array<long>, kept binary")
 
 
 def _document_bucket(texts: DataFrame, buckets: int) -> DataFrame:
