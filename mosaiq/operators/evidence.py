@@ -625,11 +625,11 @@ def final_gate(records: DataFrame, overall: float = 0.990, component: float = 0.
 def fixture_acceptance(results: DataFrame, expectations: DataFrame, key: str) -> DataFrame:
     """Failed expectations: (key, case_id, metric, value) outside [min_value, max_value].
 
-    ``expectations(key, metric, min_value, max_value)`` is a policy table whose
-    size does not grow with the results; unmeasured values fail.
+    ``expectations(key, metric, min_value, max_value)`` is a policy table, of any
+    size; unmeasured values fail.
     """
     return (
-        results.join(F.broadcast(expectations), [key, "metric"])
+        results.join(expectations, [key, "metric"])
         .where(
             F.col("value").isNull()
             | (F.col("value") < F.col("min_value"))
@@ -653,13 +653,17 @@ def provenance_agreement(samples: DataFrame, keys: list[str], provenance: str) -
     return g.select(*keys, problem.alias("problem")).where(F.col("problem").isNotNull())
 
 
-def canonical_digest(df: DataFrame, fields: list[str], buckets: int = 256) -> DataFrame:
+def canonical_digest(df: DataFrame, fields: list[str], group_rows: int = 50_000) -> DataFrame:
     """Order-independent digest of a row set, as one row.
 
-    Rows hash to 64 hex digits; each of ``buckets`` groups (by digest prefix)
-    hashes its sorted digests, and the result hashes the sorted group digests.
-    For larger sets raise ``buckets`` so that one group still fits a task.
+    Rows hash to 64 hex digits; groups by digest prefix hash their sorted digests,
+    and the result hashes the sorted group digests. The number of groups, 256 or a
+    power of two above, follows the number of rows: about ``group_rows`` in each.
     """
+    buckets = 256
+    rows = df.count()
+    while buckets * group_rows < rows:
+        buckets *= 2
     row = F.sha2(F.to_json(F.struct(*sorted(fields)), {"ignoreNullFields": "false"}), 256)
     groups = (
         df.select(row.alias("h"))

@@ -20,7 +20,7 @@ OUTPUT_FORMATS = ["svg", "pdf", "eps", "dxf", "png"]
 INSPECTED = ["case_id", "category", "source_sha256", "source_format", "width", "height", "file_bytes"]
 
 
-def validate_records(records: DataFrame, categories: list[str] = tuple(CATEGORY_TARGETS)) -> DataFrame:
+def validate_records(records: DataFrame, categories: list[str] = tuple(CATEGORY_TARGETS), object_prefix: str = "objects/") -> DataFrame:
     """Records with the array of broken rules (empty = valid).
 
     ``inspection`` (a struct of the INSPECTED fields), ``privacy_review`` and
@@ -44,7 +44,7 @@ def validate_records(records: DataFrame, categories: list[str] = tuple(CATEGORY_
         rules.append(("privacy_review_missing", no(F.col("privacy_review") == "approved")))
     if "storage_object_id" in cols:
         sid = F.col("storage_object_id")
-        rules.append(("invalid_storage_object", no(sid.startswith("rfv/qualification/") & ~sid.contains("://"))))
+        rules.append(("invalid_storage_object", no(sid.startswith(object_prefix) & ~sid.contains("://"))))
     if "inspection" in cols:
         same = F.lit(True)
         for f in INSPECTED:
@@ -69,7 +69,7 @@ def coverage(records: DataFrame, targets: DataFrame) -> DataFrame:
     Targets are a policy table; cells without records appear with zero.
     """
     counts = records.groupBy("split", "category").agg(F.count(F.lit(1)).alias("n"))
-    cells = F.broadcast(targets).join(counts, ["split", "category"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    cells = targets.join(counts, ["split", "category"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     return cells.rollup("split", "category").agg(
         F.sum("n").alias("records"), F.sum("target").cast("bigint").alias("target"),
         F.count_if(F.col("n") == 0).alias("empty_cells"), F.bool_and(F.col("n") >= F.col("target")).alias("complete"),

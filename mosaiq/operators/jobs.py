@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from mosaiq.functions.columns import codes
 from mosaiq.operators.ordered import prefix_sums
+from mosaiq.session import cut_lineage
 
 # Terminal states and lifecycle limits.
 TERMINAL = ["succeeded", "failed", "cancelled", "damaged"]
@@ -72,7 +73,7 @@ def retention_plan(jobs: DataFrame, retention_days: float, user_quota: int, disk
         summed = summed.join(total, keys) if keys else summed.join(F.broadcast(total), F.lit(True))
         evict = F.col("_total") - F.col("_older") > limit
         out.append(summed.where(evict).select("job_id", "owner", F.lit(phase).alias("phase")))
-        kept = summed.where(~evict).drop("_older", "_total")
+        kept = cut_lineage(summed.where(~evict).drop("_older", "_total"))  # the next phase reads it several times
     return out[0].unionByName(out[1]).unionByName(out[2])
 
 

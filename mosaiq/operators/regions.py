@@ -67,7 +67,7 @@ def graph_components(edges: DataFrame) -> DataFrame:
     that a lost executor does not replay earlier rounds.
     """
     sizes = edges.groupBy(IMG).agg(F.ceil(F.count(F.lit(1)) / EDGE_CHUNK).cast("int").alias("_k"))
-    chunked = edges.join(sizes, IMG).select(IMG, F.pmod(F.hash("u"), F.col("_k")).alias("_c"), "u", "v", "_k")
+    chunked = edges.join(sizes, IMG).select(IMG, F.pmod(F.hash("u", "v"), F.col("_k")).alias("_c"), "u", "v", "_k")
     key_type = dict(edges.dtypes)[IMG]
 
     def forest(pdf: pd.DataFrame) -> pd.DataFrame:

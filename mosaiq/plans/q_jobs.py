@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from mosaiq.functions.columns import rounded
 from mosaiq.operators import intake as it, jobs as jb
-from mosaiq.plans.registry import Tables, query
+from mosaiq.plans.registry import Tables, query, scratch
 from mosaiq.sources import images as im, reports as rp
 
 
@@ -149,7 +149,7 @@ def _(t: Tables):
 # -- corpus intake -------------------------------------------------------------
 
 _REC = """SELECT CASE WHEN case_id%31=0 THEN 'X' ELSE CONCAT('case-', CAST(case_id AS VARCHAR(20))) END AS case_id, category, CASE WHEN case_id%37=0 THEN 'train' ELSE split END AS split, source_sha256, license, source_format, file_bytes, width, height*5 AS height, contains_public_pii,
- case_id%41=0 AS lied, CASE WHEN case_id%43=0 THEN 's3://x' ELSE CONCAT('rfv/qualification/', source_sha256) END AS storage_object_id FROM case_rec"""
+ case_id%41=0 AS lied, CASE WHEN case_id%43=0 THEN 's3://x' ELSE CONCAT('objects/', source_sha256) END AS storage_object_id FROM case_rec"""
 
 
 @query("validate_records", f"""WITH r AS ({_REC}) SELECT case_id, source_sha256, concat_ws(',', CASE WHEN case_id='X' THEN 'invalid_case_id' END, CASE WHEN category NOT IN ('en','de') THEN 'unknown_category' END, CASE WHEN split='train' THEN 'wrong_split' END, CASE WHEN license='unknown' THEN 'unreviewed_license' END,
@@ -254,21 +254,31 @@ def _(t: Tables):
 
 @query("write_content_addressed", """WITH n AS (SELECT * FROM case_rec c WHERE split<>'holdout' AND NOT EXISTS (SELECT 1 FROM case_rec h WHERE h.split='holdout' AND h.source_sha256=c.source_sha256)),
 k AS (SELECT * FROM n QUALIFY ROW_NUMBER() OVER (PARTITION BY source_sha256 ORDER BY case_id)=1)
-SELECT case_id, source_sha256, substring(source_sha256,1,2) AS prefix, CONCAT('rfv/qualification/', substring(source_sha256,1,2), '/', source_sha256, '.', source_format) AS object_id FROM k""")
+SELECT case_id, source_sha256, substring(source_sha256,1,2) AS prefix, CONCAT('objects/', substring(source_sha256,1,2), '/', source_sha256, '.', source_format) AS object_id FROM k""")
 def _(t: Tables):
-    r = t("case_rec")
-    return rp.new_objects(r.where("split <> 'holdout'"), r.where("split = 'holdout'"))
+    r, path = t("case_rec"), scratch(t, "objects")
+    old = r.where("split = 'holdout'")
+    rp.write_content_addressed(old, path)
+    rp.write_content_addressed(r.where("split <> 'holdout'"), path)
+    stored = t.spark.read.option("basePath", path).parquet(path).withColumn("prefix", F.substring("source_sha256", 1, 2))
+    return stored.join(old.select("source_sha256").distinct(), "source_sha256", "left_anti").select("case_id", "source_sha256", "prefix", "object_id")
 
 
 @query("append_telemetry", """SELECT CONCAT('{"job_id":', job_id, ',"name":"', name, '","ord":', ord, ',"rendered_ok":', CASE WHEN rendered_ok THEN 'true' ELSE 'false' END, '}') AS value FROM cand""")
 def _(t: Tables):
-    return rp.telemetry_lines(t("cand").select("job_id", "name", "ord", "rendered_ok"))
+    path = scratch(t, "telemetry")
+    lines = t("cand").select("job_id", "name", "ord", "rendered_ok")
+    rp.append_telemetry(lines.where("ord % 2 = 0"), path)
+    rp.append_telemetry(lines.where("ord % 2 <> 0"), path)
+    return t.spark.read.text(path)
 
 
-@query("export_report", """WITH g AS (SELECT category, COUNT(*) AS cases, COUNT(alpha_iou) AS alpha_measured FROM bench_case WHERE side='cur' GROUP BY category) SELECT CONCAT('{"alpha_measured":', alpha_measured, ',"cases":', cases, ',"category":"', category, '"}') AS value FROM g""")
+@query("export_report", """WITH g AS (SELECT category, COUNT(*) AS cases, COUNT(alpha_iou) AS alpha_measured FROM bench_case WHERE side='cur' GROUP BY category) SELECT CONCAT('{"category":"', category, '","cases":', cases, ',"alpha_measured":', alpha_measured, '}') AS value FROM g""")
 def _(t: Tables):
     g = t("bench_case").where("side = 'cur'").groupBy("category").agg(F.count(F.lit(1)).alias("cases"), F.count("alpha_iou").alias("alpha_measured"))
-    return rp.telemetry_lines(g)
+    path = scratch(t, "report")
+    rp.export_report(g, path)
+    return t.spark.read.text(path)
 
 
 @query("read_images", """WITH d AS (SELECT doc_id, doc_id%5 AS k, strlen(text) + CASE doc_id%5 WHEN 1 THEN 2 WHEN 2 THEN 24 WHEN 3 THEN 4 ELSE 12 END AS n, doc_id%256 AS w, n_chars%256 AS h FROM documents)

@@ -6,28 +6,19 @@ operators are the oracle.
 
 from __future__ import annotations
 
-import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from mosaiq.functions.columns import rounded
-from mosaiq.plans.registry import Tables, query
-from mosaiq.session import ensure_checkpoint_dir
+from mosaiq.plans.registry import Tables, query, scratch
 from mosaiq.streaming import streams
 
 
-def _scratch(t: Tables, name: str) -> str:
-    """A fresh folder under the session's shared checkpoint folder."""
-    ensure_checkpoint_dir(t.spark)
-    root = t.spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return f"{root}/{name}-{uuid.uuid4().hex}"
-
-
 def _as_stream(t: Tables, df: DataFrame, name: str, time: str = "ts", parts: int = 3) -> DataFrame:
     """``df`` as files in the order of time, one of them a micro-batch; cuts fall inside windows and jobs."""
-    path = _scratch(t, name)
+    path = scratch(t, name)
     at = F.col(time).cast("double")
     cuts = df.agg(F.percentile_approx(at, [k / parts for k in range(1, parts)]).alias("c")).first()["c"] or []
     piece = reduce(lambda n, c: n + (at > c).cast("int"), cuts, F.lit(0))
@@ -38,7 +29,7 @@ def _as_stream(t: Tables, df: DataFrame, name: str, time: str = "ts", parts: int
 
 def _finish(t: Tables, out: DataFrame, mode: str, keys: tuple[str, ...] = ()) -> DataFrame:
     """Runs ``out`` to its end; of rows with equal ``keys`` the last batch's stays."""
-    path, ckpt = _scratch(t, "out"), _scratch(t, "ckpt")
+    path, ckpt = scratch(t, "out"), scratch(t, "ckpt")
 
     def land(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/b={batch_id}")
@@ -72,7 +63,7 @@ def _(t: Tables):
 
 @query("stream_feedback", """SELECT line::JSON->>'job_id' AS job_id, line::JSON->>'issue_type' AS issue_type, COUNT(*) AS n FROM feedback WHERE json_valid(line) AND line NOT LIKE '%"refund"%' GROUP BY 1,2""")
 def _(t: Tables):
-    src, ok, bad, ckpt = (_scratch(t, n) for n in ("lines", "accepted", "rejected", "ckpt"))
+    src, ok, bad, ckpt = (scratch(t, n) for n in ("lines", "accepted", "rejected", "ckpt"))
     t("feedback").select(F.col("line").alias("value")).write.text(src)
     streams.stream_feedback(t.spark, src, ok, bad, ckpt).awaitTermination()
     return t.spark.read.parquet(f"{ok}/*").groupBy("job_id", "issue_type").agg(F.count(F.lit(1)).alias("n"))

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from mosaiq.plans import fixtures
+from mosaiq.session import ensure_checkpoint_dir
 
 BASE_TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem",
@@ -50,6 +52,15 @@ class Tables:
         return self.spark.sql(fixtures.spark_text(name))
 
 
+def scratch(t: Tables, name: str) -> str:
+    """A fresh folder under the session's shared checkpoint folder; it goes with the session."""
+    ensure_checkpoint_dir(t.spark)
+    sc = t.spark.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(sc._jsc.sc().getCheckpointDir().get(), f"{name}-{uuid.uuid4().hex}")
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return path.toString()
+
+
 _QUERIES: dict[str, Callable[[Tables], DataFrame]] = {}
 _ORACLES: dict[str, str] = {}
 

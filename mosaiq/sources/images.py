@@ -82,11 +82,13 @@ def explode_pixels(images: DataFrame, band: int = 64) -> DataFrame:
         "image_id", "width", "nChannels", "data", stride.alias("_stride"), F.explode(F.sequence(F.lit(0), F.col("height") - 1)).alias("y")
     ).select("image_id", "width", "nChannels", "y", F.substring(F.col("data"), F.col("y") * F.col("_stride") + 1, F.col("_stride")).alias("row"))
     rows = rows.repartition("image_id", F.floor(F.col("y") / band))
-    px = rows.select("image_id", "y", "nChannels", F.hex("row").alias("hex"), F.explode(F.sequence(F.lit(0), F.col("width") - 1)).alias("x"))
+    # cutting bytes takes constant time, and only the cut pixels leave the scanline
+    pixel = lambda x: F.struct(x.alias("x"), F.substring(F.col("row"), x * F.col("nChannels") + 1, F.col("nChannels")).alias("p"))
+    px = rows.select("image_id", "y", "nChannels", F.explode(F.transform(F.sequence(F.lit(0), F.col("width") - 1), pixel)).alias("s"))
+    px = px.select("image_id", "y", "nChannels", "s.x", F.hex("s.p").alias("hex"))
 
     def channel(i: int) -> Column:
-        at = (F.col("x") * F.col("nChannels") + i) * 2 + 1
-        return F.conv(F.substring(F.col("hex"), at, F.lit(2)), 16, 10).cast("int")
+        return F.conv(F.substring("hex", 2 * i + 1, 2), 16, 10).cast("int")
 
     color = F.col("nChannels") >= 3
     return px.select(

@@ -132,7 +132,7 @@ def read_checked(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return checked.where("intact"), checked.where("not intact")
 
 
-def new_objects(df: DataFrame, existing: DataFrame, digest: str = "source_sha256") -> DataFrame:
+def new_objects(df: DataFrame, existing: DataFrame, digest: str = "source_sha256", object_prefix: str = "objects/") -> DataFrame:
     """Rows whose digest is not stored yet, one per digest, with their object id.
 
     The kept row of a digest is the one with the smallest case_id.
@@ -142,7 +142,7 @@ def new_objects(df: DataFrame, existing: DataFrame, digest: str = "source_sha256
     prefix = F.substring(digest, 1, 2)
     return one.select(
         "case_id", digest, prefix.alias("prefix"),
-        F.concat(F.lit("rfv/qualification/"), prefix, F.lit("/"), F.col(digest), F.lit("."), "source_format").alias("object_id"),
+        F.concat(F.lit(object_prefix), prefix, F.lit("/"), F.col(digest), F.lit("."), "source_format").alias("object_id"),
     )
 
 
