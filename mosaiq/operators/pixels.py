@@ -129,7 +129,7 @@ def transparency_flags(px: DataFrame) -> DataFrame:
 
 def corner_patches(px: DataFrame, fraction: float, minimum: int = 8) -> DataFrame:
     """Pixels of the four corner patches (with _w, _h)."""
-    df = px.join(st.image_size(px), IMG)
+    df = st.sized(px)
     pw, ph = F.greatest(F.lit(minimum), F.floor(F.col("_w") * fraction)), F.greatest(F.lit(minimum), F.floor(F.col("_h") * fraction))
     edge_x = (F.col("x") < pw) | (F.col("x") >= F.col("_w") - pw)
     edge_y = (F.col("y") < ph) | (F.col("y") >= F.col("_h") - ph)
@@ -559,7 +559,7 @@ def auto_color_count(df: DataFrame) -> DataFrame:
 
 def stride_sample(px: DataFrame, n: int) -> DataFrame:
     """Every k-th pixel in scan order so that at most about ``n`` remain per image."""
-    j = px.join(st.image_size(px), IMG)
+    j = st.sized(px)
     step = F.greatest(F.lit(1), F.floor(F.col("_w") * F.col("_h") / n))
     return j.where((F.col("y") * F.col("_w") + F.col("x")) % step == 0).drop("_w", "_h")
 
@@ -571,7 +571,7 @@ def mirror_score(px: DataFrame, axis: str = "x", shifts: int = 8, min_fg: int =
     """
     other = "y" if axis == "x" else "x"
     size = "_w" if axis == "x" else "_h"
-    df = px.join(corner_color(px), IMG).join(st.image_size(px), IMG)
+    df = st.sized(px.join(corner_color(px), IMG))
     df = df.select(IMG, "x", "y", "r", "g", "b", F.col(size).alias("size"), ink_euclid("", 40.0).alias("fg"))
     enough = df.groupBy(IMG).agg(F.count_if("fg").alias("_n")).where(F.col("_n") >= min_fg).select(IMG)
     df = df.join(enough, IMG, "left_semi")
@@ -593,7 +593,7 @@ def symmetrize(px: DataFrame, scores: DataFrame, axis: str = "x", mean_tol: floa
     other = "y" if axis == "x" else "x"
     size = "_w" if axis == "x" else "_h"
     ok = scores.where((F.col("mean_diff") <= mean_tol) & (F.col("high_ratio") <= hi_tol)).select(IMG, "shift")
-    df = px.join(ok, IMG, "left").join(st.image_size(px), IMG).withColumn("_p", F.col(size) - 1 - F.col(axis) + F.col("shift"))
+    df = st.sized(px.join(ok, IMG, "left")).withColumn("_p", F.col(size) - 1 - F.col(axis) + F.col("shift"))
     mate = px.select(IMG, F.col(axis).alias("_p"), F.col(other), *[F.col(c).alias(f"q{c}") for c in "rgb"])
     j = df.join(mate, [IMG, "_p", other], "left")
     return j.select(IMG, "x", "y", *[F.when(F.col(f"q{c}").isNotNull(), F.floor((F.col(c) + F.col(f"q{c}")) / 2).cast("int")).otherwise(F.col(c)).alias(c) for c in "rgb"])

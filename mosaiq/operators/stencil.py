@@ -142,6 +142,16 @@ def image_size(px: DataFrame) -> DataFrame:
     return px.groupBy(IMG).agg((F.max("x") + 1).alias("_w"), (F.max("y") + 1).alias("_h"))
 
 
+def sized(px: DataFrame) -> DataFrame:
+    """Adds _w and _h: the columns ``width`` and ``height`` where the pixels carry them, else measured.
+
+    Measured sizes come by a join on the image; carried ones cost nothing, however large one image is.
+    """
+    if {"width", "height"} <= set(px.columns):
+        return px.withColumn("_w", F.col("width")).withColumn("_h", F.col("height"))
+    return px.join(image_size(px), IMG)
+
+
 def padded(px: DataFrame, r: int) -> DataFrame:
     """Adds ``r`` border pixels on every side, mirrored with the edge pixel repeated.
 
@@ -170,7 +180,7 @@ def gaussian(df: DataFrame, values: list[str], sigma: float) -> DataFrame:
 def gaussian_blur(px: DataFrame, values: list[str], sigma: float) -> DataFrame:
     """Blurred raster, border mirrored."""
     r = len(gaussian_weights(sigma)) // 2
-    df = banded(padded(px.join(image_size(px), IMG), r), r)
+    df = banded(padded(sized(px), r), r)
     df = gaussian(df, values, sigma)
     inside = F.col("x").between(0, F.col("_w") - 1) & F.col("y").between(0, F.col("_h") - 1)
     return core(df.where(inside)).drop("_w", "_h")
@@ -178,7 +188,8 @@ def gaussian_blur(px: DataFrame, values: list[str], sigma: float) -> DataFrame:
 
 def ssim(pair: DataFrame, a: str, b: str, sigma: float = 1.5) -> DataFrame:
     """Mean Gaussian-window similarity of two grey columns per image, clipped to 0..1."""
-    df = pair.select(IMG, "x", "y", F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b"))
+    size = [c for c in ("width", "height") if c in pair.columns]
+    df = pair.select(IMG, "x", "y", *size, F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b"))
     df = df.select("*", (F.col("a") * F.col("a")).alias("aa"), (F.col("b") * F.col("b")).alias("bb"), (F.col("a") * F.col("b")).alias("ab"))
     df = gaussian_blur(df, ["a", "b", "aa", "bb", "ab"], sigma)
     ma, mb = F.col("a_blur"), F.col("b_blur")

@@ -300,4 +300,4 @@ def _(t: Tables):
     images = t("px").groupBy("image_id").agg(
         F.unhex(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("y", "x", pixel.alias("p")))), lambda s: s["p"]), "")).alias("data")
     ).select("image_id", F.lit(24).alias("width"), F.lit(24).alias("height"), F.lit(4).alias("nChannels"), "data")
-    return im.explode_pixels(images)
+    return im.explode_pixels(images).drop("width", "height")

@@ -12,6 +12,13 @@ from mosaiq.plans import sqlkit as k
 from mosaiq.plans.registry import Tables, query
 
 BYTE = "CAST(LEAST(255,GREATEST(0,round_even({},0))) AS INT)"
+
+
+def _carried(px_rows: DataFrame) -> DataFrame:
+    """Pixels with the size of their image, as a reader gives them."""
+    return px_rows.withColumn("width", F.lit(24)).withColumn("height", F.lit(24))
+
+
 CHECK = "CASE WHEN (CAST(FLOOR(x/4e0) AS INT)+CAST(FLOOR(y/4e0) AS INT))%2=1 THEN 96 ELSE 238 END"
 
 
@@ -158,7 +165,7 @@ def _(t: Tables):
 
 @query("stride_sample", "SELECT image_id, x, y FROM px WHERE (y*24+x)%5=0")
 def _(t: Tables):
-    return px.stride_sample(t("px"), 100).select("image_id", "x", "y")
+    return px.stride_sample(_carried(t("px")), 100).select("image_id", "x", "y")
 
 
 @query("area_downsample", "SELECT image_id, CAST(FLOOR(x/4e0) AS INT) AS x, CAST(FLOOR(y/4e0) AS INT) AS y, round(AVG(r),6) AS r, round(AVG(b),6) AS b FROM px GROUP BY 1,2,3")
@@ -236,7 +243,7 @@ _CORNER = lambda n: f"WHERE (x<{n} OR x>={24 - n}) AND (y<{n} OR y>={24 - n})"
 SELECT image_id, CAST(FLOOR(mr) AS INT) AS background_r, CAST(FLOOR(mg) AS INT) AS background_g, CAST(FLOOR(mb) AS INT) AS background_b, CASE WHEN tr>0.45e0 THEN 'transparent' WHEN (mr+mg+mb)/3>235 THEN 'white' WHEN (mr+mg+mb)/3<25 THEN 'black' ELSE 'colored' END AS background_type,
  round_even(u,4) AS background_uniformity, round_even(tr,4) AS transparent_corner_ratio, u>0.82e0 OR tr>0.45e0 AS is_uniform_background FROM u""")
 def _(t: Tables):
-    return px.background(t("px"))
+    return px.background(_carried(t("px")))
 
 
 _RED = "r>=165 AND g<=115 AND b<=115 AND r>g*1.28e0 AND r>b*1.28e0 AND ABS(g-b)<=45"
@@ -461,7 +468,7 @@ def _(t: Tables):
 
 @query("gaussian_blur", f"WITH {_PG}, {k.blur('z','pg',['v'],1.5,24)} SELECT image_id, x, y, round(v_blur,5) AS v_blur FROM z")
 def _(t: Tables):
-    return rounded(st.gaussian_blur(t("px").select("image_id", "x", "y", cl.gray().alias("v")), ["v"], 1.5).select("image_id", "x", "y", "v_blur"), 5)
+    return rounded(st.gaussian_blur(_carried(t("px").select("image_id", "x", "y", cl.gray().alias("v"))), ["v"], 1.5).select("image_id", "x", "y", "v_blur"), 5)
 
 
 _PAIRG = f"gp AS (SELECT image_id, x, y, {k.gray()} AS p, {k.gray('rr','rg','rb')} AS q FROM px_pair)"
@@ -473,7 +480,7 @@ def _gray_pair(t: Tables) -> DataFrame:
 
 @query("ssim", f"WITH {_PAIRG}, {k.ssim('s','gp','p','q',24)} SELECT image_id, round(ssim,6) AS ssim FROM s")
 def _(t: Tables):
-    return rounded(st.ssim(_gray_pair(t), "p", "q"))
+    return rounded(st.ssim(_carried(_gray_pair(t)), "p", "q"))
 
 
 @query("ms_ssim", f"""WITH {k.ssim('f','px64_pair','v','rv',64)}, hf AS (SELECT image_id, CAST(FLOOR(x/2e0) AS INT) AS x, CAST(FLOOR(y/2e0) AS INT) AS y, FLOOR(AVG(v)+0.5e0) AS v, FLOOR(AVG(rv)+0.5e0) AS rv FROM px64_pair GROUP BY 1,2,3), {k.ssim('h','hf','v','rv',32)} SELECT image_id, round(0.6e0*f.ssim+0.4e0*h.ssim,6) AS ms_ssim FROM f JOIN h USING (image_id)""")

@@ -72,20 +72,20 @@ def read_images(
 
 
 def explode_pixels(images: DataFrame, band: int = 64) -> DataFrame:
-    """images(image_id, width, height, nChannels, data) -> one row per pixel.
+    """images(image_id, width, height, nChannels, data) -> one row per pixel, with the size of its image.
 
     Rows of an image are cut first and spread by (image, row band), so one large
     image is exploded by many tasks.
     """
     stride = F.col("width") * F.col("nChannels")
     rows = images.select(
-        "image_id", "width", "nChannels", "data", stride.alias("_stride"), F.explode(F.sequence(F.lit(0), F.col("height") - 1)).alias("y")
-    ).select("image_id", "width", "nChannels", "y", F.substring(F.col("data"), F.col("y") * F.col("_stride") + 1, F.col("_stride")).alias("row"))
+        "image_id", "width", "height", "nChannels", "data", stride.alias("_stride"), F.explode(F.sequence(F.lit(0), F.col("height") - 1)).alias("y")
+    ).select("image_id", "width", "height", "nChannels", "y", F.substring(F.col("data"), F.col("y") * F.col("_stride") + 1, F.col("_stride")).alias("row"))
     rows = rows.repartition("image_id", F.floor(F.col("y") / band))
     # cutting bytes takes constant time, and only the cut pixels leave the scanline
     pixel = lambda x: F.struct(x.alias("x"), F.substring(F.col("row"), x * F.col("nChannels") + 1, F.col("nChannels")).alias("p"))
-    px = rows.select("image_id", "y", "nChannels", F.explode(F.transform(F.sequence(F.lit(0), F.col("width") - 1), pixel)).alias("s"))
-    px = px.select("image_id", "y", "nChannels", "s.x", F.hex("s.p").alias("hex"))
+    px = rows.select("image_id", "width", "height", "y", "nChannels", F.explode(F.transform(F.sequence(F.lit(0), F.col("width") - 1), pixel)).alias("s"))
+    px = px.select("image_id", "width", "height", "y", "nChannels", "s.x", F.hex("s.p").alias("hex"))
 
     def channel(i: int) -> Column:
         return F.conv(F.substring("hex", 2 * i + 1, 2), 16, 10).cast("int")
@@ -94,5 +94,5 @@ def explode_pixels(images: DataFrame, band: int = 64) -> DataFrame:
     return px.select(
         "image_id", "x", "y",
         F.when(color, channel(2)).otherwise(channel(0)).alias("r"), F.when(color, channel(1)).otherwise(channel(0)).alias("g"),
-        channel(0).alias("b"), F.when(F.col("nChannels") == 4, channel(3)).otherwise(F.lit(255)).alias("a"),
+        channel(0).alias("b"), F.when(F.col("nChannels") == 4, channel(3)).otherwise(F.lit(255)).alias("a"), "width", "height",
     )
