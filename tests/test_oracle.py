@@ -16,6 +16,8 @@ CROSS_SECTION = [
     "select_best", "pareto_frontier", "route_mode", "artifact_gate", "retention_plan", "active_sessions", "attempt_windows",
     "union_shards", "explode_pixels", "color_metrics", "ink_metrics", "ssim", "edge_mask", "region_adjacency",
     "classify_micro_regions", "euler_check", "taubin_smooth", "snap_axis_groups", "stream_attempts", "markup_structure",
+    "mode_release", "retry_audit", "verify_chain", "dedupe_points", "corner_intersections", "weak_components", "smooth_flat_zone",
+    "stream_agreement", "stream_job_state", "write_content_addressed", "export_report",
 ]
 NAMES = sorted(entry_point.oracle_sql()) if os.environ.get("MOSAIQ_FULL") else CROSS_SECTION
 
