@@ -17,7 +17,7 @@ from mosaiq.session import cut_lineage, ensure_checkpoint_dir
 WORD = r"[^\x20\x09-\x0D]+"
 """Words of a text: runs of anything but ASCII white space."""
 
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 512 << 10
 """Text handled at once inside a task; a longer single text is a block of its own."""
 
 BROADCAST_ROWS = 500_000

@@ -70,9 +70,10 @@ def linked(rows):
     return {k: (len(sets[k]), c) for k, c in groups(ids, links).items()}
 
 
-@pytest.mark.parametrize("seed, often", [(6, 512), (7, 20)])
-def test_jaccard_components(frame, monkeypatch, seed, often):
+@pytest.mark.parametrize("seed, often, block", [(6, 512, 256), (7, 20, 3)])
+def test_jaccard_components(frame, monkeypatch, seed, often, block):
     monkeypatch.setattr(jaccard, "COMMON", often)
+    monkeypatch.setattr(jaccard, "BLOCK", block)
     rows = variants(seed) + [(900, None), (901, ""), (902, " \n ")]
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.similar_documents(frame(rows, component_id=1)).collect()}
     assert got == linked(rows)
@@ -95,6 +96,31 @@ def test_signatures_meet_for_every_linked_pair():
             assert len(a) == len(b) == shared or set(sig[whose == 0]) & set(sig[whose == 1]), (n, trial)
 
 
+@pytest.mark.parametrize("block", [256, 5])
+def test_open_groups_are_compared_whole(spark, block):
+    """Every linking pair of different parts of a group comes out, once a piece; pairs of one part do not."""
+    import pyarrow as pa
+
+    rnd = np.random.default_rng(12)
+    sets = [np.unique(rnd.integers(0, 1 << 62, int(n)).astype(np.uint64)) for n in rnd.integers(20, 90, 12)]
+    sets += [np.unique(np.concatenate([a[: len(a) - len(a) // 12], rnd.integers(0, 1 << 62, len(a) // 15).astype(np.uint64)])) for a in sets for _ in range(2)]
+    cards = jaccard.sketches(np.concatenate(sets), np.concatenate([[0], np.cumsum([len(a) for a in sets])]))
+    pieces = -(-len(sets) // block)
+    rows = []
+    for k, (a, card) in enumerate(zip(sets, cards)):
+        blk = k % pieces
+        rows += [{"gid": 1, "lo": min(blk, m), "hi": max(blk, m), "blk": blk, "vertex": k, "part": k % 7, "n_shingles": len(a), "sketch": card} for m in range(pieces)]
+    rows.sort(key=lambda r: (r["lo"], r["hi"], r["blk"]))
+    packed = sorted(jaccard._across(iter([pa.RecordBatch.from_pylist(rows)]), 3), key=lambda b: b.column(0)[0].as_py())
+    got = [tuple(p) for b in jaccard._unpacked(iter(packed)) for p in zip(*(c.to_pylist() for c in b.columns))]
+    assert len(got) == len(set(got)) and all(a % 7 != b % 7 for a, b in got)
+    for i, a in enumerate(sets):
+        for j in range(i + 1, len(sets)):
+            shared = len(np.intersect1d(a, sets[j]))
+            if i % 7 != j % 7 and 100 * shared >= 75 * (len(a) + len(sets[j]) - shared):
+                assert (i, j) in got
+
+
 def test_sketches_never_overstate():
     rnd = np.random.default_rng(11)
     for n in (1, 5, 33, 70, 400, 1500):
