@@ -11,13 +11,14 @@ from __future__ import annotations
 import base64
 import heapq
 import json
+import zlib
 from collections.abc import Callable, Iterator
 from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from mosaiq.llm.common import blocks, released, text_buffers
 
@@ -27,11 +28,18 @@ BUCKETS = 1 << 15
 FOLD_BYTES = 192
 """Longer single words take the same merges from a heap, as a fold over them needs quadratic time."""
 
-BLOCK_BYTES = 10 << 20
+BLOCK_BYTES = 3 << 20
 KNOWN_WORDS = 1_000_000
 OUT_DOCS = 512
-OPEN, CLOSE = "\u0100", "\u0101"
-"""Bars around the parts of a word; its bytes are characters below them."""
+OPEN, CLOSE = "\x00", "\x01"
+"""Bars around the parts of a word. A byte is the character of its number, the two bytes of the bars' numbers are others."""
+
+_BARS = {0: "\u0100", 1: "\u0101"}
+
+
+def as_text(raw: bytes) -> str:
+    """A byte string as text with one character a byte."""
+    return raw.decode("latin-1").translate(_BARS) if b"\x00" in raw or b"\x01" in raw else raw.decode("latin-1")
 
 
 def load_ranks(rank_file: str) -> dict[bytes, int]:
@@ -40,16 +48,15 @@ def load_ranks(rank_file: str) -> dict[bytes, int]:
 
 
 def _bucket_of(word: Column) -> Column:
-    return F.pmod(F.hash(word), F.lit(BUCKETS))
+    return F.crc32(word.cast("binary")).bitwiseAND(BUCKETS - 1).cast("int")
 
 
-def rank_literal(spark: SparkSession, ranks: dict[bytes, int]) -> Column:
-    """The rank map as a literal: an array of small maps, by the hash of the byte string (one character a byte)."""
-    rows = [(token.decode("latin-1"), rank) for token, rank in ranks.items()]
-    keyed = spark.createDataFrame(rows, "token string, rank int").select(_bucket_of(F.col("token")).alias("b"), "token", "rank").collect()
+def rank_literal(ranks: dict[bytes, int]) -> Column:
+    """The rank map as a literal: an array of small maps, by the checksum of the byte string."""
     maps: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
-    for r in keyed:
-        maps[r.b][r.token] = r["rank"]
+    for token, rank in ranks.items():
+        text = as_text(token)
+        maps[zlib.crc32(text.encode()) & (BUCKETS - 1)][text] = rank
     return F.from_json(F.lit(json.dumps(maps)), "array<map<string,int>>")
 
 
@@ -80,8 +87,8 @@ def merge_rules(ranks: dict[bytes, int]) -> tuple[list[str], list[str]]:
         if len(parts) > 2:
             raise ValueError(f"the merges cannot make {token!r}")
         if len(parts) == 2:
-            found[rank] = "".join(OPEN + p.decode("latin-1") + CLOSE for p in parts)
-            joined[rank] = OPEN + token.decode("latin-1") + CLOSE
+            found[rank] = "".join(OPEN + as_text(p) + CLOSE for p in parts)
+            joined[rank] = OPEN + as_text(token) + CLOSE
     return found, joined
 
 
@@ -179,7 +186,7 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, summary: tuple[str, Ca
     columns are dropped.
     """
     ranks = load_ranks(rank_file)
-    table = rank_literal(docs.sparkSession, ranks)
+    table = rank_literal(ranks)
     found, joined = (_strings(x) for x in merge_rules(ranks))
     longest = max(map(len, ranks))
     out_schema = "doc_id long, " + (summary[0] if summary else "ids array<int>")
@@ -201,11 +208,11 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, summary: tuple[str, Ca
                 words = find(text.as_py() or "")
                 counts.append(len(words))
                 parts.append(np.fromiter(map(numbers.__getitem__, words), dtype=np.int32, count=len(words)))
-            words = [w if w.isascii() else w.encode().decode("latin-1") for w in islice(numbers, known, None)]
+            words = [w if w.isalpha() and w.isascii() else as_text(w.encode()) for w in islice(numbers, known, None)]
             long_ids = []
-            for k, w in enumerate(words):
-                if len(w) > FOLD_BYTES:
-                    long_ids.append([k, *_heap_merge(w.encode("latin-1"), _ranks(rank_file))])
+            for k, w in enumerate(islice(numbers, known, None)):
+                if len(words[k]) > FOLD_BYTES:
+                    long_ids.append([k, *_heap_merge(w.encode(), _ranks(rank_file))])
                     words[k] = ""
             yield pa.RecordBatch.from_arrays([
                 pa.array([names.to_pylist()], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int32())),
@@ -247,7 +254,13 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, summary: tuple[str, Ca
                         [ids[first:last], pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat[place].astype(np.int32)))], names=["doc_id", "ids"])
 
     words = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(released(cut), block_schema)
-    folded = words.select("doc_ids", "counts", "numbers", F.transform("words", lambda w: F.when(w == "", F.array().cast("array<int>")).otherwise(encode_word(w, table, found, joined, longest))).alias("ids"), "long_ids", "known")
+    def fold(tables: Column) -> Column:
+        rank, pair, joint = tables["ranks"], tables["found"], tables["joined"]
+        return F.transform("words", lambda w: F.when(w == "", F.array().cast("array<int>")).otherwise(encode_word(w, rank, pair, joint, longest)))
+
+    # the tables are one literal, named once: every task unpacks what its plan holds
+    tables = F.struct(table.alias("ranks"), found.alias("found"), joined.alias("joined"))
+    folded = words.select("doc_ids", "counts", "numbers", F.get(F.transform(F.array(tables), fold), F.lit(0)).alias("ids"), "long_ids", "known")
     return folded.mapInArrow(released(deal), out_schema)
 
 

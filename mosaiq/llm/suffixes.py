@@ -47,7 +47,7 @@ _powers: list[np.ndarray] = []
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd base and of its inverse modulo 2**64."""
     if not _powers or len(_powers[0]) < n:
-        size = max(n, 1 << 21) + 1
+        size = max(n, 512 << 10) + 1
         _powers[:] = [np.cumprod(np.concatenate([np.ones(1, U64), np.full(size, b, dtype=U64)])) for b in (_BASE, pow(_BASE, -1, 1 << 64))]
     return _powers[0], _powers[1]
 
