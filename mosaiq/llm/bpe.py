@@ -175,11 +175,12 @@ def pieces_of(rank_file: str) -> list[bytes]:
     return out
 
 
-def encode(docs: DataFrame, rank_file: str, pattern: str, summary: tuple[str, Callable[[list[list[int]]], list[pa.Array]]] | None = None) -> DataFrame:
+def encode(docs: DataFrame, rank_file: str, pattern: str, summary: tuple[str, Callable[[list[list[int]]], list[pa.Array]]] | None = None, known_words: int = KNOWN_WORDS) -> DataFrame:
     """docs(doc_id, text) -> doc_id, ids (array of int), for whole texts, without special tokens.
 
     ``summary`` (columns as DDL, a function from id sequences to these columns) returns
-    what it makes of the ids in their place, in the task that has them.
+    what it makes of the ids in their place, in the task that has them. ``known_words``
+    bounds the memory of a task: beyond so many distinct words it starts to number anew.
 
     Each match of ``pattern`` is encoded by itself. Null text counts as empty: no ids.
     Rows pass one by one: repeated rows, null ids and empty tables need no rule. Other
@@ -201,7 +202,7 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, summary: tuple[str, Ca
         numbers = _Numbers()
         for names, texts in (x for batch in batches for x in _blocks(batch)):
             # words of earlier blocks of the task are not folded again
-            if len(numbers) > KNOWN_WORDS:
+            if len(numbers) > known_words:
                 numbers.clear()
             known, parts, counts = len(numbers), [], []
             for text in texts:
