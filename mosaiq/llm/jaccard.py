@@ -44,8 +44,8 @@ CENTRES, CROWD = 2, 8
 FEATURE_BYTES = 6
 """Bytes of each feature that are sent for checking a pair."""
 
-FLUSH = 1_000_000
-SLICE = 300_000
+FLUSH = 600_000
+SLICE = 200_000
 BLOCK = 256
 """Members of an open group that are compared in one piece; larger groups are compared block by block, by several tasks."""
 
