@@ -21,7 +21,7 @@ from mosaiq.session import cut_lineage
 
 LEAD = 3
 ALIKE = 0.7
-MIN_DOCS = 5
+MIN_DOCS = 2
 RUN = 4096
 """A leaf with more distinct lines is grown in parts of about so many, by the hash of the line; equal templates of its parts are one."""
 
@@ -83,7 +83,8 @@ def _grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """(key, pos, template) of the lines that go. Leaves that too few documents reach are left out before any text moves."""
     lines = _lines(docs)
-    leaves = lines.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select("leaf")
+    leaves = lines.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), (F.min("key") != F.max("key")).alias("several"))
+    leaves = leaves.where((F.col("n") >= min_docs) & (F.col("several") | F.lit(min_docs < 2))).select("leaf")
     some = cut_lineage(lines.join(small_side(cut_lineage(leaves)), "leaf"))
     distinct = cut_lineage(some.select("leaf", "line", "key").distinct().groupBy("leaf", "line").agg(F.count(F.lit(1)).alias("n")))
     # a leaf with more lines than a run is dealt out in as many parts as it has runs

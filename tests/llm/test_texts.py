@@ -172,6 +172,14 @@ def test_recurring_templates_keep_their_first_line(frame):
     assert got[20].text == rows[8][1] and got[21].text is None and (got[21].n_lines, got[22].n_lines) == (0, 1)
 
 
+def test_a_line_of_two_documents_recurs(frame):
+    long_line = " ".join(f"{w}{w[::-1]}" for w in ["alpha", "beta", "gamma", "delta", "omega"] * 11)
+    rows = [(1, f"one opening\n{long_line}\none end"), (2, f"another start of it\n{long_line}"), (3, f"twice here only\ntwice here only\n{'x' * 9}")]
+    got = {r.doc_id: r for r in templates.drop_recurring_lines(frame(rows)).collect()}
+    assert {k: r.n_dropped for k, r in got.items()} == {1: 0, 2: 1, 3: 0}
+    assert got[2].text == "another start of it"
+
+
 def test_similar_lines_become_one_template(frame):
     names = ["anna", "bela", "cora", "dora", "edda", "fara"]
     rows = [(k, f"this page was last changed by {w} on a rainy day") for k, w in enumerate(names)]
