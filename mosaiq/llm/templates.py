@@ -23,7 +23,10 @@ LEAD = 3
 ALIKE = 0.7
 MIN_DOCS = 2
 RUN = 4096
-"""A leaf with more distinct lines is grown in parts of about so many, by the hash of the line; equal templates of its parts are one."""
+"""A leaf with more distinct lines is grown in parts of about so many; the templates of its parts are grown again, until one run has them all."""
+
+SHRINK = 0.8
+"""Parts that leave more than this share of the lines of a leaf are not dealt again: the next run has the whole leaf."""
 
 FIELD = "<*>"
 
@@ -53,7 +56,8 @@ def _grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = [r[1].split(" ") for r in held]
         names: dict[str, int] = {FIELD: 0}
         grid = np.array([[names.setdefault(t, len(names)) for t in row] for row in tokens])
-        known = np.zeros((0, grid.shape[1]), dtype=grid.dtype)
+        room = np.zeros((16, grid.shape[1]), dtype=grid.dtype)
+        known = room[:0]
         which = np.zeros(len(held), dtype=np.int64)
         for k, row in enumerate(grid):
             agree = (known == row).sum(axis=1)
@@ -63,7 +67,10 @@ def _grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 which[k] = best
             else:
                 which[k] = len(known)
-                known = np.vstack([known, row])
+                if len(known) == len(room):
+                    room = np.concatenate([room, np.zeros_like(room)])
+                known = room[: len(known) + 1]
+                known[-1] = row
         words = list(names)
         texts = [" ".join(words[t] for t in row) for row in known]
         return pa.RecordBatch.from_arrays([
@@ -80,24 +87,59 @@ def _grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield leaf()
 
 
+def _templates(distinct: DataFrame) -> DataFrame:
+    """Template of each of distinct(leaf, line, n): (leaf, line, template).
+
+    A crowded leaf is dealt out in as many parts as it has runs. Lines of one template may
+    fall into different parts, so the templates of the parts, with the documents of their
+    lines, are the lines of another round; the last round of each leaf is a single run.
+    """
+    sizes = cut_lineage(distinct.groupBy("leaf").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > RUN))
+    whole = F.lit(False)
+    lines, named, turn = distinct, None, 0
+    while True:
+        runs = small_side(cut_lineage(sizes.select("leaf", F.when(whole, F.lit(1)).otherwise(F.ceil(F.col("size") / RUN)).alias("runs"))))
+        part = F.pmod(F.xxhash64("line", F.lit(turn)), F.coalesce("runs", F.lit(1)))
+        dealt = lines.join(runs, "leaf", "left").withColumn("part", part).repartition("leaf", "part").sortWithinPartitions("leaf", "part", "line")
+        grown = cut_lineage(dealt.select("leaf", "line", "n", "part").mapInArrow(_grow, "leaf long, line string, template string"))
+        if named is None:
+            named = grown
+        else:
+            further = grown.select("leaf", F.col("line").alias("template"), F.col("template").alias("_further"))
+            named = cut_lineage(named.join(further, ["leaf", "template"], "left").select("leaf", "line", F.coalesce("_further", "template").alias("template")))
+        # what one run had is through
+        open_leaves = runs.where("runs > 1").select("leaf")
+        if not open_leaves.limit(1).count():
+            return named
+        rest = grown.join(open_leaves, "leaf", "left_semi").join(lines.select("leaf", "line", "n"), ["leaf", "line"])
+        lines = cut_lineage(rest.groupBy("leaf", F.col("template").alias("line")).agg(F.sum("n").alias("n")))
+        before = sizes.select("leaf", F.col("size").alias("before"))
+        sizes = cut_lineage(lines.groupBy("leaf").agg(F.count(F.lit(1)).alias("size")).join(before, "leaf"))
+        whole = (F.col("size") <= RUN) | (F.col("size") > SHRINK * F.col("before"))
+        sizes = cut_lineage(sizes.select("leaf", "size", whole.alias("whole")))
+        whole = F.col("whole")
+        turn += 1
+
+
 def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """(key, pos, template) of the lines that go. Leaves that too few documents reach are left out before any text moves."""
+    """(key, pos) of the lines that go. Leaves that too few documents reach are left out before any text moves.
+
+    Lines and templates meet by their hash: their texts move once, to grow the templates.
+    """
     lines = _lines(docs)
     leaves = lines.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), (F.min("key") != F.max("key")).alias("several"))
     leaves = leaves.where((F.col("n") >= min_docs) & (F.col("several") | F.lit(min_docs < 2))).select("leaf")
-    some = cut_lineage(lines.join(small_side(cut_lineage(leaves)), "leaf"))
-    distinct = cut_lineage(some.select("leaf", "line", "key").distinct().groupBy("leaf", "line").agg(F.count(F.lit(1)).alias("n")))
-    # a leaf with more lines than a run is dealt out in as many parts as it has runs
-    crowded = distinct.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / RUN).alias("runs")).where("runs > 1")
-    parted = distinct.join(small_side(cut_lineage(crowded)), "leaf", "left").withColumn("part", F.pmod(F.xxhash64("line"), F.coalesce("runs", F.lit(1))))
-    dealt = parted.repartition("leaf", "part").sortWithinPartitions("leaf", "part", "line").select("leaf", "line", "n", "part")
-    grown = small_side(cut_lineage(dealt.mapInArrow(_grow, "leaf long, line string, template string")), 20_000)
-    named = cut_lineage(some.join(grown, ["leaf", "line"]).select("key", "doc_id", "pos", "leaf", "template"))
+    some = cut_lineage(lines.join(small_side(cut_lineage(leaves)), "leaf").withColumn("line_key", F.xxhash64("line")))
+    counts = some.select("leaf", "line_key", "key").distinct().groupBy("leaf", "line_key").agg(F.count(F.lit(1)).alias("n"))
+    texts = some.select("leaf", "line_key", "line").distinct()
+    grown = _templates(cut_lineage(texts.join(counts, ["leaf", "line_key"]).select("leaf", "line", "n")))
+    grown = small_side(cut_lineage(grown.select("leaf", F.xxhash64("line").alias("line_key"), F.xxhash64("template").alias("template"))))
+    named = cut_lineage(some.select("key", "doc_id", "pos", "leaf", "line_key").join(grown, ["leaf", "line_key"]).select("key", "doc_id", "pos", "leaf", "template"))
     shared = named.select("leaf", "template", "key").distinct().groupBy("leaf", "template").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs)
     first = named.groupBy("leaf", "template").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "pos")).alias("first"))
-    chosen = small_side(cut_lineage(shared.join(first, ["leaf", "template"]).select("leaf", "template", "first")), 20_000)
+    chosen = small_side(cut_lineage(shared.join(first, ["leaf", "template"]).select("leaf", "template", "first")), 100_000)
     place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "pos")
-    return named.join(chosen, ["leaf", "template"]).where(~place.eqNullSafe(F.col("first"))).select("key", "pos", "template")
+    return named.join(chosen, ["leaf", "template"]).where(~place.eqNullSafe(F.col("first"))).select("key", "pos")
 
 
 def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:

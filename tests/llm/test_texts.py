@@ -189,6 +189,16 @@ def test_similar_lines_become_one_template(frame):
     assert all(got[50 + k] == 0 for k in range(6))
 
 
+@pytest.mark.parametrize("run", [2, 4096])
+def test_crowded_leaves_give_the_same_templates(frame, monkeypatch, run):
+    monkeypatch.setattr(templates, "RUN", run)
+    names = [f"{a}{b}" for a in ("an", "be", "co", "do") for b in ("na", "la", "ra", "ta")]
+    rows = [(k, f"2024-05-{k} 10:{k} 7{k} user {w} logged in from the main office") for k, w in enumerate(names)]
+    rows += [(100 + k, " ".join(f"{k}{j}" if j < 3 else f"{w}{'abcdefghijkl'[j]}" for j in range(12))) for k, w in enumerate(names)]
+    got = {r.doc_id: r.n_dropped for r in templates.drop_recurring_lines(frame(rows)).collect()}
+    assert got == {k: int(0 < k < 16) for k in [*range(16), *range(100, 116)]}
+
+
 def test_lines_of_odd_documents(odd):
     got = templates.drop_recurring_lines(odd, min_docs=2)
     assert got.count() == 12 and len([c for c in got.columns if c == "n_lines"]) == 1
