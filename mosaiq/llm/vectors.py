@@ -15,11 +15,12 @@ SAMPLE = 8192
 """Vectors that the rotation is learned from, at most (those with the smallest id hashes)."""
 
 CODE_BITS = 64
-TABLES = 8
-"""The code is cut into so many substrings, each the key of a table."""
+TABLES = (8, 16, 32, 64)
+"""The code is cut into so many substrings, each the key of a table: the first number that loses none of the trial pairs.
+Pairs that differ in fewer bits than there are tables always meet."""
 
-RADIUS = 28
-"""Pairs of a bucket with codes further apart are not compared. At cosine 0.93 some 8 of 64 bits differ."""
+TRIALS = 4
+"""Trial pairs for each sampled vector, at the cosine limit."""
 
 BUCKET = 256
 """Buckets over this size and over four times the mean are compared in blocks, by several tasks."""
@@ -61,17 +62,43 @@ def codes(x: np.ndarray, model: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     return (bits << np.arange(bits.shape[1], dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
 
 
-def _links(code: np.ndarray, x: np.ndarray, table: int, least: float, rows: slice, cols: slice | None) -> tuple[np.ndarray, np.ndarray]:
+def tables_needed(x: np.ndarray, model: tuple[np.ndarray, np.ndarray], least: float, seed: int = 11) -> int:
+    """How many tables let every trial pair meet.
+
+    Each unit vector of ``x`` is paired with vectors at cosine ``least`` exactly, half of
+    them turned to another vector of ``x``, half in a random direction.
+    """
+    rnd = np.random.default_rng(seed)
+    need = 0
+    for k in range(TRIALS):
+        aim = rnd.standard_normal(x.shape) if k % 2 else x[rnd.permutation(len(x))]
+        aim = aim - (aim * x).sum(axis=1, keepdims=True) * x
+        size = np.sqrt((aim * aim).sum(axis=1, keepdims=True))
+        turned = least * x + np.sqrt(max(0.0, 1 - least * least)) * np.divide(aim, size, out=np.zeros_like(aim), where=size > 1e-9)
+        apart = codes(x, model) ^ codes(turned, model)
+        while need < len(TABLES) - 1 and not _meet(apart, TABLES[need], TABLES[need]).all():
+            need += 1
+    return TABLES[need]
+
+
+def _meet(apart: np.ndarray, tables: int, first: int) -> np.ndarray:
+    """Whether codes that differ by ``apart`` share one of the first substrings."""
+    width = CODE_BITS // tables
+    met = np.zeros(apart.shape, dtype=bool)
+    for t in range(first):
+        met |= (apart >> np.uint64(width * t)) & np.uint64((1 << width) - 1) == 0
+    return met
+
+
+def _links(code: np.ndarray, x: np.ndarray, table: int, tables: int, least: float, rows: slice, cols: slice | None) -> tuple[np.ndarray, np.ndarray]:
     """Linked pairs (i < j if within one block) that meet in no earlier table."""
-    width = np.uint64(CODE_BITS // TABLES)
     other = rows if cols is None else cols
-    apart = code[rows, None] ^ code[None, other]
-    near = np.bitwise_count(apart) <= RADIUS
-    for t in range(table):
-        near &= (apart >> (width * np.uint64(t))) & np.uint64((1 << int(width)) - 1) != 0
+    near = x[rows] @ x[other].T >= least - 1e-9
     i, j = np.nonzero(np.triu(near, 1) if cols is None else near)
     i, j = i + rows.start, j + other.start
     keep = np.einsum("ij,ij->i", x[i], x[j]) >= least if len(i) else np.zeros(0, bool)
+    i, j = i[keep], j[keep]
+    keep = ~_meet(code[i] ^ code[j], tables, table)
     return i[keep], j[keep]
 
 
@@ -94,9 +121,11 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, sample: int = SAMPL
 
     Links join vectors of equal, non-null label and dimension with cosine >= ``least`` in
     double precision. Equal vectors are one class first, so copies cost one row. A class's
-    code is cut into TABLES substrings; classes that share one meet in a task, the pairs
-    within RADIUS bits are reranked, and each linked pair counts in the first table where
-    it meets. Per task and class one count and one edge of a spanning forest leave, never
+    code is cut into substrings; classes that share one meet in a task, where all pairs are
+    compared, and each linked pair counts in the first table where it meets. With n
+    substrings all pairs of fewer than n differing bits meet; n is the first of TABLES for
+    which all trial pairs at the cosine limit, made from the sample, do. Vectors of a
+    dimension that the sample lacks are all compared with each other. Per task and class one count and one edge of a spanning forest leave, never
     the pairs. Buckets beyond a limit are compared block by block in several tasks.
 
     Vectors that are null, zero or hold null or non-finite components, null labels and
@@ -112,8 +141,12 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, sample: int = SAMPL
     drawn: dict[int, list] = {}
     for r in classes.select("embedding", "rep").orderBy(F.xxhash64("rep"), "rep").limit(sample).collect():
         drawn.setdefault(len(r.embedding), []).append(r.embedding)
+    tables = TABLES[0]
     for dim, some in drawn.items():
-        models[dim] = learn_rotation(unit(np.array(some)))
+        if dim:
+            x = unit(np.array(some))
+            models[dim] = learn_rotation(x)
+            tables = max(tables, tables_needed(x, models[dim], least))
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -125,18 +158,23 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, sample: int = SAMPL
             packed: list[bytes] = [b""] * len(sizes)
             for dim in np.unique(sizes):
                 mine = np.flatnonzero(sizes == dim)
-                x = unit(flat[begin[mine][:, None] + np.arange(dim)])
-                # a dimension that the sample lacks has the signs of its first components as codes
-                out[mine] = codes(x, models.get(int(dim), (np.zeros(dim), np.eye(dim)[:, :CODE_BITS])))
-                for k, row in zip(mine, x):
-                    packed[k] = row.tobytes()
+                x = flat[begin[mine][:, None] + np.arange(dim)].astype(np.float64)
+                # in a dimension that the sample lacks all codes are equal
+                if int(dim) in models:
+                    out[mine] = codes(unit(x), models[int(dim)])
+                # half the bytes say the same of what came as floats
+                with np.errstate(over="ignore"):
+                    short = x.astype(np.float32)
+                same = (short == x).all(axis=1)
+                for k, row, brief, fits in zip(mine, x, short, same):
+                    packed[k] = (brief if fits else row).tobytes()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), batch.column(2), batch.column(3), pa.array(out.view(np.int64)), pa.array(packed, pa.binary())],
-                                             names=["label", "dim", "rep", "copies", "code", "unit"])
+                                             names=["label", "dim", "rep", "copies", "code", "packed"])
 
     label_type = classes.schema["label"].dataType.simpleString()
-    width = CODE_BITS // TABLES
-    keyed = classes.select("label", "embedding", "rep", "copies").mapInArrow(coded, f"label {label_type}, dim int, rep long, copies long, code long, unit binary")
-    keyed = keyed.withColumn("tab", F.explode(F.sequence(F.lit(0), F.lit(TABLES - 1)))).withColumn(
+    width = CODE_BITS // tables
+    keyed = classes.select("label", "embedding", "rep", "copies").mapInArrow(coded, f"label {label_type}, dim int, rep long, copies long, code long, packed binary")
+    keyed = keyed.withColumn("tab", F.explode(F.sequence(F.lit(0), F.lit(tables - 1)))).withColumn(
         "sub", F.expr(f"shiftrightunsigned(code, tab * {width}) & {(1 << width) - 1}"))
     bucket = ["label", "dim", "tab", "sub"]
     sizes = keyed.groupBy(*bucket).agg(F.count(F.lit(1)).alias("n"))
@@ -151,8 +189,8 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, sample: int = SAMPL
         .withColumn("lo", F.least("blk", "mate")).withColumn("hi", F.greatest("blk", "mate"))
     )
     task = [*bucket, "lo", "hi"]
-    dealt = blocked.select(*task, "blk", "rep", "copies", "code", "unit").repartition(*task).sortWithinPartitions(*task, "blk", "rep")
-    out = cut_lineage(dealt.mapInArrow(lambda batches: _compare(batches, least), "rep long, links long, root long"))
+    dealt = blocked.select(*task, "blk", "rep", "copies", "code", "packed").repartition(*task).sortWithinPartitions(*task, "blk", "rep")
+    out = cut_lineage(dealt.mapInArrow(lambda batches: _compare(batches, least, tables), "rep long, links long, root long"))
     links = out.groupBy("rep").agg(F.sum("links").alias("links"))
     parts = components(out.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     found = (
@@ -167,27 +205,28 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, sample: int = SAMPL
                          F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
 
 
-def _compare(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+def _compare(batches: Iterator[pa.RecordBatch], least: float, tables: int) -> Iterator[pa.RecordBatch]:
     """Counts and spanning edges of the buckets of one sorted partition, bucket by bucket."""
     held: list[pa.RecordBatch] = []
 
     def bucket(part: pa.Table) -> pa.RecordBatch:
         rep, copies = np.asarray(part["rep"]), np.asarray(part["copies"])
         code = np.asarray(part["code"]).view(np.uint64)
-        x = np.frombuffer(b"".join(part["unit"].to_pylist()), dtype=np.float64).reshape(len(rep), -1)
+        dim = part["dim"][0].as_py()
+        x = unit(np.stack([np.frombuffer(raw, np.float32 if len(raw) == 4 * dim else np.float64).astype(np.float64) for raw in part["packed"].to_pylist()]))
         table, lo, hi = (part[c][0].as_py() for c in ("tab", "lo", "hi"))
         cut = int(np.searchsorted(np.asarray(part["blk"]), hi)) if lo < hi else 0
         found = []
         step = 1024
         if lo == hi:
             for a in range(0, len(rep), step):
-                found.append(_links(code, x, table, least, slice(a, min(a + step, len(rep))), None))
+                found.append(_links(code, x, table, tables, least, slice(a, min(a + step, len(rep))), None))
                 for b in range(a + step, len(rep), step):
-                    found.append(_links(code, x, table, least, slice(a, a + step), slice(b, min(b + step, len(rep)))))
+                    found.append(_links(code, x, table, tables, least, slice(a, a + step), slice(b, min(b + step, len(rep)))))
         else:
             for a in range(0, cut, step):
                 for b in range(cut, len(rep), step):
-                    found.append(_links(code, x, table, least, slice(a, min(a + step, cut)), slice(b, min(b + step, len(rep)))))
+                    found.append(_links(code, x, table, tables, least, slice(a, min(a + step, cut)), slice(b, min(b + step, len(rep)))))
         i, j = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
         n = np.zeros(len(rep), dtype=np.int64)
         np.add.at(n, i, copies[j])

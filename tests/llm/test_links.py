@@ -229,6 +229,22 @@ def test_near_vectors(cloud, monkeypatch, bucket):
     assert vectors.near_duplicates(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("common", [0.0, 0.5, 0.8])
+def test_pairs_at_the_limit_meet(spark, common):
+    rnd = np.random.default_rng(3)
+    x = rnd.standard_normal((3000, 96))
+    x = np.sqrt(1 - common) * x / np.linalg.norm(x, axis=1, keepdims=True) + np.sqrt(common) * np.eye(96)[0]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    aim = np.roll(x, 7, axis=0)[:1000]
+    aim -= (aim * x[:1000]).sum(axis=1, keepdims=True) * x[:1000]
+    pairs = 0.931 * x[:1000] + np.sqrt(1 - 0.931**2) * aim / np.linalg.norm(aim, axis=1, keepdims=True)
+    rows = [(k, v.tolist(), 0) for k, v in enumerate(np.concatenate([x, pairs]))]
+    y = unit_rows(rows)
+    want = (y @ y.T >= 0.93).sum(axis=1) - 1
+    got = {r.vec_id: r.n_links for r in vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert want.sum() >= 2000 and [got[k] for k in range(len(rows))] == want.tolist()
+
+
 def test_nearest_vectors(cloud):
     rows, df = cloud
     x = unit_rows(rows)
