@@ -34,19 +34,34 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
+def _with_row_key(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``row``, a number of its own for each row that stays the same in every job: the file and the place in it."""
+    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation" or not docs.inputFiles():
+        docs = stored(docs.select(*COLUMNS))
+    placed = docs.select(*COLUMNS, F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_place"))
+    files = sorted(r[0] for r in placed.select("_file").distinct().collect())
+    numbered = docs.sparkSession.createDataFrame(list(zip(files, range(len(files)))), "_file string, _number long")
+    row = F.shiftleft("_number", 40) + F.col("_place")
+    return placed.join(F.broadcast(numbered), "_file").select(*COLUMNS, row.alias("row"))
+
+
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest doc_id of each group of similar ones. Rows that repeat an id share its fate."""
-    groups = jaccard.similar_documents(docs)
-    gone = groups.where("component_id is not null and not (doc_id <=> component_id)").select(F.col("doc_id").alias("gone")).distinct()
-    gone = small_side(cut_lineage(gone))
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone"]), "left_anti").select(*COLUMNS)
+    """One row of each group of similar ones: that of the smallest doc_id, nulls last. Rows are told apart by a key, not by their id."""
+    keyed = _with_row_key(docs)
+    groups = jaccard.similar_documents(keyed.select(F.col("row").alias("doc_id"), "text"))
+    later = cut_lineage(groups.where("component_id <> doc_id").select(F.col("doc_id").alias("row"), F.col("component_id").alias("part")))
+    members = small_side(cut_lineage(later.union(later.select("part", "part").distinct())))
+    named = cut_lineage(keyed.select("row", "doc_id").join(members, "row"))
+    first = named.groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row"))["row"].alias("first"))
+    gone = named.join(first, "part").where("row <> first").select("row")
+    return keyed.join(small_side(cut_lineage(gone)), "row", "left_anti").select(*COLUMNS)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """As many copies of each document as its source's share asks for, none for some."""
-    copies = mixing.mix_sources(docs).groupBy(F.col("doc_id").alias("mixed_id")).agg(F.max("copies").alias("copies"))
-    copies = small_side(cut_lineage(copies.where("copies > 0")))
-    mixed = docs.join(copies, docs["doc_id"].eqNullSafe(copies["mixed_id"]))
+    """As many copies of each row as its source's share asks for, none for some."""
+    keyed = _with_row_key(docs)
+    copies = small_side(cut_lineage(mixing.mix_sources(keyed, carry=("row",)).where("copies > 0").select("row", "copies")))
+    mixed = keyed.join(copies, "row")
     return mixed.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*COLUMNS)
 
 

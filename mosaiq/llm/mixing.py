@@ -40,7 +40,7 @@ def source_targets(sources: DataFrame, weights: tuple[float, ...], max_copies: i
     return ranked.select("source", "source_size", F.least(F.col("_cap"), F.col("_stop") * F.col("_w")).alias("target"))
 
 
-def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), max_copies: int = MAX_COPIES, seed: str = "mix") -> DataFrame:
+def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), max_copies: int = MAX_COPIES, seed: str = "mix", carry: tuple[str, ...] = ()) -> DataFrame:
     """Copies of documents so that each source's words come near its target.
 
     docs(doc_id, text, source) -> doc_id, size, source_size, target, copies, taken.
@@ -55,11 +55,12 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), m
 
     Null text: size 0, nothing taken. Null source: a source of its own, the last. Null
     doc_id: a document like any other. Repeated rows rank alike and count one by one.
-    Empty table: no rows. Other columns are dropped.
+    Empty table: no rows. Columns named in ``carry`` are returned too and settle ties;
+    others are dropped.
     """
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
     u = (F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))), 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
-    sized = cut_lineage(docs.select("doc_id", "source", size.alias("size"), u.alias("_u")))
+    sized = cut_lineage(docs.select("doc_id", *carry, "source", size.alias("size"), u.alias("_u")))
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     sources = cut_lineage(
         source_targets(sources, weights, max_copies)
@@ -71,7 +72,7 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), m
     )
     on = sized["source"].eqNullSafe(sources["source"])
     ranked = sized.join(F.broadcast(sources) if sources.count() <= 100_000 else sources, on).select(
-        "doc_id", "size", "source_size", "target", "source_no", "_whole", "_need", "_p",
+        "doc_id", *carry, "size", "source_size", "target", "source_no", "_whole", "_need", "_p",
         ((F.col("_u") / (1 - F.col("_u"))) / F.nullif(F.col("_p") / (1 - F.col("_p")), F.lit(0.0))).alias("_q"),
     )
     # the odds fall into slices by q / (1 + q), which is even enough for any p
@@ -85,8 +86,8 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), m
     crossing = bins.where("_ends").groupBy("source_no").agg(F.min(F.struct("_bin", "_before")).alias("_c"))
     crossing = cut_lineage(crossing.select("source_no", F.col("_c._bin").alias("_last"), F.col("_c._before").alias("_before")))
     placed = ranked.join(F.broadcast(crossing) if crossing.count() <= 100_000 else crossing, "source_no", "left")
-    inside = Window.partitionBy("source_no", "_bin").orderBy("_q", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    out = ["doc_id", "size", "source_size", "target", "copies"]
+    inside = Window.partitionBy("source_no", "_bin").orderBy("_q", "doc_id", "size", *carry).rowsBetween(Window.unboundedPreceding, -1)
+    out = ["doc_id", *carry, "size", "source_size", "target", "copies"]
     plain = placed.where("_last is null or _bin <> _last").withColumn(
         "copies", F.col("_whole") + F.when((F.col("_p") > 0) & (F.col("_last").isNull() | (F.col("_bin") < F.col("_last"))), 1).otherwise(0))
     line = (

@@ -1,7 +1,9 @@
 """The corpus pipeline, stage by stage, on the smallest table."""
 
+import collections
+
 import corpus_pipeline
-from mosaiq.llm import bpe, jaccard
+from mosaiq.llm import bpe, jaccard, mixing
 from mosaiq.llm.common import read, stored
 from mosaiq.llm.queries import ORACLES, QUERIES
 
@@ -36,6 +38,22 @@ def test_odd_documents_pass_all_stages(spark, odd):
     assert docs.count() > 0
 
 
+def test_rows_are_told_apart_without_ids(spark, frame):
+    long_text = " ".join(f"word{k}" for k in range(60))
+    rows = [(1, long_text), (None, long_text + " more"), (None, "a clean row that resembles nothing else at all"), (1, "another clean row with the id of a copied one"),
+            (2, "two equal rows of one id and one text"), (2, "two equal rows of one id and one text"), (None, "no ids in this group of rows"), (None, "no ids in this group of rows")]
+    docs = stored(frame([(k, t, "en", "a") for k, t in rows]).select(*corpus_pipeline.COLUMNS).repartition(3))
+    left = corpus_pipeline.near_duplicate_stage(spark, docs, SF)
+    order = lambda r: (r[0] or 0, r[1])
+    assert sorted(((r.doc_id, r.text) for r in left.collect()), key=order) == sorted([rows[0], *rows[2:5], rows[6]], key=order)
+    many = stored(frame([(None, f"text {k} of some words " * (1 + k % 3), "en", "abc"[k % 3]) for k in range(300)]).select(*corpus_pipeline.COLUMNS))
+    want = collections.Counter()
+    for r in mixing.mix_sources(many, carry=("text",)).collect():
+        want[r.text] += r.copies
+    got = collections.Counter(r.text for r in corpus_pipeline.mixing_stage(spark, many, SF).collect())
+    assert got == +want and sum(got.values()) > 0
+
+
 def test_every_operator_is_registered():
     assert sorted(int(name[2:].split("_")[0]) for name in QUERIES if name != "pipeline") == list(range(1, 11))
     assert set(ORACLES) <= set(QUERIES)
