@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mosaiq.llm import frames, shards
+from mosaiq.llm import frames, phrases, shards
 from mosaiq.llm.common import read
 from mosaiq.llm.registry import query
 
@@ -46,3 +46,24 @@ FROM f
 """)
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frames.with_digests(frames.fill_in_middle(read(spark, sf_dir, "documents")))
+
+
+@query("op13_phrases", r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents),
+w AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM p),
+n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang),
+g AS (SELECT lang, unnest(flatten([[w[i:i + k] FOR i IN range(1, len(w) - k + 1)] FOR k IN range(0, 5)])) AS g FROM w),
+f AS (SELECT lang, g, count(*)::BIGINT AS f FROM g GROUP BY lang, g HAVING count(*) >= 100),
+c AS (SELECT * FROM f WHERE len(g) > 1),
+kept AS (SELECT * FROM c WHERE NOT EXISTS (
+  SELECT 1 FROM c AS o WHERE o.lang = c.lang AND len(o.g) = len(c.g) + 1 AND o.f >= c.f AND (o.g[1:len(c.g)] = c.g OR o.g[2:] = c.g))),
+cut AS (SELECT kept.lang, kept.g, kept.f AS a, n.n, k, l.f AS l, r.f AS r, (1000::HUGEINT * kept.f * n.n) // (l.f::HUGEINT * r.f) AS score
+  FROM kept JOIN n USING (lang), range(1, 5) AS t(k), f AS l, f AS r
+  WHERE k < len(kept.g) AND l.lang = kept.lang AND r.lang = kept.lang AND l.g = kept.g[1:k] AND r.g = kept.g[k + 1:]),
+best AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(g, ' ')) AS rank, array_to_string(g, ' ') AS phrase, a, l, r, n, score::BIGINT AS score
+FROM best QUALIFY rank <= 2000
+""")
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine_phrases(read(spark, sf_dir, "documents"))

@@ -4,12 +4,14 @@ import collections
 import hashlib
 import math
 import random
+import re
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from mosaiq.llm import frames, shards
+from mosaiq.llm import frames, phrases, shards
 
 
 def plain_shard(key, weights):
@@ -109,3 +111,94 @@ def test_ranges_open_only_the_frames_they_cut(frame, monkeypatch):
     assert len(opened) <= 2 and "".join(map(plain, part)) == text[1500:18_500]
     for a, b in ((0, 0), (0, len(text)), (999, 1001), (len(text), len(text))):
         assert "".join(map(plain, frames.select_range(stored, a, b, 1000))) == text[a:b]
+
+
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def plain_pieces(text):
+    return [re.findall(r"[^\x20\x09]+", p) for p in re.split(r"[.,;:!?\x0A-\x0D]", (text or "").translate(LOWER))]
+
+
+def plain_phrases(rows, least, longest=5, top=2000):
+    f, n = collections.Counter(), collections.Counter()
+    for lang, text in rows:
+        for words in plain_pieces(text):
+            n[lang or "und"] += len(words)
+            for k in range(1, longest + 1):
+                for i in range(len(words) - k + 1):
+                    f[lang or "und", tuple(words[i : i + k])] += 1
+    out = collections.defaultdict(list)
+    for (lang, w), a in f.items():
+        if len(w) < 2 or a < least:
+            continue
+        inside = any(f[x] >= a for x in f if x[0] == lang and len(x[1]) > len(w) and any(x[1][i : i + len(w)] == w for i in range(len(x[1]) - len(w) + 1)))
+        if not inside:
+            score, k = min((1000 * a * n[lang] // (f[lang, w[:k]] * f[lang, w[k:]]), k) for k in range(1, len(w)))
+            out[lang].append((-score, -a, " ".join(w).encode(), f[lang, w[:k]], f[lang, w[k:]]))
+    return sorted((lang, rank, p.decode(), -a, l, r, n[lang], -s) for lang, found in out.items() for rank, (s, a, p, l, r) in enumerate(sorted(found)[:top], 1))
+
+
+def phrase_texts(seed, rows):
+    rnd = random.Random(seed)
+    parts = ["the", "The", "a", "big", "é", "日本", "cat", "in", "hat", "a a a", "one two three", ".", ",", "\n", "\t", "  ", "x;y", "!", "\x0b"]
+    return [(rnd.choice(["en", "de", None, "und"]), rnd.choice([" ".join(rnd.choice(parts) for _ in range(rnd.randint(0, 40))), None, ""] if k % 9 == 0 else
+             [" ".join(rnd.choice(parts) for _ in range(rnd.randint(0, 40)))])) for k in range(rows)]
+
+
+@pytest.mark.parametrize("words_a_table, phrases_a_trie", [(1 << 20, 1 << 20), (3, 5)])
+def test_phrases(frame, monkeypatch, words_a_table, phrases_a_trie):
+    monkeypatch.setattr(phrases, "VOCABULARY", words_a_table)
+    monkeypatch.setattr(phrases, "PHRASES", phrases_a_trie)
+    rows = phrase_texts(3, 300)
+    df = frame([(1, text, lang) for lang, text in rows], word=1, phrase=2, n=3, key=4, w=5)
+    got = sorted(tuple(r) for r in phrases.mine_phrases(df, least=8).collect())
+    assert got == plain_phrases(rows, 8) and len(got) > 50
+    few = sorted(tuple(r) for r in phrases.mine_phrases(df, least=8, top=3).collect())
+    assert few == plain_phrases(rows, 8, top=3)
+
+
+def test_phrases_of_odd_documents(odd):
+    rows = [(r.lang, r.text) for r in odd.collect()]
+    assert sorted(tuple(r) for r in phrases.mine_phrases(odd, least=2, longest=2).limit(100_000).where("lang <> 'en'").collect()) == [
+        x for x in plain_phrases([r for r in rows if r[0] != "en"], 2, longest=2)]
+    for df in (odd.limit(0), odd.where("text is null"), odd.where("doc_id = 3")):
+        assert phrases.mine_phrases(df).count() == 0
+
+
+def test_words_across_spans(monkeypatch):
+    rnd = random.Random(5)
+    texts = [t for _, t in phrase_texts(6, 60)] + ["w" * 300, "x." * 200, "", "."]
+    data = "".join(t or "" for t in texts).encode()
+    at = np.cumsum([0] + [len((t or "").encode()) for t in texts])
+    want = [(k, w, i == 0) for k, t in enumerate(texts) for p in plain_pieces(t) for i, w in enumerate(p)]
+    for size in (1, 5, 64, 1 << 20):
+        monkeypatch.setattr(phrases, "SPAN_BYTES", size)
+        phrases._powers.cache_clear()
+        got, hashes = [], {}
+        for starts, lengths, value, text, fresh in phrases.split_words(np.frombuffer(data, np.uint8), at):
+            for s, n, h, t, f in zip(starts.tolist(), lengths.tolist(), value.tolist(), text.tolist(), fresh.tolist()):
+                word = data[s : s + n].decode().translate(LOWER)
+                got.append((t, word, f))
+                assert hashes.setdefault(word, h) == h
+        assert got == want and len(set(hashes.values())) == len(hashes)
+    phrases._powers.cache_clear()
+
+
+def test_trie_against_a_dictionary():
+    rnd = random.Random(7)
+    for size, longest, limit in ((3, 4, 3), (40, 3, 40), (400, 5, 1 << 40)):
+        runs = {tuple(rnd.randint(1, size) for _ in range(longest)) for _ in range(300)}
+        runs = {r[:k] for r in runs for k in range(2, longest + 1)}
+        table = np.array([list(r) + [0] * (longest - len(r)) for r in runs], np.int32)
+        trie = phrases.Trie(table)
+        trie.limit = limit
+        ids = np.array([rnd.randint(0, size) for _ in range(3000)] + [x for r in runs for x in r], np.int32)
+        found = collections.Counter()
+        for d, place, state in trie.walk(ids, longest):
+            number = trie.accept[state]
+            for p, k in zip(place[number >= 0].tolist(), number[number >= 0].tolist()):
+                assert trie.phrases[k][:d].tolist() == ids[p : p + d].tolist() and (trie.phrases[k] > 0).sum() == d
+                found[p, d] += 1
+        want = {(p, d) for d in range(2, longest + 1) for p in range(len(ids) - d + 1) if tuple(ids[p : p + d].tolist()) in runs}
+        assert set(found) == want and set(found.values()) == {1}

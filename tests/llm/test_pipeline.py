@@ -55,6 +55,6 @@ def test_rows_are_told_apart_without_ids(spark, frame):
 
 
 def test_every_operator_is_registered():
-    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES if name != "pipeline") == list(range(1, 11))
+    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES if name != "pipeline") == list(range(1, 14))
     assert set(ORACLES) <= set(QUERIES)
     assert bpe.FOLD_BYTES > 0
