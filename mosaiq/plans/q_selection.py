@@ -93,7 +93,7 @@ def _(t: Tables):
     return rounded(v)
 
 
-_ELIG = f"""w AS (SELECT job_id, ord, name, {_FAMILY} AS family, COALESCE(fidelity,0e0) AS fidelity, total_score, edge_f1, path_count, rendered_ok, hard, miss FROM ({_CODES_SQL}) z WHERE ord<=12),
+_ELIG = f"""w AS (SELECT job_id, ord, name, {_FAMILY} AS family, COALESCE(fidelity,0e0) AS fidelity, total_score, edge_f1, path_count, rendered_ok, hard, miss FROM ({_CODES_SQL}) z),
 el AS (SELECT * FROM w WHERE rendered_ok AND fidelity>=78 AND hard='' AND miss='')"""
 _SKEY = "round_even(fidelity,4) DESC, round_even(edge_f1,5) DESC, path_count, round_even(total_score,4) DESC, name DESC"
 
