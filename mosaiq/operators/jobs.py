@@ -7,8 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from mosaiq.functions.columns import codes
-from mosaiq.operators.ordered import prefix_sums
-from mosaiq.session import cut_lineage
+from mosaiq.operators.ordered import running_sums
 
 # Terminal states and lifecycle limits.
 TERMINAL = ["succeeded", "failed", "cancelled", "damaged"]
@@ -55,7 +54,7 @@ def retention_plan(jobs: DataFrame, retention_days: float, user_quota: int, disk
     """Victims of expiry, then per-owner quota, then the global budget (oldest first).
 
     A job goes when the bytes at and after it still exceed the limit, i.e. total
-    minus everything older is above it; prefix sums are sliced by time, so one
+    minus everything older is above it. Running sums go over time ranges, so one
     owner with most of the jobs spreads over many tasks.
     """
     base = jobs.select("job_id", "owner", "bytes", F.col("updated_at").cast("timestamp").alias("_u"))
@@ -68,12 +67,10 @@ def retention_plan(jobs: DataFrame, retention_days: float, user_quota: int, disk
     expired = F.unix_timestamp("_now") - F.col("_t") > F.lit(retention_days * 86400.0)
     kept, out = base.where(~expired), [base.where(expired).select("job_id", "owner", F.lit("expired").alias("phase"))]
     for phase, keys, limit in (("user_quota", ["owner"], user_quota), ("disk_budget", [], disk_budget)):
-        total = kept.groupBy(*keys).agg(F.sum("bytes").alias("_total"))
-        summed = prefix_sums(kept, keys, "_t", ["_t", "job_id"], "bytes", "_older")
-        summed = summed.join(total, keys) if keys else summed.join(F.broadcast(total), F.lit(True))
+        summed = running_sums(kept, keys, ["_t", "job_id"], "bytes", "_older", "_total")
         evict = F.col("_total") - F.col("_older") > limit
         out.append(summed.where(evict).select("job_id", "owner", F.lit(phase).alias("phase")))
-        kept = cut_lineage(summed.where(~evict).drop("_older", "_total"))  # the next phase reads it several times
+        kept = summed.where(~evict).drop("_older", "_total")
     return out[0].unionByName(out[1]).unionByName(out[2])
 
 
@@ -90,42 +87,57 @@ def accept_remote(local: DataFrame, remote: DataFrame, key: str = "job_id") -> D
     )
 
 
-def attempt_windows(attempts: DataFrame, limit: int, window_seconds: int, parts: int = 64) -> DataFrame:
+def attempt_windows(attempts: DataFrame, limit: int, window_seconds: int) -> DataFrame:
     """Decision per attempt inside its fixed window: count so far, allowed, remaining, retry_after.
 
-    The running count adds a per-slice offset to a rank inside 1/``parts`` of
-    the window, so a single flooded key does not end in one task.
+    The running count goes over time ranges, so a single flooded key, even within one
+    second, does not end in one task.
     """
     t = F.unix_timestamp(F.col("ts").cast("timestamp"))
-    rows = attempts.withColumn("_t", t).withColumn("window_start", F.col("_t") - F.col("_t") % window_seconds)
-    rows = rows.withColumn("_p", F.floor((F.col("_t") - F.col("window_start")) * parts / window_seconds))
-    keys = ["namespace", "key_id", "window_start"]
-    sizes = rows.groupBy(*keys, "_p").agg(F.count(F.lit(1)).alias("_n"))
-    sizes = sizes.withColumn("_before", F.sum("_n").over(Window.partitionBy(*keys).orderBy("_p")) - F.col("_n")).drop("_n")
-    order = Window.partitionBy(*keys, "_p").orderBy("ts", "event_id")
-    count = F.col("_before") + F.row_number().over(order)
-    return rows.join(sizes, keys + ["_p"]).withColumn("count", count).select(
-        "event_id", "namespace", "key_id", "window_start", "count",
-        (F.col("count") <= limit).alias("allowed"),
-        F.greatest(F.lit(0), limit - F.col("count")).alias("remaining"),
+    rows = attempts.select("event_id", "namespace", "key_id", "ts", t.alias("_t"), (t - t % window_seconds).alias("window_start"), F.lit(1).cast("long").alias("_one"))
+    counted = running_sums(rows, ["namespace", "key_id", "window_start"], ["ts", "event_id"], "_one", "_before")
+    count = F.col("_before") + 1
+    return counted.select(
+        "event_id", "namespace", "key_id", "window_start", count.alias("count"),
+        (count <= limit).alias("allowed"), F.greatest(F.lit(0), limit - count).alias("remaining"),
         F.greatest(F.lit(1), F.col("window_start") + window_seconds - F.col("_t")).alias("retry_after"),
     )
 
 
-def active_sessions(sessions: DataFrame, probes: DataFrame, bucket_seconds: int = 3600) -> DataFrame:
-    """(probe_id, session_id) where the session was open at the probe's time.
+LEVELS = 40
+"""Sizes of session intervals: 1, 2, 4, ... seconds; the last is longer than any range of timestamps in use."""
 
-    Interval join as an equality on (user, time bucket): a session is copied to
-    each bucket it spans, a probe has exactly one.
+
+def dyadic_cover(first: Column, last: Column, levels: int = LEVELS) -> Column:
+    """Array of (level, block): the aligned blocks of 2^level seconds that together are first..last, at most two a level."""
+    def at(k: Column) -> Column:
+        lo = F.ceil(first / F.pow(F.lit(2.0), k)).cast("long")
+        hi = F.floor((last + 1) / F.pow(F.lit(2.0), k)).cast("long")
+        # whole blocks of this level lie in lo..hi-1; an even pair belongs to the next level
+        left = F.when((lo < hi) & (F.pmod(lo, F.lit(2)) == 1), F.struct(k.alias("level"), lo.alias("block")))
+        right = F.when((lo < hi) & (F.pmod(hi, F.lit(2)) == 1), F.struct(k.alias("level"), (hi - 1).alias("block")))
+        return F.array_distinct(F.array_compact(F.array(left, right)))
+
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(levels)), at))
+
+
+def active_sessions(sessions: DataFrame, probes: DataFrame) -> DataFrame:
+    """(probe_id, session_id, user_id) where the session was open at the probe's time.
+
+    Interval join as an equality on (user, level, block): a session is cut into aligned
+    blocks of 1, 2, 4, ... seconds, at most two of each size, and a probe asks for the one block around it of each size
+    that occurs. However long a session is, it costs a few dozen rows. A session without an end, or that ends
+    before it starts, is never open.
     """
     sec = lambda c: F.unix_timestamp(F.col(c).cast("timestamp"))
     end = F.least(F.col("expires_at"), F.coalesce("revoked_at", "expires_at"))
-    s = sessions.withColumn("_end", end).select(
-        "session_id", "user_id", "created_at", "_end",
-        F.explode(F.sequence(F.floor(sec("created_at") / bucket_seconds), F.floor(sec("_end") / bucket_seconds))).alias("_b"),
-    )
-    p = probes.select("probe_id", "user_id", "ts", F.floor(sec("ts") / bucket_seconds).alias("_b"))
-    return s.join(p, ["user_id", "_b"]).where((F.col("created_at") <= F.col("ts")) & (F.col("ts") < F.col("_end"))).select("probe_id", "session_id", "user_id")
+    cut = sessions.withColumn("_end", end).where(F.col("created_at") < F.col("_end"))
+    cut = cut.select("session_id", "user_id", "created_at", "_end", F.explode(dyadic_cover(sec("created_at"), sec("_end"))).alias("_c"))
+    cut = cut.select("session_id", "user_id", "created_at", "_end", "_c.level", "_c.block")
+    levels = sorted(r[0] for r in cut.select("level").distinct().collect())  # at most LEVELS + 1 numbers
+    asked = F.array(*[F.struct(F.lit(k).alias("level"), F.floor(sec("ts") / float(1 << k)).cast("long").alias("block")) for k in levels or [0]])
+    p = probes.select("probe_id", "user_id", "ts", F.explode(asked).alias("_c")).select("probe_id", "user_id", "ts", "_c.level", "_c.block")
+    return cut.join(p, ["user_id", "level", "block"]).where((F.col("created_at") <= F.col("ts")) & (F.col("ts") < F.col("_end"))).select("probe_id", "session_id", "user_id")
 
 
 def cleanup_candidates(artifacts: DataFrame) -> DataFrame:

@@ -1,114 +1,73 @@
-"""Exact order statistics and prefix sums that never gather one group in one task.
+"""Exact running sums and order statistics that never gather one key in one task.
 
-Both helpers first learn per-key cut points from a bounded sketch, number the
-slices between cuts, and keep windows inside one slice.  A key holding a third
-of all rows is therefore spread over as many tasks as it has slices.
+Rows are range-partitioned by key and order, so a key with many rows lies in several
+neighbouring partitions. Each partition's sum per key is small; its running sum tells where a
+partition continues, and windows stay inside one partition.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-SLICES = 64
+from mosaiq.session import cut_lineage
+
+PART = "_part"
+
 
+def spread_in_order(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
+    """``df`` dealt into ranges of (keys, order) and materialised, with the number of the range in ``_part``.
+
+    Later ranges hold later rows. Only rows equal in keys and order have to stay together.
+    """
+    columns = [c if isinstance(c, Column) else F.col(c) for c in order]
+    return cut_lineage(df.repartitionByRange(*[F.col(k) for k in keys], *columns).withColumn(PART, F.spark_partition_id()))
 
-def _cut_points(df: DataFrame, keys: list[str], value: str, slices: int) -> DataFrame:
-    probes = F.array(*[F.lit(i / slices) for i in range(1, slices)])
-    return df.groupBy(*keys).agg(F.percentile_approx(value, probes, F.lit(2000)).alias("_cuts"))
 
+def running_sums(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], value: str, before: str, total: str | None = None) -> DataFrame:
+    """Adds ``before``, the sum of ``value`` over earlier rows of the key, and ``total``, that over all rows of the key.
 
-def _slice_no(value: str) -> Column:
-    return F.size(F.filter("_cuts", lambda c: c < F.col(value)))
+    ``order`` should tell the rows of a key apart: those that are equal in it count in any order. Null keys are a key.
+    """
+    placed = spread_in_order(df, keys, order)
+    key = Window.partitionBy(*[f"_sum_k{i}" for i in range(len(keys))])
+    sums = placed.groupBy(F.col(PART).alias("_sum_p"), *[F.col(k).alias(f"_sum_k{i}") for i, k in enumerate(keys)]).agg(F.sum(value).alias("_sum_s"))
+    sums = sums.withColumn("_sum_b", F.sum("_sum_s").over(key.orderBy("_sum_p")) - F.col("_sum_s")).withColumn("_sum_t", F.sum("_sum_s").over(key))
+    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_sum_k{i}")) for i, k in enumerate(keys)], F.col(PART) == F.col("_sum_p"))
+    local = Window.partitionBy(PART, *keys).orderBy(*order)
+    inside = F.sum(value).over(local.rowsBetween(Window.unboundedPreceding, 0)) - F.col(value)
+    out = placed.withColumn(before, inside).join(sums, on).withColumn(before, F.col("_sum_b") + F.col(before))
+    if total is not None:
+        out = out.withColumn(total, F.col("_sum_t"))
+    return out.drop(PART, "_sum_p", "_sum_s", "_sum_b", "_sum_t", *[f"_sum_k{i}" for i in range(len(keys))])
 
 
-def exact_percentiles(
-    df: DataFrame,
-    keys: list[str],
-    value: str,
-    wanted: dict[str, float],
-    discrete: bool = False,
-    slices: int = SLICES,
-    stats: bool = False,
-) -> DataFrame:
+def exact_percentiles(df: DataFrame, keys: list[str], value: str, wanted: dict[str, float], discrete: bool = False, stats: bool = False) -> DataFrame:
     """One row per key with the exact percentiles ``wanted = {name: q}``.
 
     ``stats`` adds the columns ``mean`` and ``max`` from the same value counts.
     ``discrete=False`` interpolates linearly between order statistics,
     ``discrete=True`` takes the nearest rank ``ceil(q*n)``.
     """
-    groups = list(keys) or ["_all"]
-    src = df if keys else df.withColumn("_all", F.lit(0))
     # nulls drop out by their zero count: a null filter on the value would be pushed
     # down and copy the whole expression behind it
-    counts = src.groupBy(*groups, F.col(value).cast("double").alias("_v")).agg(F.count(value).alias("_n")).where("_n > 0")
-    cuts = _cut_points(counts, groups, "_v", slices)
-    sliced = counts.join(cuts, groups).withColumn("_s", _slice_no("_v")).drop("_cuts")
-    per_slice = sliced.groupBy(*groups, "_s").agg(
-        F.sum("_n").alias("_sn"), F.sum(F.col("_v") * F.col("_n")).alias("_sv"), F.max("_v").alias("_sx")
-    )
-    by_key = Window.partitionBy(*groups)
-    per_slice = per_slice.select(
-        *groups,
-        "_s",
-        (F.sum("_sn").over(by_key.orderBy("_s")) - F.col("_sn")).alias("_before"),
-        "_sn",
-        F.sum("_sn").over(by_key).alias("_total"),
-        F.sum("_sv").over(by_key).alias("_sum"),
-        F.max("_sx").over(by_key).alias("_top"),
-    )
-    ranks: dict[str, tuple[Column, Column, Column]] = {}
+    counts = df.groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count(value).alias("_n")).where("_n > 0")
+    ranked = running_sums(counts, keys, ["_v"], "_n", "_before", "_total")
+    picks = [(F.sum(F.col("_v") * F.col("_n")) / F.max("_total")).alias("mean"), F.max("_v").alias("max")] if stats else []
     for name, q in wanted.items():
         if discrete:
-            low = F.greatest(F.ceil(F.lit(float(q)) * F.col("_total")), F.lit(1)) - 1
-            ranks[name] = (low, low, low.cast("double"))
+            low = high = at = F.greatest(F.ceil(F.lit(float(q)) * F.col("_total")), F.lit(1)) - 1
         else:
             at = (F.col("_total") - 1) * F.lit(float(q))
-            ranks[name] = (F.floor(at), F.ceil(at), at)
-    hit = F.lit(False)
-    for low, high, _ in ranks.values():
-        for rank in (low, high):
-            hit = hit | ((rank >= F.col("_before")) & (rank < F.col("_before") + F.col("_sn")))
-    inside = (
-        sliced.join(per_slice.where(hit), groups + ["_s"])
-        .withColumn("_end", F.col("_before") + F.sum("_n").over(Window.partitionBy(*groups, "_s").orderBy("_v")))
-    )
-    picks = [F.max(F.col("_sum") / F.col("_total")).alias("mean"), F.max("_top").alias("max")] if stats else []
-    for name, (low, high, at) in ranks.items():
+            low, high = F.floor(at), F.ceil(at)
         for tag, rank in (("l", low), ("h", high)):
-            here = (rank >= F.col("_end") - F.col("_n")) & (rank < F.col("_end"))
+            here = (rank >= F.col("_before")) & (rank < F.col("_before") + F.col("_n"))
             picks.append(F.max(F.when(here, F.col("_v"))).alias(f"_{name}_{tag}"))
-        picks.append(F.max(at - low).alias(f"_{name}_f"))
-    out = inside.groupBy(*groups).agg(*picks)
-    cols = [
-        (F.col(f"_{n}_l") * (1 - F.col(f"_{n}_f")) + F.col(f"_{n}_h") * F.col(f"_{n}_f")).alias(n)
-        for n in wanted
-    ]
+        picks.append(F.max((at - low).cast("double")).alias(f"_{name}_f"))
+    out = ranked.groupBy(*keys).agg(*picks)
+    if not keys:
+        out = out.where(F.col(f"_{next(iter(wanted))}_l").isNotNull())
+    cols = [(F.col(f"_{n}_l") * (1 - F.col(f"_{n}_f")) + F.col(f"_{n}_h") * F.col(f"_{n}_f")).alias(n) for n in wanted]
     return out.select(*keys, *(["mean", "max"] if stats else []), *cols)
-
-
-def prefix_sums(
-    df: DataFrame,
-    keys: list[str],
-    slice_on: str,
-    order: list[str],
-    value: str,
-    out: str,
-    slices: int = SLICES,
-) -> DataFrame:
-    """Add ``out`` = sum of ``value`` over earlier rows of the key (exclusive).
-
-    ``slice_on`` must be a numeric column and the first column of ``order``.
-    """
-    groups = list(keys) or ["_all"]
-    src = df if keys else df.withColumn("_all", F.lit(0))
-    sliced = src.join(_cut_points(src, groups, slice_on, slices), groups).withColumn("_s", _slice_no(slice_on)).drop("_cuts")
-    totals = sliced.groupBy(*groups, "_s").agg(F.sum(value).alias("_sv"))
-    totals = totals.withColumn(
-        "_before", F.sum("_sv").over(Window.partitionBy(*groups).orderBy("_s")) - F.col("_sv")
-    ).drop("_sv")
-    local = Window.partitionBy(*groups, "_s").orderBy(*order)
-    res = sliced.join(totals, groups + ["_s"]).withColumn(
-        out, F.col("_before") + F.sum(value).over(local) - F.col(value)
-    )
-    drop = ["_s", "_before"] + ([] if keys else ["_all"])
-    return res.drop(*drop)

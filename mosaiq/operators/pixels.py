@@ -113,7 +113,7 @@ def halo_metrics(pair: DataFrame) -> DataFrame:
     err = _mean_abs(RGB_PAIR) / 255.0 * F.greatest(F.col("a") / 255.0, F.lit(0.05))
     df = df.select(IMG, err.alias("e"))
     n = df.groupBy(IMG).agg(F.avg("e").alias("halo_rgb_mae"), F.count("e").alias("halo_sample_count"))
-    n = n.join(exact_percentiles(df, [IMG], "e", {"halo_rgb_p95": 0.95}, slices=16), IMG)
+    n = n.join(exact_percentiles(df, [IMG], "e", {"halo_rgb_p95": 0.95}), IMG)
     return pair.select(IMG).distinct().join(n, IMG, "left").select(
         IMG, "halo_rgb_mae", "halo_rgb_p95", F.coalesce("halo_sample_count", F.lit(0)).alias("halo_sample_count")
     )
@@ -322,7 +322,7 @@ def with_delta_e(pair: DataFrame) -> DataFrame:
 def color_metrics(pair: DataFrame) -> DataFrame:
     """Mean, p50, p95, p99 and max CIEDE2000 per image."""
     de = with_delta_e(pair).select(IMG, "de00")
-    out = exact_percentiles(de, [IMG], "de00", {"de00_p50": 0.5, "de00_p95": 0.95, "de00_p99": 0.99}, slices=16, stats=True)
+    out = exact_percentiles(de, [IMG], "de00", {"de00_p50": 0.5, "de00_p95": 0.95, "de00_p99": 0.99}, stats=True)
     return out.withColumnsRenamed({"mean": "de00_mean", "max": "de00_max"})
 
 
@@ -486,7 +486,7 @@ def fit_linear_gradient(px: DataFrame, region: str, min_px: int = 900, min_gain:
     j = j.select("*", *[clip(f(f"c0_{c}") + f(f"gx_{c}") * f("x") + f(f"gy_{c}") * f("y")).alias(f"p_{c}") for c in "rgb"], (f("x") * f("ux") + f("y") * f("uy")).alias("t"))
     lab = cl.with_lab8(cl.with_lab8(cl.with_lab8(j, ("r", "g", "b"), "t_"), ("base_r", "base_g", "base_b"), "k_"), ("p_r", "p_g", "p_b"), "p_")
     gain = lab.groupBy(*keys).agg((F.avg(cl.delta_e76_lab8("t_", "k_")) - F.avg(cl.delta_e76_lab8("t_", "p_"))).alias("gain_de"))
-    stops = exact_percentiles(j.where(f("t").isNotNull()), keys, "t", {"t1": 0.01, "t2": 0.99}, slices=16)
+    stops = exact_percentiles(j.where(f("t").isNotNull()), keys, "t", {"t1": 0.01, "t2": 0.99})
     out = m.join(gain, keys).join(stops, keys, "left").where(f("gain_de") >= min_gain)
     for i in ("1", "2"):
         out = out.withColumn(f"_s{i}", f(f"t{i}") - (f("cx") * f("ux") + f("cy") * f("uy")))

@@ -213,7 +213,7 @@ def boundary_offsets(a: DataFrame, b: DataFrame, cell: int = 16) -> DataFrame:
             break
         ring *= 4
     stats = found.groupBy(IMG).agg(F.avg("d").alias("chamfer_mean"), F.max("d").alias("hausdorff_max"))
-    return stats.join(exact_percentiles(found, [IMG], "d", {"hausdorff_p95": 0.95}, slices=16), IMG)
+    return stats.join(exact_percentiles(found, [IMG], "d", {"hausdorff_p95": 0.95}), IMG)
 
 
 # -- region tables -------------------------------------------------------------------
@@ -540,7 +540,7 @@ def fragmented(stats: DataFrame, min_parts: int = 8, max_median: float = 500.0)
     from mosaiq.operators.ordered import exact_percentiles
 
     n = stats.groupBy(IMG, "label").agg(F.count(F.lit(1)).alias("parts"))
-    med = exact_percentiles(stats, [IMG, "label"], "area", {"median_area": 0.5}, slices=8)
+    med = exact_percentiles(stats, [IMG, "label"], "area", {"median_area": 0.5})
     return n.join(med, [IMG, "label"]).withColumn("fragmented", (F.col("parts") >= min_parts) & (F.col("median_area") <= max_median))
 
 

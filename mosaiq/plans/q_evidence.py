@@ -357,10 +357,8 @@ def _(t: Tables):
 
 @query("canonical_digest", """
 WITH h AS (SELECT sha256(CONCAT('{"case_id":', case_id, ',"category":"', category, '","source_sha256":"', source_sha256, '"}')) AS h FROM case_rec),
-g AS (SELECT h, COUNT(*) AS n FROM h GROUP BY h),
-p AS (SELECT CAST(CONCAT('0x', substring(h,1,6)) AS INT) % 256 AS p, CONCAT(h, 'x', n) AS hx, n FROM g),
-q AS (SELECT p, sha256(string_agg(hx, ',' ORDER BY hx)) AS g, SUM(n) AS n FROM p GROUP BY p)
-SELECT CAST(SUM(n) AS BIGINT) AS row_count, sha256(string_agg(CONCAT(lpad(CAST(p AS VARCHAR),9,'0'), ':', g), ',' ORDER BY p)) AS digest FROM q""")
+s AS (SELECT COUNT(*) AS n, {lanes} FROM h)
+SELECT n AS row_count, sha256(concat_ws(':', n, l0, l1, l2, l3, l4, l5, l6, l7)) AS digest FROM s""".replace("{lanes}", ", ".join(f"COALESCE(SUM(CAST(CONCAT('0x', substring(h,{8 * k + 1},8)) AS BIGINT)),0) AS l{k}" for k in range(8))))
 def _(t: Tables):
     return ev.canonical_digest(t("case_rec"), ["case_id", "category", "source_sha256"])
 

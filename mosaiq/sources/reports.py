@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from mosaiq.operators.evidence import METRICS
 from mosaiq.operators.jobs import FEEDBACK_SCHEMA
-from mosaiq.operators.ordered import prefix_sums
+from mosaiq.operators.ordered import running_sums
 
 BENCH_SCHEMA = "benchmark-results-v1"
 REPORT_SCHEMA = """job_id string, user string, mode_used string,
@@ -88,7 +88,7 @@ def check_shards(results: DataFrame, expected: DataFrame, shard_count: int) -> D
     positions come from a sliced prefix sum, not a global window.
     """
     cases = expected.select("case_id").distinct().withColumn("_one", F.lit(1))
-    placed = prefix_sums(cases, [], "case_id", ["case_id"], "_one", "_pos").select(
+    placed = running_sums(cases, [], ["case_id"], "_one", "_pos").select(
         "case_id", F.pmod("_pos", F.lit(shard_count)).cast("int").alias("_want")
     )
     seen = results.groupBy("case_id").agg(F.count(F.lit(1)).alias("_n"), F.min("shard").alias("_lo"), F.max("shard").alias("_hi"))
