@@ -8,7 +8,6 @@ most candidates does not overload a task.  Equal keys keep the lowest ``ord``.
 
 from __future__ import annotations
 
-import bisect
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from mosaiq.functions.columns import codes
+from mosaiq.operators.ordered import running_sums
+from mosaiq.session import cut_lineage
 
 # Selection margins and preference orders.
 NEAR_MARGIN = 2.0
@@ -212,35 +213,64 @@ def shadow_key() -> Column:
     )
 
 
-def _sweep(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Non-dominated rows per job of one frame (fidelity up, edge up, paths down)."""
-    pdf = pdf.iloc[np.lexsort((pdf["path_count"], -pdf["edge_f1"], -pdf["fidelity"], pdf["job_id"]))]
-    keep = np.zeros(len(pdf), dtype=bool)
-    job, last, edges, paths = None, None, [], []
-    columns = (pdf["job_id"].to_numpy(), pdf["fidelity"].to_numpy(), pdf["edge_f1"].to_numpy(), pdf["path_count"].to_numpy())
-    for i, (j, f, e, p) in enumerate(zip(*columns)):
-        if j != job:
-            job, last, edges, paths = j, None, [], []
-        if last == (f, e, p):
-            keep[i] = True
-            continue
-        # edges ascend and paths ascend with them: the first entry with edge >= e has the fewest paths
-        at = bisect.bisect_left(edges, e)
-        if at < len(edges) and paths[at] <= p:
-            continue
-        keep[i], last = True, (f, e, p)
-        end = bisect.bisect_right(edges, e)
-        start = at
-        while start > 0 and paths[start - 1] >= p:
-            start -= 1
-        edges[start:end], paths[start:end] = [e], [p]
-    return pdf[keep]
+STEP_ROWS = 512
+"""Candidates compared with each other at once by the frontier sweep."""
+JOB_ROWS = 100_000
+"""Distinct measures of a job that one task settles; a larger job is cut into slices of so many."""
+_MEASURES = ["fidelity", "edge_f1", "path_count"]
+
+
+class _Stairs:
+    """Fewest paths seen at each edge score or above: both ascend."""
+
+    def __init__(self) -> None:
+        self.edge, self.paths = np.zeros(0), np.zeros(0)
+
+    def add(self, edge: np.ndarray, paths: np.ndarray) -> None:
+        edge, paths = np.concatenate([self.edge, edge]), np.concatenate([self.paths, paths])
+        order = np.lexsort((paths, -edge))
+        edge, paths = edge[order], paths[order]
+        step = np.ones(len(paths), dtype=bool)
+        step[1:] = paths[1:] < np.minimum.accumulate(paths)[:-1]
+        self.edge, self.paths = edge[step][::-1], paths[step][::-1]
+
+    def covers(self, edge: np.ndarray, paths: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.edge, edge)
+        inside = at < len(self.edge)
+        out = np.zeros(len(edge), dtype=bool)
+        out[inside] = self.paths[at[inside]] <= paths[inside]
+        return out
+
+
+def _undominated(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Distinct measures that no other of their job dominates (fidelity up, edge up, paths down), jobs together.
+
+    In the order of falling fidelity and edge score only an earlier row can dominate a later one. Rows are compared
+    inside a step at once and with the stairs of the steps before.
+    """
+    pdf = pdf.drop_duplicates()
+    job = pd.factorize(pdf["job_id"])[0]
+    f, e, p = (pdf[c].to_numpy(dtype=float) for c in _MEASURES)
+    order = np.lexsort((p, -e, -f, job))
+    job, e, p = job[order], e[order], p[order]
+    keep, stairs, of = np.ones(len(order), dtype=bool), _Stairs(), -1
+    for a in range(0, len(order), STEP_ROWS):
+        s = slice(a, a + STEP_ROWS)
+        earlier = np.tri(len(job[s]), k=-1, dtype=bool)
+        beaten = (earlier & (job[s] == job[s][:, None]) & (e[s] >= e[s][:, None]) & (p[s] <= p[s][:, None])).any(axis=1)
+        beaten |= (job[s] == of) & stairs.covers(e[s], p[s])
+        keep[s] = ~beaten
+        if job[s][-1] != of:
+            stairs, of = _Stairs(), job[s][-1]
+        new = keep[s] & (job[s] == of)
+        stairs.add(e[s][new], p[s][new])
+    return pdf.iloc[np.sort(order[keep])]
 
 
 def _prune_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         if len(pdf):
-            yield _sweep(pdf)
+            yield _undominated(pdf)
 
 
 def _prune_sorted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -249,7 +279,7 @@ def _prune_sorted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         if not len(pdf):
             continue
-        pdf = _sweep(pdf if held is None else pd.concat([held, pdf], ignore_index=True))
+        pdf = _undominated(pdf if held is None else pd.concat([held, pdf], ignore_index=True))
         open_job = pdf["job_id"].iloc[-1]
         held = pdf[pdf["job_id"] == open_job]
         done = pdf[pdf["job_id"] != open_job]
@@ -259,16 +289,61 @@ def _prune_sorted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield held
 
 
-def pareto_frontier(views: DataFrame) -> DataFrame:
-    """(job_id, name) not dominated within their job.
+def _beaten_by_earlier(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Rows that ask and are dominated by one of the rows before them in the order of the job."""
+    before = pdf["asks"].to_numpy() == 0
+    e, p = pdf["edge_f1"].to_numpy(dtype=float), pdf["path_count"].to_numpy(dtype=float)
+    stairs = _Stairs()
+    stairs.add(e[before], p[before])
+    return pdf[~before & stairs.covers(e, p)][["job_id", *_MEASURES]]
 
-    Each task first drops candidates dominated inside its own batch, so only
-    local frontiers are shuffled; one sorted sweep per job finishes exactly.
+
+def _sliced_frontier(measures: DataFrame, slice_rows: int) -> DataFrame:
+    """Frontiers of large jobs: slices in the order of falling fidelity, each held against all slices before it.
+
+    The slices before one are the union of at most one aligned run of 1, 2, 4, ... slices each, so a row asks
+    a few runs only, and all runs of a job are looked at by different tasks.
+    """
+    schema = measures.schema
+    order = [F.desc("fidelity"), F.desc("edge_f1"), "path_count"]
+    placed = running_sums(measures.withColumn("_one", F.lit(1).cast("long")), ["job_id"], order, "_one", "_pos")
+    keys = [F.col("job_id"), F.floor(F.col("_pos") / slice_rows).cast("int").alias("slice")]
+    local = placed.select("*", keys[1]).groupBy("job_id", "slice").applyInPandas(
+        lambda key, pdf: _undominated(pdf[["job_id", *_MEASURES]]).assign(slice=key[1]), f"{measures._jdf.schema().toDDL()}, slice int")
+    local = cut_lineage(local)
+    levels = int(local.agg(F.max("slice")).first()[0] or 0).bit_length()
+    run = lambda k: F.shiftright("slice", k)
+    odd = lambda k: run(k) % 2 == 1
+    at = F.array_compact(F.array(*[F.struct(F.lit(k).alias("level"), F.when(odd(k), run(k) - 1).otherwise(run(k)).alias("run"), F.when(odd(k), 1).otherwise(0).alias("asks")) for k in range(levels)]))
+    if not levels:
+        return local.select(*measures.columns)
+    asked = local.withColumn("_at", F.explode(at)).select(*measures.columns, "_at.*")
+    beaten = asked.groupBy("job_id", "level", "run").applyInPandas(_beaten_by_earlier, schema).distinct()
+    return local.select(*measures.columns).join(beaten, measures.columns, "left_anti")
+
+
+def pareto_frontier(views: DataFrame, job_rows: int = JOB_ROWS) -> DataFrame:
+    """(job_id, name) not dominated within their job. A candidate without all three measures neither dominates nor is dominated.
+
+    Each task first drops what is dominated inside its own batches, so only distinct measures of
+    local frontiers are shuffled. Jobs of up to ``job_rows`` of these are settled by one task each, larger ones slice by slice.
     """
     rows = views.select("job_id", "name", F.col("fidelity").cast("double"), F.col("edge_f1").cast("double"), F.col("path_count").cast("bigint"))
-    local = rows.mapInPandas(_prune_batches, rows.schema)
-    whole = local.repartition("job_id").sortWithinPartitions("job_id").mapInPandas(_prune_sorted, rows.schema)
-    return whole.select("job_id", "name")
+    measured = F.lit(True)
+    for c in _MEASURES:
+        measured = measured & F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
+    whole = rows.where(measured & F.col("job_id").isNotNull())
+    measures = whole.select("job_id", *_MEASURES)
+    local = cut_lineage(measures.mapInPandas(_prune_batches, measures.schema))
+    large = local.groupBy("job_id").count().where(F.col("count") > job_rows).select("job_id")
+    large = cut_lineage(large)
+    split = not large.isEmpty()
+    small = local.join(large, "job_id", "left_anti") if split else local
+    best = small.repartition("job_id").sortWithinPartitions("job_id").mapInPandas(_prune_sorted, measures.schema)
+    if split:
+        best = best.unionByName(_sliced_frontier(local.join(large, "job_id", "left_semi").distinct(), job_rows))
+    kept = whole.join(best, measures.columns, "left_semi")
+    return kept.select("job_id", "name").unionByName(rows.where(~measured | F.col("job_id").isNull()).select("job_id", "name"))
 
 
 def safe_simpler_winner(elig: DataFrame) -> DataFrame:

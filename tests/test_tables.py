@@ -1,5 +1,6 @@
 """Hand cases for evidence, selection, jobs, sources and streams."""
 
+import datetime
 import random
 
 import numpy as np
@@ -7,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mosaiq.operators import evidence as ev, intake as it, jobs as jb, paths as pt, regions as rg, selection as sel
-from mosaiq.operators.ordered import exact_percentiles, prefix_sums
+from mosaiq.operators.ordered import exact_percentiles, running_sums, spread_in_order
 from mosaiq.sources import reports as rp
 from mosaiq.streaming import streams
 
@@ -40,13 +41,67 @@ def test_percentiles_are_exact_for_skewed_keys(spark, parts):
 
 
 @pytest.mark.parametrize("keys", [["k"], []])
-def test_prefix_sums(spark, keys):
+def test_running_sums(spark, keys):
     rnd = random.Random(8)
-    rows = [("a" if rnd.random() < 0.8 else "b", rnd.randrange(50), i, rnd.randrange(10)) for i in range(500)]
-    out = prefix_sums(spark.createDataFrame(rows, "k string, t int, i int, v int"), keys, "t", ["t", "i"], "v", "s").collect()
+    rows = [(rnd.choice(["a", "a", "a", "b", None]), rnd.randrange(50), i, rnd.randrange(10)) for i in range(500)]
+    out = running_sums(spark.createDataFrame(rows, "k string, t int, i int, v int"), keys, ["t", "i"], "v", "s", "all").collect()
+    assert len(out) == 500
     for r in out:
-        want = sum(v for k, t, i, v in rows if (not keys or k == r["k"]) and (t, i) < (r["t"], r["i"]))
-        assert r["s"] == want
+        mine = [x for x in rows if not keys or x[0] == r["k"]]
+        assert r["s"] == sum(v for _, t, i, v in mine if (t, i) < (r["t"], r["i"]))
+        assert r["all"] == sum(x[3] for x in mine)
+
+
+def test_one_key_with_all_rows_spreads_over_all_tasks(spark):
+    rows = spark.range(4000).selectExpr("'hot' as k", "id as t", "1L as v")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        parts = [r["count"] for r in spread_in_order(rows, ["k"], ["t"]).groupBy("_part").count().collect()]
+        assert len(parts) == 8 and max(parts) < 1000
+        assert running_sums(rows, ["k"], ["t"], "v", "s").where("s <> t").count() == 0
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    # a flood within one second is numbered all the same
+    flood = spark.range(300).selectExpr("id as event_id", "'login' as namespace", "7 as key_id", "timestamp'2024-01-01 00:00:05' as ts")
+    got = {r.event_id: (r["count"], r.allowed) for r in jb.attempt_windows(flood, 10, 60).collect()}
+    assert got == {k: (k + 1, k < 10) for k in range(300)}
+
+
+def test_sessions_cut_into_aligned_blocks(spark):
+    rnd = random.Random(4)
+    spans = [(a := rnd.randrange(5000), a + rnd.randrange(3000)) for _ in range(200)] + [(0, 0), (7, 8), (0, 1023)]
+    df = spark.createDataFrame(spans, "a long, b long")
+    for r in df.select("a", "b", jb.dyadic_cover(F.col("a"), F.col("b")).alias("c")).collect():
+        seconds = sorted(x for c in r.c for x in range(c.block << c.level, (c.block + 1) << c.level))
+        assert seconds == list(range(r.a, r.b + 1)) and len(r.c) <= 2 * (r.b - r.a + 1).bit_length()
+    decade = spark.createDataFrame([(1_000_000_007, 1_000_000_007 + 10 * 365 * 86400)], "a long, b long")
+    assert decade.select(F.size(jb.dyadic_cover(F.col("a"), F.col("b")))).first()[0] < 100
+
+
+def test_active_sessions(spark):
+    rnd = random.Random(5)
+    at = lambda s: None if s is None else f"2024-01-01 00:00:00.{rnd.randrange(10)}" if s < 0 else (datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=s)).isoformat(sep=" ")
+    sessions, probes = [], []
+    for k in range(120):
+        a = rnd.randrange(100_000)
+        sessions.append((k, rnd.randrange(4), at(a), at(rnd.choice([a + 1, a + 5000.5, a + 10**8, a - 3, a])), at(rnd.choice([None, a + 700]))))
+        probes.append((k, rnd.randrange(4), at(rnd.choice([rnd.randrange(110_000), a, a + 1, a + 700, a + 699.9]))))
+    stamp = lambda df, *cs: df.select(*[F.col(c).cast("timestamp").alias(c) if c in cs else c for c in df.columns])
+    s = stamp(spark.createDataFrame(sessions, "session_id int, user_id int, created_at string, expires_at string, revoked_at string"), "created_at", "expires_at", "revoked_at")
+    p = stamp(spark.createDataFrame(probes, "probe_id int, user_id int, ts string"), "ts")
+    want = {(x.probe_id, y.session_id) for x in p.collect() for y in s.collect()
+            if x.user_id == y.user_id and y.created_at <= x.ts < y.expires_at and (y.revoked_at is None or x.ts < y.revoked_at)}
+    got = [(r.probe_id, r.session_id) for r in jb.active_sessions(s, p).collect()]
+    assert set(got) == want and len(got) == len(want) > 50
+    assert jb.active_sessions(s.limit(0), p).count() == 0
+
+
+def test_digest_of_a_row_set(spark):
+    rows = [(k % 7, None if k % 5 == 0 else f"v{k % 3}") for k in range(60)]
+    make = lambda r, n=3: ev.canonical_digest(spark.createDataFrame(r, "a int, b string").repartition(n), ["b", "a"]).first()
+    assert make(rows) == make(rows[::-1], 11) and make(rows).row_count == 60
+    assert make(rows).digest not in (make(rows + rows[:1]).digest, make(rows[1:]).digest, make([(0, "x")] + rows[1:]).digest)
+    assert make([]).row_count == 0 and len(make([]).digest) == 64
 
 
 def test_release_gate_paths(spark):
@@ -92,6 +147,20 @@ def test_pareto_bruteforce_on_one_hot_job(spark):
     beats = lambda a, b: a[2] >= b[2] and a[3] >= b[3] and a[4] <= b[4] and (a[2] > b[2] or a[3] > b[3] or a[4] < b[4])
     want = {(r[0], r[1]) for r in rows if not any(o[0] == r[0] and beats(o, r) for o in rows)}
     assert {tuple(r) for r in sel.pareto_frontier(df).collect()} == want
+    for slice_rows in (1, 7, 50):
+        assert {tuple(r) for r in sel.pareto_frontier(df, slice_rows).collect()} == want
+    odd = spark.createDataFrame([(1, "a", None, 0.5, 3), (1, "b", 9.0, 0.9, 1), (1, "c", float("nan"), 0.1, 9), (None, "d", 1.0, 0.1, 9), (1, "e", 1.0, 0.1, 9)], df.schema)
+    assert {r.name for r in sel.pareto_frontier(odd).collect()} == {"a", "b", "c", "d"}
+    assert sel.pareto_frontier(df.limit(0)).count() == 0
+
+
+def test_frontier_of_a_job_that_is_all_frontier(spark):
+    """A million candidates of one job, none or few of them dominated, in slices."""
+    n = 1_000_000
+    line = spark.range(n).selectExpr("1L as job_id", "cast(id as string) as name", "cast(id as double) as fidelity", f"cast({n} - id as double) as edge_f1", "1 as path_count")
+    spoilt = line.where("id % 1000 = 0").selectExpr("job_id", "name || 'x' as name", "fidelity - 0.5 as fidelity", "edge_f1 - 0.25 as edge_f1", "path_count")
+    got = sel.pareto_frontier(line.select("job_id", "name", "fidelity", "edge_f1", "path_count").unionByName(spoilt))
+    assert got.where("name like '%x'").count() == 0 and got.count() == n
 
 
 def test_editability_respects_quality_floor(spark):
