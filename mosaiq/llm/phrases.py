@@ -20,12 +20,12 @@ from mosaiq.llm.common import LOWER, U64, mix, released, stored, text_buffers
 from mosaiq.session import cut_lineage
 
 LEAST, LONGEST, TOP = 100, 5, 2000
-SPAN_BYTES = 1 << 21
+SPAN_BYTES = 1 << 20
 """Text hashed at once; a longer single word is a span of its own."""
-SLICE_WORDS = 1 << 20
+SLICE_WORDS = 1 << 18
 """Positions of a stream whose states advance together."""
-KEYS = 1 << 22
-"""Candidate keys a task holds before it sums and sends them; also the distinct keys that a bucket is meant for."""
+KEYS = 1 << 20
+"""Candidate keys a task holds before it sums and sends them; a bucket is meant for the keys of four times as many words."""
 VOCABULARY = 1 << 20
 """Words of a lookup table sent to all tasks; more words are looked up in several passes."""
 PHRASES = 1 << 20
@@ -448,7 +448,7 @@ def count_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -
             if sizes.get(p):
                 streams = stored(streams.mapInArrow(released(_look_up_more(table(p))), "keys binary, ids binary"))
         streams = streams.select("ids")
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(totals.agg(F.sum("n")).first()[0]) // KEYS))
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(totals.agg(F.sum("n")).first()[0]) // (4 * KEYS)))
     levels: list[DataFrame] = []
     for length in range(2, longest + 1):
         grown = []

@@ -146,7 +146,7 @@ def phrase_texts(seed, rows):
              [" ".join(rnd.choice(parts) for _ in range(rnd.randint(0, 40)))])) for k in range(rows)]
 
 
-@pytest.mark.parametrize("words_a_table, phrases_a_trie", [(1 << 20, 1 << 20), (3, 5)])
+@pytest.mark.parametrize("words_a_table, phrases_a_trie", [(1 << 20, 1 << 20), (12, 60)])
 def test_phrases(frame, monkeypatch, words_a_table, phrases_a_trie):
     monkeypatch.setattr(phrases, "VOCABULARY", words_a_table)
     monkeypatch.setattr(phrases, "PHRASES", phrases_a_trie)
