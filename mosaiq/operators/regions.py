@@ -182,36 +182,93 @@ def edge_f1(pair: DataFrame, a: str, b: str, tol: int = 2, lo: float = 80, hi: f
     return g.select(IMG, f1.alias("edge_f1"))
 
 
-def boundary_offsets(a: DataFrame, b: DataFrame, cell: int = 16) -> DataFrame:
-    """Symmetric nearest-edge distances between two edge sets (image_id, x, y).
+OFFSET_CELLS = 1 << 22
+"""Cells of a band looked at together by the distance sweep."""
 
-    Points meet only inside neighbouring grid cells; the ring doubles for points
-    still unmatched within their safe radius, so the result is exact.
+
+def _nearest_in_rows(xs: np.ndarray, row: np.ndarray, cols: np.ndarray, g2: np.ndarray) -> np.ndarray:
+    """Smallest (x - column)^2 + g2[row, column] per query; queries sorted by row and x.
+
+    The best column moves right with x, so a query lies between the best columns of its neighbours: every
+    other query of the coarser steps bounds the finer ones, and a step looks at each row's columns about once.
+    """
+    n = len(xs)
+    first = np.searchsorted(row, row, side="left")
+    place, size = np.arange(n) - first, np.searchsorted(row, row, side="right") - first
+    best = np.zeros(n, dtype=np.int64)
+    out = np.zeros(n, dtype=np.int64)
+    step = 1 << max(0, int(size.max()).bit_length() - 1)
+    while step:
+        now = np.flatnonzero(place % (2 * step) == step - 1) if step > 1 else np.flatnonzero(place % 2 == 0)
+        left, right = now - step, now + step
+        lo = np.where(place[now] >= step, best[np.maximum(left, 0)], 0)
+        hi = np.where(place[now] + step < size[now], best[np.minimum(right, n - 1)], len(cols) - 1)
+        span = hi - lo + 1
+        starts = np.cumsum(span) - span
+        of = np.repeat(np.arange(len(now)), span)
+        col = np.arange(span.sum()) - starts[of] + lo[of]
+        cost = (xs[now][of] - cols[col]) ** 2 + g2[row[now][of], col]
+        least = np.minimum.reduceat(cost, starts)
+        hit = np.flatnonzero(cost == least[of])
+        which, at = np.unique(of[hit], return_index=True)
+        best[now[which]], out[now] = col[hit[at]], least
+        step //= 2
+    return out
+
+
+def _band_offsets(band: int):
+    def offsets(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        asks = pdf["asks"].to_numpy() == 1
+        x, y = pdf["x"].to_numpy(dtype=np.int64), pdf["y"].to_numpy(dtype=np.int64) - int(key[2]) * band
+        if asks.all() or not asks.any():
+            return pd.DataFrame({IMG: pd.Series([], dtype=pdf[IMG].dtype), "d": np.zeros(0)})
+        cols, ci = np.unique(x[~asks], return_inverse=True)
+        ty, far = y[~asks], 1 << 30
+        # nearest edge above and below in each column; what lies outside of the band is its border row
+        up, down = np.full((band + 1, len(cols)), -far), np.full((band + 1, len(cols)), far)
+        over, under, own = ty < 0, ty >= band, (ty >= 0) & (ty < band)
+        np.maximum.at(up, (np.where(over, 0, ty + 1)[~under], ci[~under]), ty[~under])
+        np.minimum.at(down, (np.where(under, band, ty)[own | under], ci[own | under]), ty[own | under])
+        line = np.arange(band)[:, None]
+        gap = np.minimum(line - np.maximum.accumulate(up)[1:], np.minimum.accumulate(down[::-1])[::-1][:-1] - line)
+        order = np.lexsort((x[asks], y[asks]))
+        qx, qy = x[asks][order], y[asks][order]
+        rows = max(1, OFFSET_CELLS // len(cols))
+        parts = []
+        for a in range(0, band, rows):
+            s = slice(*np.searchsorted(qy, [a, a + rows]))
+            if s.start < s.stop:
+                parts.append(_nearest_in_rows(qx[s], qy[s] - a, cols, gap[a : a + rows] ** 2))
+        d = np.sqrt(np.concatenate(parts).astype(float))
+        return pd.DataFrame({IMG: pd.Series([pdf[IMG].iloc[0]] * len(d), dtype=pdf[IMG].dtype), "d": d})
+
+    return offsets
+
+
+def boundary_offsets(a: DataFrame, b: DataFrame, band: int = 64) -> DataFrame:
+    """Symmetric nearest-edge distances between two edge sets (image_id, x, y), exact.
+
+    A two-pass distance transform: along columns the nearest edge above and below, with one carry a column and
+    band of rows from the bands around; along rows the lower envelope of the columns' parabolas. Work
+    is linear in edge pixels plus the bands' columns, however far the sets lie apart, and a band is a task's unit.
+    Images with edges on one side only give no row.
     """
     from mosaiq.operators.ordered import exact_percentiles
 
     sides = a.select(IMG, "x", "y", F.lit(0).alias("side")).unionByName(b.select(IMG, "x", "y", F.lit(1).alias("side")))
-    both = sides.groupBy(IMG).agg(F.count_distinct("side").alias("_k")).where("_k = 2").select(IMG)
-    sides = cut_lineage(sides.join(both, IMG, "left_semi"))
-    extent = sides.agg(F.max(F.greatest("x", "y"))).first()[0] or 0
-    right = sides.select(IMG, (1 - F.col("side")).alias("side"), F.col("x").alias("x2"), F.col("y").alias("y2"))
-    left, found, ring = sides, None, cell
-    while True:
-        spots = lambda c: F.explode(F.sequence(F.floor(F.col(c) / ring) - 1, F.floor(F.col(c) / ring) + 1))  # noqa: B023, E731
-        l = left.withColumn("_cx", spots("x")).withColumn("_cy", spots("y"))
-        r = right.withColumn("_cx", F.floor(F.col("x2") / ring)).withColumn("_cy", F.floor(F.col("y2") / ring))
-        d = F.sqrt(F.pow(F.col("x") - F.col("x2"), 2) + F.pow(F.col("y") - F.col("y2"), 2))
-        near = l.join(r, [IMG, "side", "_cx", "_cy"]).groupBy(IMG, "side", "x", "y").agg(F.min(d).alias("d"))
-        if ring <= extent:
-            near = near.where(F.col("d") <= ring)
-        near = cut_lineage(near)
-        found = near if found is None else found.unionByName(near)
-        if ring > extent:
-            break
-        left = cut_lineage(left.join(near, [IMG, "side", "x", "y"], "left_anti"))
-        if left.isEmpty():
-            break
-        ring *= 4
+    sides = cut_lineage(sides.withColumn("band", F.floor(F.col("y") / band).cast("int")))
+    spans = sides.groupBy(IMG, "side", "x", "band").agg(F.min("y").alias("lo"), F.max("y").alias("hi"))
+    asked = sides.groupBy(IMG, (1 - F.col("side")).alias("side")).agg(F.collect_set("band").alias("bands"))
+    wanted = spans.select(IMG, "side", "x").distinct().join(asked, [IMG, "side"]).select(IMG, "side", "x", F.explode("bands").alias("band"))
+    marks = spans.withColumn("want", F.lit(False)).unionByName(wanted.withColumn("want", F.lit(True)), allowMissingColumns=True)
+    column = Window.partitionBy(IMG, "side", "x")
+    carried = marks.withColumn("above", F.max("hi").over(column.orderBy("band").rangeBetween(Window.unboundedPreceding, -1))).withColumn(
+        "below", F.min("lo").over(column.orderBy(F.desc("band")).rangeBetween(Window.unboundedPreceding, -1))).where("want")
+    carried = carried.select(IMG, "side", "band", "x", F.explode(F.array_compact(F.array("above", "below"))).alias("y"), F.lit(0).alias("asks"))
+    own = sides.select(IMG, "side", "band", "x", "y", F.lit(0).alias("asks"))
+    queries = sides.select(IMG, (1 - F.col("side")).alias("side"), "band", "x", "y", F.lit(1).alias("asks"))
+    rows = own.unionByName(carried).unionByName(queries)
+    found = cut_lineage(rows.groupBy(IMG, "side", "band").applyInPandas(_band_offsets(band), f"{IMG} {dict(sides.dtypes)[IMG]}, d double"))
     stats = found.groupBy(IMG).agg(F.avg("d").alias("chamfer_mean"), F.max("d").alias("hausdorff_max"))
     return stats.join(exact_percentiles(found, [IMG], "d", {"hausdorff_p95": 0.95}), IMG)
 
@@ -561,22 +618,69 @@ def noise_pair_merge(classes: DataFrame, tol: float) -> DataFrame:
     return listed.select(IMG, F.explode(F.expr(fold)).alias("p")).select(IMG, F.col("p.j").alias("label"), F.col("p.i").alias("into"))
 
 
+def enclosed_parts(regions: DataFrame, edges: DataFrame, min_area: int = 1) -> DataFrame:
+    """(image_id, holes): for every class, the connected parts of all other classes that do not reach the border.
+
+    ``regions(image_id, region, cls, area, open)`` with cls numbered from 0 in each image and open for those
+    at the border; ``edges(image_id, a, b)`` between touching regions. Parts count from ``min_area`` pixels on.
+
+    Leaving out one class after the other would visit the graph once a class. Instead
+    the classes are halved again and again: each half keeps its own regions and sees all others merged into
+    connected parts. A part that touches no region of the half is final for all its classes; what is left belongs to
+    links of the half's regions, so each level costs about two copies of the links, whatever the number of classes.
+    """
+    top = regions.agg(F.max("cls")).first()[0] or 0
+    classes = cut_lineage(regions.select(IMG, "cls").distinct())
+    nodes = cut_lineage(regions.select(IMG, F.lit(0).alias("seg"), F.col("region").alias("node"), "cls", "area", "open"))
+    name = lambda c, r: nodes.select(IMG, F.col("node").alias(c), F.col("cls").alias(r))
+    links = cut_lineage(edges.select(IMG, F.col("a").alias("u"), F.col("b").alias("v")).join(name("u", "cu"), [IMG, "u"]).join(name("v", "cv"), [IMG, "v"]).withColumn("seg", F.lit(0)))
+    holes: list[DataFrame] = []
+    for bit in reversed(range(int(top).bit_length())):
+        halves = classes.groupBy(IMG, F.shiftright("cls", bit).alias("seg")).agg(F.count(F.lit(1)).alias("weight"))
+        halves = halves.withColumn("up", F.shiftright("seg", 1))
+        into = lambda df: df.withColumnRenamed("seg", "up").join(halves, [IMG, "up"]).drop("up")  # noqa: B023, E731
+        key = F.concat_ws("|", F.col(IMG).cast("string"), F.col("seg").cast("string"))
+        inner = lambda c: F.coalesce(F.shiftright(c, bit) == F.col("seg"), F.lit(False))  # noqa: B023, E731
+        split, parts = into(links), into(nodes)
+        outside = cut_lineage(split.where(~inner("cu") & ~inner("cv")).select(key.alias(IMG), "u", "v"))
+        roots = None if outside.isEmpty() else cut_lineage(graph_components(outside).select(F.col(IMG).alias("key"), F.col("node").alias("of"), "root"))
+
+        def merged(df: DataFrame, node: str, cls: str) -> DataFrame:
+            """Regions outside of the half by the name of their part, without a class."""
+            if roots is None:  # noqa: B023
+                return df.withColumn(cls, F.when(inner(cls), F.col(cls)))  # noqa: B023
+            own = df.withColumn("key", key).withColumn("of", F.when(~inner(cls), F.col(node)))  # noqa: B023
+            named = own.join(roots, ["key", "of"], "left").withColumn(node, F.coalesce("root", node))  # noqa: B023
+            return named.withColumn(cls, F.when(inner(cls), F.col(cls))).drop("key", "of", "root")  # noqa: B023
+
+        rest = merged(merged(split.where(inner("cu") | inner("cv")), "u", "cu"), "v", "cv")
+        links = cut_lineage(rest.select(IMG, "seg", "u", "cu", "v", "cv").distinct())
+        touched = links.where("cu is null").select(IMG, "seg", F.col("u").alias("node")).union(links.where("cv is null").select(IMG, "seg", F.col("v").alias("node"))).distinct()
+        around = merged(parts.where(~inner("cls")), "node", "cls")
+        around = cut_lineage(around.groupBy(IMG, "seg", "node").agg(F.sum("area").alias("area"), F.bool_or("open").alias("open"), F.first("weight").alias("weight")))
+        final = around.join(touched, [IMG, "seg", "node"], "left_anti")
+        holes.append(final.where(~F.col("open") & (F.col("area") >= min_area)).select(IMG, "weight"))
+        live = around.join(touched, [IMG, "seg", "node"], "left_semi").select(IMG, "seg", "node", F.lit(None).cast("int").alias("cls"), "area", "open")
+        nodes = cut_lineage(parts.where(inner("cls")).select(IMG, "seg", "node", "cls", "area", "open").unionByName(live))
+    holes.append(nodes.where(F.col("cls").isNull() & ~F.col("open") & (F.col("area") >= min_area)).select(IMG, F.lit(1).cast("long").alias("weight")))
+    return reduce(DataFrame.unionByName, holes).groupBy(IMG).agg(F.sum("weight").alias("holes"))
+
+
 def topology_signature(px: DataFrame, label: str = "label", min_area: int = 1) -> DataFrame:
-    """Components and holes per image over all classes (holes: enclosed 4-connected complement parts)."""
-    pix = cut_lineage(px.select(IMG, "x", "y", F.col(label).alias("label")))
-    comps = components(pix).groupBy(IMG, "label", "region").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_area)
-    c = comps.groupBy(IMG).agg(F.count(F.lit(1)).alias("components"))
-    classes = pix.select(IMG, F.col("label").alias("cls")).distinct()
-    inv = pix.join(classes, IMG).where("label <> cls").select(
-        F.concat_ws("|", F.col(IMG).cast("string"), F.col("cls").cast("string")).alias(IMG), F.col(IMG).alias("_img"), "x", "y", F.lit(1).alias("label")
-    )
-    inv = components(inv).join(st.image_size(pix).withColumnRenamed(IMG, "_img"), "_img")
-    edge = (F.col("x") == 0) | (F.col("y") == 0) | (F.col("x") == F.col("_w") - 1) | (F.col("y") == F.col("_h") - 1)
-    parts = inv.groupBy("_img", IMG, "region").agg(F.count(F.lit(1)).alias("n"), F.bool_or(edge).alias("open"))
-    h = parts.where(~F.col("open") & (F.col("n") >= min_area)).groupBy(F.col("_img").alias(IMG)).agg(F.count(F.lit(1)).alias("holes"))
-    return pix.select(IMG).distinct().join(c, IMG, "left").join(h, IMG, "left").select(
-        IMG, F.coalesce("components", F.lit(0)).alias("components"), F.coalesce("holes", F.lit(0)).alias("holes")
-    )
+    """Components and holes per image over all classes (holes: enclosed 4-connected complement parts).
+
+    Pixels are looked at once, for the regions and their borders; holes come from the region graph.
+    """
+    pix = cut_lineage(components(px.select(IMG, "x", "y", F.col(label).alias("label"))).select(IMG, "x", "y", "label", "region"))
+    box = [F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x1"), F.max("y").alias("y1")]
+    found = cut_lineage(pix.groupBy(IMG, "region", "label").agg(F.count(F.lit(1)).alias("area"), *box))
+    size = found.groupBy(IMG).agg(F.max("x1").alias("_r"), F.max("y1").alias("_b"))
+    number = found.select(IMG, "label").distinct().withColumn("cls", F.row_number().over(Window.partitionBy(IMG).orderBy("label")) - 1)
+    edge = (F.col("x0") == 0) | (F.col("y0") == 0) | (F.col("x1") == F.col("_r")) | (F.col("y1") == F.col("_b"))
+    regions = found.join(size, IMG).join(number, [IMG, "label"]).select(IMG, "region", "cls", "area", edge.alias("open"))
+    h = enclosed_parts(regions, region_adjacency(pix, "region", 1).select(IMG, "a", "b"), min_area)
+    c = found.groupBy(IMG).agg(F.count_if(F.col("area") >= min_area).alias("components"))
+    return c.join(h, IMG, "left").select(IMG, "components", F.coalesce("holes", F.lit(0)).alias("holes"))
 
 
 def topology_delta(source: DataFrame, render: DataFrame) -> DataFrame:

@@ -509,7 +509,7 @@ def _(t: Tables):
 SELECT image_id, round(AVG(d),6) AS chamfer_mean, round(MAX(d),6) AS hausdorff_max, round(quantile_cont(d,0.95),6) AS hausdorff_p95 FROM d GROUP BY 1""")
 def _(t: Tables):
     g = _gray_pair(t)
-    return rounded(rg.boundary_offsets(rg.edge_mask(g, "p", 80, 160), rg.edge_mask(g, "q", 80, 160), cell=4))
+    return rounded(rg.boundary_offsets(rg.edge_mask(g, "p", 80, 160), rg.edge_mask(g, "q", 80, 160), band=8))
 
 
 @query("thin_ink_ratio", f"""WITH m AS (SELECT image_id, x, y, CASE WHEN GREATEST(255-r,255-g,255-b)>40 THEN 1 ELSE 0 END AS m FROM px), {k.square('e','m',['m'],1,'MIN','_ero')} SELECT image_id, round(CASE WHEN SUM(m)<30 THEN 0 ELSE (SUM(m)-SUM(m_ero))/SUM(m) END,6) AS thin_ink_ratio FROM e GROUP BY 1""")

@@ -213,14 +213,21 @@ def _(t: Tables):
     return rg.topology_signature(t("px"))
 
 
-@query("topology_delta", f"""WITH RECURSIVE rn AS (SELECT image_id, x, y, {k.nearest('rr','rg','rb')[0]} AS label FROM px_pair), {k.components('c1', 'px_pair', 'label', 4)}, {k.components('c2', 'rn', 'label', 4)}, a AS (SELECT image_id, COUNT(*) AS n FROM (SELECT image_id, label, region FROM c1 GROUP BY 1,2,3 HAVING COUNT(*)>=4) z GROUP BY 1), b AS (SELECT image_id, COUNT(*) AS n FROM (SELECT image_id, label, region FROM c2 GROUP BY 1,2,3 HAVING COUNT(*)>=4) z GROUP BY 1)
-SELECT a.image_id, ABS(a.n-b.n) AS component_delta FROM a JOIN b USING (image_id)""")
+def _sides_topology(side: str, src: str) -> str:
+    """Components and holes of at least four pixels of one side."""
+    return f"""{k.components('c' + side, src, 'label', 4)}, n{side} AS (SELECT image_id, COUNT(*) AS n FROM (SELECT image_id, label, region FROM c{side} GROUP BY 1,2,3 HAVING COUNT(*)>=4) z GROUP BY 1),
+iv{side} AS (SELECT p.image_id||'|'||l.label AS image_id, p.x, p.y, 1 AS label FROM {src} p JOIN (SELECT DISTINCT image_id, label FROM {src}) l ON l.image_id=p.image_id AND l.label<>p.label), {k.components('part' + side, 'iv' + side, 'label', 4)},
+h{side} AS (SELECT CAST(split_part(image_id,'|',1) AS BIGINT) AS image_id, COUNT(*) AS n FROM (SELECT image_id, region FROM part{side} GROUP BY 1,2 HAVING COUNT(*)>=4 AND NOT bool_or(x=0 OR y=0 OR x=23 OR y=23)) z GROUP BY 1)"""
+
+
+@query("topology_delta", f"""WITH RECURSIVE rn AS (SELECT image_id, x, y, {k.nearest('rr','rg','rb')[0]} AS label FROM px_pair), {_sides_topology('s', 'px_pair')}, {_sides_topology('r', 'rn')}
+SELECT ns.image_id, ABS(ns.n-nr.n) AS component_delta, ABS(COALESCE(hs.n,0)-COALESCE(hr.n,0)) AS hole_delta FROM ns JOIN nr USING (image_id) LEFT JOIN hs USING (image_id) LEFT JOIN hr USING (image_id)""")
 def _(t: Tables):
     p = t("px_pair")
     from mosaiq.plans.q_pixels import palette
 
     r = px.nearest_center(p, palette(t, "px_pair"), "named_struct('r', rr, 'g', rg, 'b', rb)", "cls")
-    return rg.topology_delta(rg.topology_signature(p, "label", 4), rg.topology_signature(r, "cls", 4)).select("image_id", "component_delta")
+    return rg.topology_delta(rg.topology_signature(p, "label", 4), rg.topology_signature(r, "cls", 4))
 
 
 _INK2 = "mo AS (SELECT image_id, x, y, 1 AS label FROM px_pair WHERE GREATEST(255-r,255-g,255-b)>60), mr AS (SELECT image_id, x, y, 1 AS label FROM px_pair WHERE GREATEST(255-rr,255-rg,255-rb)>60)"

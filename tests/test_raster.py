@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 import struct
 import zlib
 
@@ -102,17 +103,66 @@ def test_ssim_across_bands(spark):
     assert got == pytest.approx(min(1, max(0, want)), abs=1e-9)
 
 
-def test_boundary_offsets_bruteforce(spark):
+@pytest.mark.parametrize("band", [1, 7, 64])
+def test_boundary_offsets_bruteforce(spark, band):
     rnd = random.Random(9)
-    a = {(rnd.randrange(90), rnd.randrange(90)) for _ in range(40)}
+    a = {(rnd.randrange(90), rnd.randrange(90)) for _ in range(400)}
     b = {(rnd.randrange(20), rnd.randrange(20)) for _ in range(25)}
     d = [min(math.dist(p, q) for q in b) for p in a] + [min(math.dist(p, q) for q in a) for p in b]
-    make = lambda s: spark.createDataFrame([(1, *p) for p in s], "image_id long, x int, y int")
-    r = rg.boundary_offsets(make(a), make(b), cell=4).first()
+    make = lambda s: spark.createDataFrame([(1, *p) for p in s] + [(2, 0, 0)] * (s is a), "image_id long, x int, y int")
+    (r,) = rg.boundary_offsets(make(a), make(b), band=band).collect()
     assert r["chamfer_mean"] == pytest.approx(np.mean(d)) and r["hausdorff_max"] == pytest.approx(max(d))
     assert r["hausdorff_p95"] == pytest.approx(np.percentile(d, 95))
 
 
+def test_boundary_offsets_of_a_far_cluster(spark):
+    """Many edges far from all others: no ring of cells grows until it holds them all."""
+    at = lambda x0, y0, n: spark.range(n * n).selectExpr("1L as image_id", f"cast({x0} + id % {n} as int) as x", f"cast({y0} + floor(id / {n}) as int) as y")
+    start = time.time()
+    r = rg.boundary_offsets(at(0, 0, 250), at(9000, 7000, 250)).first()
+    assert r["hausdorff_max"] == pytest.approx(math.hypot(9000, 7000)) and time.time() - start < 60
+
+
+def plain_topology(raster, min_area):
+    def parts(mask):
+        seen, out = np.zeros(mask.shape, dtype=bool), []
+        for start in zip(*np.nonzero(mask)):
+            if seen[start]:
+                continue
+            seen[start], todo, cells = True, [start], []
+            while todo:
+                i, j = todo.pop()
+                cells.append((i, j))
+                for p in ((i + 1, j), (i - 1, j), (i, j + 1), (i, j - 1)):
+                    if 0 <= p[0] < mask.shape[0] and 0 <= p[1] < mask.shape[1] and mask[p] and not seen[p]:
+                        seen[p] = True
+                        todo.append(p)
+            out.append(cells)
+        return out
+
+    h, w = raster.shape
+    comps = holes = 0
+    for c in np.unique(raster):
+        comps += sum(len(p) >= min_area for p in parts(raster == c))
+        holes += sum(len(p) >= min_area and all(0 < i < h - 1 and 0 < j < w - 1 for i, j in p) for p in parts(raster != c))
+    return comps, holes
+
+
+@pytest.mark.parametrize("min_area", [1, 3])
+def test_topology_bruteforce(spark, min_area):
+    rnd = np.random.default_rng(3)
+    rasters = [np.zeros((3, 4), int), np.array([[0, 0, 0, 0, 0], [0, 1, 1, 1, 0], [0, 1, 2, 1, 0], [0, 1, 1, 1, 0], [0, 0, 0, 0, 0]])]
+    for classes in (2, 3, 5, 9):
+        coarse = rnd.integers(0, classes, (12, 9))
+        fine = np.kron(coarse, np.ones((3, 3), int))
+        fine[rnd.random(fine.shape) < 0.1] = rnd.integers(0, classes)
+        rasters.append(fine * 7 - 3)
+    rows = [(k, x, y, int(r[y, x])) for k, r in enumerate(rasters) for y in range(r.shape[0]) for x in range(r.shape[1])]
+    got = rg.topology_signature(spark.createDataFrame(rows, "image_id long, x int, y int, label int"), "label", min_area).collect()
+    assert {r.image_id: (r.components, r.holes) for r in got} == {k: plain_topology(r, min_area) for k, r in enumerate(rasters)}
+    assert rg.topology_signature(spark.createDataFrame([], "image_id long, x int, y int, label int")).count() == 0
+
+
 def test_merge_near_colors_is_greedy_in_share_order(spark):
     rows = [(1, 10, 10, 10, 0.5), (1, 30, 10, 10, 0.3), (1, 50, 10, 10, 0.15), (1, 200, 0, 0, 0.05)]
     got = px.merge_near_colors(spark.createDataFrame(rows, "image_id long, r int, g int, b int, ratio double"), 22).orderBy("ord").collect()
