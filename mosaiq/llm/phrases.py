@@ -373,8 +373,12 @@ def _frequent(prefixes: np.ndarray | None, least: int):
     return run
 
 
+RANGE = 1 << 16
+"""Phrase numbers whose counts travel and are added up together."""
+
+
 def _tally(trie: Trie, depth: int):
-    """Accepting states of a task's streams, counted by phrase number."""
+    """Accepting states of a task's streams as vectors of counts by phrase number, one for each range of numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(trie.base), np.int64)
@@ -382,19 +386,36 @@ def _tally(trie: Trie, depth: int):
             for d, place, state in trie.walk(ids, depth):
                 if d > 1:
                     total += np.bincount(state[place < own], minlength=len(total))
-        found = np.flatnonzero((total > 0) & (trie.accept >= 0))
-        for a in range(0, len(found), 10_000):
-            part = found[a : a + 10_000]
-            yield pa.RecordBatch.from_arrays([pa.array(trie.accept[part].astype(np.int64)), pa.array(total[part])], names=["number", "a"])
+        states = np.flatnonzero(trie.accept >= 0)
+        counts = np.zeros(len(trie.phrases), np.int64)
+        counts[trie.accept[states]] = total[states]
+        for a in range(0, len(counts), RANGE):
+            part = counts[a : a + RANGE]
+            if part.any():
+                yield pa.RecordBatch.from_arrays([pa.array([a // RANGE], pa.int32()), pa.array([part.tobytes()], pa.binary())], names=["part", "counts"])
 
     return run
 
 
-def _named(phrases: np.ndarray):
+def _add_up(phrases: np.ndarray):
+    """Sums of the vectors of a range, one after the other, with the words of its phrases."""
+
+    def named(part: int, total: np.ndarray) -> Iterator[pa.RecordBatch]:
+        rows = phrases[part * RANGE : (part + 1) * RANGE]
+        for a in range(0, len(rows), 10_000):
+            yield pa.RecordBatch.from_arrays([pa.array([r[r > 0] for r in rows[a : a + 10_000]], pa.list_(pa.int32())), pa.array(total[a : a + 10_000])], names=["w", "a"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, total = None, None
         for batch in batches:
-            rows = phrases[np.asarray(batch.column(0))]
-            yield pa.RecordBatch.from_arrays([pa.array([r[r > 0] for r in rows], pa.list_(pa.int32())), batch.column(1)], names=["w", "a"])
+            for part, raw in zip(*(c.to_pylist() for c in batch.columns)):
+                if part != of:
+                    if of is not None:
+                        yield from named(of, total)
+                    of, total = part, np.zeros(len(raw) // 8, np.int64)
+                total += np.frombuffer(raw, np.int64)
+        if of is not None:
+            yield from named(of, total)
 
     return run
 
@@ -468,8 +489,9 @@ def count_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -
         for more in levels[1:]:
             whole = whole.unionByName(more)
         for trie in _tries(whole, longest, size):
-            sums = streams.mapInArrow(released(_tally(trie, longest)), "number long, a long").groupBy("number").agg(F.sum("a").alias("a"))
-            found = cut_lineage(sums.mapInArrow(_named(trie.phrases), "w array<int>, a long"))
+            shards = streams.mapInArrow(released(_tally(trie, longest)), "part int, counts binary")
+            dealt = shards.repartition(-(-len(trie.phrases) // RANGE), "part").sortWithinPartitions("part")
+            found = cut_lineage(dealt.mapInArrow(released(_add_up(trie.phrases)), "w array<int>, a long"))
             phrases = found if phrases is None else phrases.unionByName(found)
     return words, totals, phrases if phrases is not None else spark.createDataFrame([], "w array<int>, a long")
 
