@@ -427,7 +427,9 @@ def _(t: Tables):
 
 # -- neighbourhoods -----------------------------------------------------------------------
 
-@query("dilate_erode", f"""WITH m AS (SELECT image_id, x, y, CASE WHEN label=1 THEN 1 ELSE 0 END AS m FROM px), {k.square('d','m',['m'],2,'MAX','_dil')}, {k.square('e','m',['m'],2,'MIN','_ero')} SELECT d.image_id, d.x, d.y, d.m_dil, e.m_ero FROM d JOIN e USING (image_id,x,y)""")
+@query("dilate_erode", """WITH m AS (SELECT image_id, x, y, CASE WHEN label=1 THEN 1 ELSE 0 END AS m FROM px),
+r AS (SELECT image_id, x, y, MAX(m) OVER w AS hi, MIN(m) OVER w AS lo FROM m WINDOW w AS (PARTITION BY image_id, y ORDER BY x ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING))
+SELECT image_id, x, y, MAX(hi) OVER w AS m_dil, MIN(lo) OVER w AS m_ero FROM r WINDOW w AS (PARTITION BY image_id, x ORDER BY y ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)""")
 def _(t: Tables):
     m = t("px").select("image_id", "x", "y", (F.col("label") == 1).cast("int").alias("m"))
     return st.dilate_erode(m, ["m"], 2).select("image_id", "x", "y", "m_dil", "m_ero")

@@ -340,7 +340,9 @@ def _(t: Tables):
 
 # -- paths -----------------------------------------------------------------------------------
 
-_NB = """nb AS (SELECT p.path_id, p.seq, p.x, p.y, p.closed, a.x AS px, a.y AS py, b.x AS nx, b.y AS ny FROM curve p LEFT JOIN curve a ON a.path_id=p.path_id AND a.seq=CASE WHEN p.closed THEN (p.seq-{k}+64)%64 ELSE p.seq-{k} END LEFT JOIN curve b ON b.path_id=p.path_id AND b.seq=CASE WHEN p.closed THEN (p.seq+{k})%64 ELSE p.seq+{k} END),
+_NB = """rings AS (SELECT path_id, closed, list(x ORDER BY seq) AS xs, list(y ORDER BY seq) AS ys FROM curve GROUP BY path_id, closed),
+nb AS (SELECT path_id, CAST(i AS INT) AS seq, xs[i+1] AS x, ys[i+1] AS y, closed, CASE WHEN closed OR i>={k} THEN xs[(i+64-{k})%64+1] END AS px, CASE WHEN closed OR i>={k} THEN ys[(i+64-{k})%64+1] END AS py,
+ CASE WHEN closed OR i<64-{k} THEN xs[(i+{k})%64+1] END AS nx, CASE WHEN closed OR i<64-{k} THEN ys[(i+{k})%64+1] END AS ny FROM rings, range(0,64) r(i)),
 tn AS (SELECT *, COALESCE(degrees(acos(GREATEST(-1,LEAST(1,((x-px)*(nx-x)+(y-py)*(ny-y))/(sqrt(power(x-px,2)+power(y-py,2))*sqrt(power(nx-x,2)+power(ny-y,2))))))),0) AS turn FROM nb)"""
 _NB1, _NB2 = _NB.replace("{k}", "1"), _NB.replace("{k}", "2")
 
