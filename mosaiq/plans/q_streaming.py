@@ -16,15 +16,19 @@ from mosaiq.plans.registry import Tables, query, scratch
 from mosaiq.streaming import streams
 
 
+FILES = 4
+"""Files of a micro-batch, each read by a task of its own."""
+
+
 def _as_stream(t: Tables, df: DataFrame, name: str, time: str = "ts", parts: int = 3) -> DataFrame:
-    """``df`` as files in the order of time, one of them a micro-batch; cuts fall inside windows and jobs."""
+    """``df`` as files in the order of time, FILES of them a micro-batch; cuts fall inside windows and jobs."""
     path = scratch(t, name)
     at = F.col(time).cast("double")
     cuts = df.agg(F.percentile_approx(at, [k / parts for k in range(1, parts)]).alias("c")).first()["c"] or []
     piece = reduce(lambda n, c: n + (at > c).cast("int"), cuts, F.lit(0))
     for k in range(parts):
-        df.where(piece == k).coalesce(1).write.mode("append").parquet(path)
-    return t.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        df.where(piece == k).repartition(FILES).write.mode("append").parquet(path)
+    return t.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", FILES).parquet(path)
 
 
 def _finish(t: Tables, out: DataFrame, mode: str, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -51,7 +55,8 @@ def _(t: Tables):
 
 @query("stream_dedupe", "SELECT DISTINCT source_sha256 FROM case_rec")
 def _(t: Tables):
-    c = t("case_rec").select("source_sha256", F.lit("2024-01-01").cast("timestamp").alias("ts"))
+    # ten hours of arrivals, within the lateness: copies of a case meet across micro-batches
+    c = t("case_rec").select("source_sha256", (F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(mins=(F.col("case_id") * 37 % 600).cast("int"))).alias("ts"))
     return _finish(t, streams.stream_dedupe(_as_stream(t, c, "cases"), "source_sha256"), "append").select("source_sha256")
 
 

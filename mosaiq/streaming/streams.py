@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import StringType, StructField, StructType, TimestampType
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType, TimestampType
 
 from mosaiq.operators.jobs import TERMINAL, feedback_cases
 from mosaiq.sources.reports import parse_feedback
@@ -28,52 +28,72 @@ def stream_attempts(attempts: DataFrame, limit: int, window_seconds: int) -> Dat
     )
 
 
+STALE = "stale"
 EPOCH = datetime(1970, 1, 1)  # event times are naive and in the session's zone, which is UTC
 
 
+def _millis(at: datetime) -> int:
+    return (at - EPOCH) // timedelta(milliseconds=1)
+
+
 class JobLifecycle(StatefulProcessor):
-    """Per-job state: terminal states are final, silent jobs become stale after ``ttl``."""
+    """Per-job state in the order of event time: terminal states are final, silent jobs become stale after ``ttl``.
+
+    Events wait in a map by their millisecond until the watermark passes it; a timer for each millisecond then
+    takes just its events, and one ``ttl`` later sees whether another has come. So events of several batches, late ones within the watermark included, are settled in
+    order, and no more than one millisecond of a job is in memory.
+    """
 
     def __init__(self, ttl_seconds: int):
         self.ttl_seconds = ttl_seconds
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        schema = StructType([StructField("state", StringType()), StructField("ts", TimestampType())])
-        self.job = handle.getValueState("job", schema)
+        event = StructType([StructField("ts", TimestampType()), StructField("seq", LongType()), StructField("state", StringType())])
+        self.job = handle.getValueState("job", StructType([StructField("state", StringType()), StructField("ts", TimestampType())]))
+        self.waiting = handle.getMapState("waiting", StructType([StructField("ms", LongType())]), StructType([StructField("events", ArrayType(event))]))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        frames = list(rows)
-        events = pd.concat(frames).sort_values(["ts", "seq"])
-        state, at = self.job.get() if self.job.exists() else (None, None)
-        out = []
-        for ts, new in events[["ts", "state"]].itertuples(index=False):
-            accepted = state not in TERMINAL
-            if accepted:
-                state, at = new, ts.to_pydatetime()
-            out.append((key[0], ts, state, accepted))
-        self.job.update((state, at))
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        if state not in TERMINAL:
-            due = at + timedelta(seconds=self.ttl_seconds)
-            self.handle.registerTimer(int((due - EPOCH) / timedelta(milliseconds=1)))
-        yield pd.DataFrame(out, columns=["job_id", "ts", "state", "accepted"])
+        for frame in rows:
+            frame = frame.assign(ms=[_millis(t.to_pydatetime()) for t in frame["ts"]])
+            for ms, part in frame.groupby("ms"):
+                new = [(t.to_pydatetime(), int(q), s) for t, q, s in zip(part["ts"], part["seq"], part["state"])]
+                slot = (int(ms),)
+                held = [tuple(e) for e in self.waiting.getValue(slot)[0]] if self.waiting.containsKey(slot) else []
+                self.waiting.updateValue(slot, (held + new,))
+                # one for the events themselves and one for the silence after them
+                self.handle.registerTimer(int(ms))
+                self.handle.registerTimer(int(ms) + 1000 * self.ttl_seconds)
+        yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        due = EPOCH + timedelta(milliseconds=expiredTimerInfo.getExpiryTimeInMs())
-        if self.job.exists() and self.job.get()[0] not in TERMINAL:
-            self.job.update(("stale", due))
-            yield pd.DataFrame([(key[0], due, "stale", True)], columns=["job_id", "ts", "state", "accepted"])
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        state, at = self.job.get() if self.job.exists() else (None, None)
+        before, out = (state, at), []
+        if self.waiting.containsKey((now,)):
+            events = sorted(tuple(e) for e in self.waiting.getValue((now,))[0])
+            self.waiting.removeKey((now,))
+            for ts, _, new in events:
+                accepted = state not in TERMINAL
+                if accepted:
+                    state, at = new, ts
+                out.append((key[0], ts, state, accepted))
+        elif state is not None and state not in (*TERMINAL, STALE) and _millis(at) + 1000 * self.ttl_seconds <= now:
+            state, at = STALE, EPOCH + timedelta(milliseconds=now)
+            out.append((key[0], at, state, True))
+        if (state, at) != before:
+            self.job.update((state, at))
+        if out:
+            yield pd.DataFrame(out, columns=["job_id", "ts", "state", "accepted"])
 
     def close(self) -> None:
         pass
 
 
 def stream_job_state(events: DataFrame, ttl_seconds: int, lateness: str = "10 minutes") -> DataFrame:
-    """Job events -> (job_id, ts, state, accepted) with terminal states immutable.
+    """Job events (job_id, ts, seq, state) -> (job_id, ts, state, accepted) with terminal states immutable.
 
-    Needs the RocksDB state store provider.
+    A row comes out when the watermark has passed its event. Needs the RocksDB state store provider.
     """
     return (
         events.withWatermark("ts", lateness)
