@@ -180,10 +180,11 @@ def nearest(index: DataFrame, queries: DataFrame, k: int, beam: int = BEAM) -> D
     ties to the smaller id). Blocks of queries are sent to the shards of their dimension,
     a shard's graph is searched for a whole block at once, and the shards' answers are
     merged. Queries that are null, zero or not finite have no answers; with fewer
-    candidates than ``k`` all that are found are returned.
+    candidates than ``k`` all that are found are returned. An id with several vectors asks with each of
+    them, and as an answer it counts once, by its best score.
     """
     asked = queries.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
-    asked = cut_lineage(asked.where(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).groupBy("vec_id").agg(F.min("embedding").alias("embedding")))
+    asked = cut_lineage(asked.where(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).distinct())
     blocks = max(1, math.ceil(asked.count() / QUERY_BLOCK))
     block = F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")
     asked = asked.groupBy(F.size("embedding").alias("dim"), block.alias("block")).agg(F.collect_list(F.struct("vec_id", "embedding")).alias("rows"))
@@ -193,6 +194,7 @@ def nearest(index: DataFrame, queries: DataFrame, k: int, beam: int = BEAM) -> D
     pairs = sent.join(spread, ["shard", "part"]).select("vectors", "id_ends", "ids", "layers", "neighbours", "dim", "rows")
     hits = pairs.mapInArrow(lambda batches: _search(batches, k, beam), "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    hits = hits.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     return hits.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
@@ -210,6 +212,8 @@ def _search(batches: Iterator[pa.RecordBatch], k: int, beam: int) -> Iterator[pa
             q = np.asarray(asked.field("embedding").flatten()).reshape(-1, dim)
             x = unit(raw).astype(np.float32)
             found = search_graph(x, layers, edges, unit(q).astype(np.float32), max(beam, k + 1))
+            # very small or large components are scaled by a power of two, which changes no digit of a cosine
+            q, raw = (np.ldexp(v, -np.frexp(np.abs(v).max(axis=1, keepdims=True))[1]) for v in (q, raw))
             norm_q, norm_x = np.sqrt((q * q).sum(1)), np.sqrt((raw * raw).sum(1))
             # every node found is scored again with the original vectors, its ids spread out
             rows, cols = np.nonzero(found >= 0)
@@ -223,5 +227,8 @@ def _search(batches: Iterator[pa.RecordBatch], k: int, beam: int) -> Iterator[pa
             rows, score, vec = rows[other], score[other], vec[other]
             order = np.lexsort((vec, -score, rows))
             rows, score, vec = rows[order], score[order], vec[order]
+            _, once = np.unique(np.stack([rows, vec]), axis=1, return_index=True)
+            once.sort()
+            rows, score, vec = rows[once], score[once], vec[once]
             keep = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
             yield pa.RecordBatch.from_arrays([pa.array(who[rows[keep]]), pa.array(vec[keep]), pa.array(score[keep])], names=["query_id", "vec_id", "score"])

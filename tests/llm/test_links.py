@@ -264,3 +264,20 @@ def test_nearest_vectors(cloud):
     assert {r["rank"] for r in got} == {1, 2, 3, 4, 5}
     assert {r.query_id for r in got if r.query_id > 9000} == {9005}  # 9007 has no other vector of its dimension
     assert graph_search.nearest(graph_search.build_index(df.limit(0), 6), df.limit(0), 5).count() == 0
+
+
+def test_scores_of_tiny_and_huge_vectors_and_ids_with_several(spark):
+    rnd = np.random.default_rng(12)
+    base, more = rnd.normal(size=(60, 8)), rnd.normal(size=(2, 8))
+    rows = [(int(k), (v * 10.0 ** s).tolist()) for k, (v, s) in enumerate(zip(base, [0, -200, 200, -310, 300] * 12))] + [(0, more[0].tolist()), (1, more[1].tolist()), (1, more[1].tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = graph_search.nearest(graph_search.build_index(df, copies=6), df.where("vec_id % 5 = 0"), k=5).collect()
+    cosine = lambda a, b: float(np.dot(a / np.abs(a).max(), b / np.abs(b).max()) / np.linalg.norm(a / np.abs(a).max()) / np.linalg.norm(b / np.abs(b).max()))
+    vectors_of = {}
+    for k, v in rows:
+        vectors_of.setdefault(k, []).append(np.array(v))
+    for q in range(0, 60, 5):
+        best = {o: max(cosine(a, b) for a in vectors_of[q] for b in vectors_of[o]) for o in vectors_of if o != q}
+        mine = sorted((r.rank, r.vec_id, r.score) for r in got if r.query_id == q)
+        assert [r[1] for r in mine] == sorted(best, key=lambda o: (-best[o], o))[:5]
+        assert all(abs(score - best[o]) < 1e-9 for _, o, score in mine)
