@@ -147,7 +147,7 @@ def background(px: DataFrame) -> DataFrame:
     bg = corners.groupBy(IMG).agg(*[F.median(c).alias(f"bg{c}") for c in "rgb"])
     near = dist(rgb(), rgb("bg")) < 18
     n = F.count(F.lit(1))
-    g = corners.join(bg, IMG).groupBy(IMG).agg(
+    g = st.with_known(corners, bg, [IMG]).groupBy(IMG).agg(
         *[F.first(f"bg{c}").alias(f"bg{c}") for c in "rgb"],
         (F.count_if(near) / n).alias("uniformity"), (F.count_if(F.col("a") < 245) / n).alias("transparent"),
     )
@@ -258,7 +258,7 @@ def nearest_center(px: DataFrame, centers: DataFrame, source: str = "named_struc
 
     ``centers(image_id, centers)`` holds one bounded array per image.
     """
-    j = px.join(centers, IMG).withColumn("_s", F.expr(source))
+    j = st.with_known(px, centers, [IMG]).withColumn("_s", F.expr(source))
     best = F.expr(f"array_min(transform(centers, (c, i) -> struct({_d2('c', '_s')} AS d2, i AS i)))")
     return j.withColumn("_m", best).withColumn(out, F.col("_m.i")).withColumn(f"{out}_d2", F.col("_m.d2").cast("double")).drop("_s", "_m", "centers")
 
@@ -405,7 +405,7 @@ def posterize_thresholds(px: DataFrame, n: int) -> DataFrame:
 
 def band_colors(px: DataFrame, thresholds: DataFrame) -> DataFrame:
     """Mean colour per luminance band (t[k-1], t[k]]; the last band is the background."""
-    j = px.join(thresholds, IMG).withColumn("_l", cl.luma709())
+    j = st.with_known(px, thresholds, [IMG]).withColumn("_l", cl.luma709())
     band = F.size(F.filter("thresholds", lambda t: t < F.col("_l")))
     return j.groupBy(IMG, band.alias("band")).agg(
         *[F.floor(F.avg(c) + 0.5).cast("int").alias(c) for c in "rgb"], F.count(F.lit(1)).alias("n"),
@@ -433,7 +433,7 @@ def recolor_by_path(px: DataFrame, ids: str, fills: DataFrame, min_px: int = 1)
 
 def recolor_by_group(px: DataFrame, ids: str, fills: DataFrame) -> DataFrame:
     """Pooled median per old fill, adopted by the same shift rule; one row per fill."""
-    j = px.join(fills, (px[IMG] == fills[IMG]) & (px[ids] == fills["path"])).drop(fills[IMG])
+    j = st.with_known(px.withColumn("path", F.col(ids)), fills, [IMG, "path"])
     g = j.groupBy(IMG, "fr", "fg", "fb").agg(F.count(F.lit(1)).alias("n"), *[F.floor(F.median(c)).cast("int").alias(f"m{c}") for c in "rgb"])
     g = cl.with_lab8(cl.with_lab8(g, ("fr", "fg", "fb"), "o"), ("mr", "mg", "mb"), "w").withColumn("shift", cl.delta_e76_lab8("o", "w"))
     take = F.col("shift").between(0.5, 30.0)
@@ -481,7 +481,7 @@ def fit_linear_gradient(px: DataFrame, region: str, min_px: int = 900, min_gain:
     lum = lambda p: f(f"{p}_r") * 0.299 + f(f"{p}_g") * 0.587 + f(f"{p}_b") * 0.114
     m = m.withColumn("lx", lum("gx")).withColumn("ly", lum("gy")).withColumn("norm", F.hypot("lx", "ly"))
     m = m.select(*keys, "n", *[f"{p}_{c}" for p in ("c0", "gx", "gy", "base") for c in "rgb"], (f("lx") / f("norm")).alias("ux"), (f("ly") / f("norm")).alias("uy"), (f("sx") / f("n")).alias("cx"), (f("sy") / f("n")).alias("cy"))
-    j = px.select(*keys, "x", "y", "r", "g", "b").join(m, keys)
+    j = st.with_known(px.select(*keys, "x", "y", "r", "g", "b"), m, keys)
     clip = lambda e: F.least(F.lit(255), F.greatest(F.lit(0), F.floor(e).cast("int")))
     j = j.select("*", *[clip(f(f"c0_{c}") + f(f"gx_{c}") * f("x") + f(f"gy_{c}") * f("y")).alias(f"p_{c}") for c in "rgb"], (f("x") * f("ux") + f("y") * f("uy")).alias("t"))
     lab = cl.with_lab8(cl.with_lab8(cl.with_lab8(j, ("r", "g", "b"), "t_"), ("base_r", "base_g", "base_b"), "k_"), ("p_r", "p_g", "p_b"), "p_")
@@ -571,10 +571,10 @@ def mirror_score(px: DataFrame, axis: str = "x", shifts: int = 8, min_fg: int =
     """
     other = "y" if axis == "x" else "x"
     size = "_w" if axis == "x" else "_h"
-    df = st.sized(px.join(corner_color(px), IMG))
+    df = st.sized(st.with_known(px, corner_color(px), [IMG]))
     df = df.select(IMG, "x", "y", "r", "g", "b", F.col(size).alias("size"), ink_euclid("", 40.0).alias("fg"))
     enough = df.groupBy(IMG).agg(F.count_if("fg").alias("_n")).where(F.col("_n") >= min_fg).select(IMG)
-    df = df.join(enough, IMG, "left_semi")
+    df = st.with_known(df, enough, [IMG], "left_semi")
     left = df.withColumn("shift", F.explode(F.sequence(F.lit(-shifts), F.lit(shifts)))).where(
         F.col("size") - F.abs("shift") >= F.floor(F.col("size") / 2)
     ).withColumn("_p", F.col("size") - 1 - F.col(axis) + F.col("shift"))
@@ -593,7 +593,7 @@ def symmetrize(px: DataFrame, scores: DataFrame, axis: str = "x", mean_tol: floa
     other = "y" if axis == "x" else "x"
     size = "_w" if axis == "x" else "_h"
     ok = scores.where((F.col("mean_diff") <= mean_tol) & (F.col("high_ratio") <= hi_tol)).select(IMG, "shift")
-    df = st.sized(px.join(ok, IMG, "left")).withColumn("_p", F.col(size) - 1 - F.col(axis) + F.col("shift"))
+    df = st.sized(st.with_known(px, ok, [IMG], "left")).withColumn("_p", F.col(size) - 1 - F.col(axis) + F.col("shift"))
     mate = px.select(IMG, F.col(axis).alias("_p"), F.col(other), *[F.col(c).alias(f"q{c}") for c in "rgb"])
     j = df.join(mate, [IMG, "_p", other], "left")
     return j.select(IMG, "x", "y", *[F.when(F.col(f"q{c}").isNotNull(), F.floor((F.col(c) + F.col(f"q{c}")) / 2).cast("int")).otherwise(F.col(c)).alias(c) for c in "rgb"])

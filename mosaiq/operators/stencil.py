@@ -142,14 +142,26 @@ def image_size(px: DataFrame) -> DataFrame:
     return px.groupBy(IMG).agg((F.max("x") + 1).alias("_w"), (F.max("y") + 1).alias("_h"))
 
 
-def sized(px: DataFrame) -> DataFrame:
-    """Adds _w and _h: the columns ``width`` and ``height`` where the pixels carry them, else measured.
+SHARES = 64
+"""Parts that the pixels of one image (or region) are dealt into where they meet what is known of it."""
+
+
+def with_known(px: DataFrame, known: DataFrame, keys: list[str], how: str = "inner", shares: int = SHARES) -> DataFrame:
+    """Joins ``known``, one small row for each of ``keys``, to pixels.
 
-    Measured sizes come by a join on the image; carried ones cost nothing, however large one image is.
+    The row is sent to every share of its image's pixels, so an image with most of the pixels meets it in many tasks.
     """
+    apart = ["x", "y"] if {"x", "y"} <= set(px.columns) else [c for c in px.columns if c not in keys]
+    dealt = px.withColumn("_share", F.pmod(F.xxhash64(*apart), F.lit(shares)).cast("int"))
+    sent = known.withColumn("_share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
+    return dealt.join(sent, [*keys, "_share"], how).drop("_share")
+
+
+def sized(px: DataFrame) -> DataFrame:
+    """Adds _w and _h: the columns ``width`` and ``height`` where the pixels carry them, else measured."""
     if {"width", "height"} <= set(px.columns):
         return px.withColumn("_w", F.col("width")).withColumn("_h", F.col("height"))
-    return px.join(image_size(px), IMG)
+    return with_known(px, image_size(px), [IMG])
 
 
 def padded(px: DataFrame, r: int) -> DataFrame:
@@ -210,7 +222,7 @@ def ms_ssim(pair: DataFrame, a: str, b: str) -> DataFrame:
     """.6 full + .4 half-scale similarity where the shorter side is at least 64, else full."""
     full = ssim(pair, a, b)
     big = image_size(pair).where(F.least("_w", "_h") >= 64)
-    large = pair.select(IMG, "x", "y", a, b).join(big.select(IMG), IMG, "left_semi")
+    large = with_known(pair.select(IMG, "x", "y", a, b), big.select(IMG), [IMG], "left_semi")
     half = ssim(area_downsample(large, 2, [a, b], rounded=True), a, b).withColumnRenamed("ssim", "_half")
     return full.join(half, IMG, "left").select(
         IMG, F.coalesce(F.col("ssim") * 0.6 + F.col("_half") * 0.4, F.col("ssim")).alias("ms_ssim")
@@ -239,7 +251,7 @@ def smooth_flat_zone(px: DataFrame, light: str, chroma: str, values: list[str],
     zones = core(erode(df, ["_flat"], reach)).select(*px.columns, F.col("_flat_ero").alias("_safe"))
     share = zones.groupBy(IMG).agg((F.avg("_safe") > 0.03).alias("_use"))
     soft = gaussian_blur(px.select(IMG, "x", "y", *values), values, sigma).select(IMG, "x", "y", *[f"{v}_blur" for v in values])
-    out = zones.join(share, IMG).join(soft, [IMG, "x", "y"])
+    out = with_known(zones, share, [IMG]).join(soft, [IMG, "x", "y"])
     use = F.col("_use") & (F.col("_safe") == 1)
     keep = [F.col(c) for c in px.columns if c not in values]
     return out.select(*keep, *[F.when(use, F.col(f"{v}_blur")).otherwise(F.col(v)).alias(v) for v in values], use.alias("smoothed"))
