@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from mosaiq.functions import color as cl
@@ -226,24 +228,90 @@ def consolidate_palette(
     return j.select(IMG, "r", "g", "b", *[F.col(f"f.{c}").cast("int").alias(f"f{c}") for c in "rgb"])
 
 
-def mixture_of(tol: float = 26.0, color: str = "c", anchors: str = "anchors") -> Column:
-    """True if colour struct ``c`` lies on a segment or in a triangle of ``anchors``.
-
-    ``anchors`` is a bounded array of (r, g, b); nested tests run inside the row.
+CUBE = 16
+"""Side of a cell of the colour cube."""
+_REACH = CUBE / 2 * 3 ** 0.5 + 1e-6
+
+
+class _Mixtures:
+    """Segments and triangles of a palette, looked up by cell of the colour cube."""
+
+    def __init__(self, anchors: np.ndarray, tol: float):
+        n, self.tol = len(anchors), tol
+        i, j = np.triu_indices(n, 1)
+        self.a, self.u = anchors[i], anchors[j] - anchors[i]
+        self.uu = (self.u * self.u).sum(axis=1)
+        line = self.uu >= 1e-9
+        self.a, self.u, self.uu = self.a[line], self.u[line], self.uu[line]
+        three = [(p, q, r) for p in range(n) for q in range(p + 1, n) for r in range(q + 1, n)]
+        p, q, r = (np.array(x, dtype=int) for x in zip(*three)) if three else (np.zeros(0, int),) * 3
+        self.o, self.p, self.q = anchors[p], anchors[q] - anchors[p], anchors[r] - anchors[p]
+        pp, pq, qq = ((x * y).sum(axis=1) for x, y in ((self.p, self.p), (self.p, self.q), (self.q, self.q)))
+        det = pp * qq - pq * pq
+        flat = det >= 1e-9
+        self.o, self.p, self.q = self.o[flat], self.p[flat], self.q[flat]
+        self.pp, self.pq, self.qq, self.det = pp[flat], pq[flat], qq[flat], det[flat]
+
+    def _lines(self, c: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        w = c[:, None] - self.a[k]
+        wu, ww = (w * self.u[k]).sum(axis=2), (w * w).sum(axis=2)
+        return wu / self.uu[k], np.sqrt(np.maximum(0.0, ww - wu * wu / self.uu[k]))
+
+    def _planes(self, c: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        w = c[:, None] - self.o[k]
+        wp, wq = (w * self.p[k]).sum(axis=2), (w * self.q[k]).sum(axis=2)
+        s = (self.qq[k] * wp - self.pq[k] * wq) / self.det[k]
+        t = (self.pp[k] * wq - self.pq[k] * wp) / self.det[k]
+        return s, t, np.sqrt(((w - s[:, :, None] * self.p[k] - t[:, :, None] * self.q[k]) ** 2).sum(axis=2))
+
+    def near(self, centre: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Segments and triangles that can hold a colour of the cell around ``centre``."""
+        t, miss = self._lines(centre[None], np.arange(len(self.uu)))
+        slack = _REACH / np.sqrt(self.uu)
+        lines = np.flatnonzero((miss[0] <= self.tol + _REACH) & (t[0] >= 0.04 - slack) & (t[0] <= 0.96 + slack))
+        s, t, miss = self._planes(centre[None], np.arange(len(self.det)))
+        gs, gt = _REACH * np.sqrt(self.qq / self.det), _REACH * np.sqrt(self.pp / self.det)
+        planes = np.flatnonzero((miss[0] <= self.tol + _REACH) & (s[0] >= -0.02 - gs) & (t[0] >= -0.02 - gt) & (s[0] + t[0] <= 1.02 + gs + gt))
+        return lines, planes
+
+    def holds(self, colors: np.ndarray, lines: np.ndarray, planes: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(colors), dtype=bool)
+        for a in range(0, len(lines), 256):
+            t, miss = self._lines(colors, lines[a : a + 256])
+            out |= ((t >= 0.04) & (t <= 0.96) & (miss <= self.tol)).any(axis=1)
+        for a in range(0, len(planes), 256):
+            left = np.flatnonzero(~out)
+            s, t, miss = self._planes(colors[left], planes[a : a + 256])
+            out[left] = ((s >= -0.02) & (t >= -0.02) & (s + t <= 1.02) & (miss <= self.tol)).any(axis=1)
+        return out
+
+
+def mixture_of(px: DataFrame, anchors: DataFrame, tol: float = 26.0) -> DataFrame:
+    """Adds ``is_mixture``: the colour (r, g, b) lies within ``tol`` of a segment or triangle of the image's anchors.
+
+    ``anchors(image_id, anchors)`` holds one bounded array of colours for each image. Each distinct colour is tested
+    once, and only against the segments and triangles that come near its cell of the colour cube; pixels learn
+    their colour's answer. Images without anchors have no mixtures.
     """
-    dot = lambda a, b: f"({a}.r*{b}.r+{a}.g*{b}.g+{a}.b*{b}.b)"
-    sub = lambda a, b: f"named_struct('r', {a}.r-{b}.r, 'g', {a}.g-{b}.g, 'b', {a}.b-{b}.b)"
-    pairs = f"flatten(transform({anchors}, (a, i) -> transform(slice({anchors}, i+2, size({anchors})), q -> struct(a AS a, {sub('q', 'a')} AS u, {sub(color, 'a')} AS w))))"
-    on_line = f"""exists({pairs}, p -> {dot('p.u', 'p.u')} >= 1e-9 AND {dot('p.w', 'p.u')}/{dot('p.u', 'p.u')} BETWEEN 0.04d AND 0.96d
-      AND sqrt(greatest(0d, {dot('p.w', 'p.w')} - {dot('p.w', 'p.u')}*{dot('p.w', 'p.u')}/{dot('p.u', 'p.u')})) <= {tol}d)"""
-    triples = f"""flatten(transform({anchors}, (a, i) -> flatten(transform(slice({anchors}, i+2, size({anchors})), (q, j) -> transform(slice({anchors}, i+j+3, size({anchors})),
-      d -> struct({sub('q', 'a')} AS u, {sub('d', 'a')} AS v, {sub(color, 'a')} AS w))))))"""
-    det = f"({dot('p.u', 'p.u')}*{dot('p.v', 'p.v')}-{dot('p.u', 'p.v')}*{dot('p.u', 'p.v')})"
-    s = f"(({dot('p.v', 'p.v')}*{dot('p.w', 'p.u')}-{dot('p.u', 'p.v')}*{dot('p.w', 'p.v')})/{det})"
-    t = f"(({dot('p.u', 'p.u')}*{dot('p.w', 'p.v')}-{dot('p.u', 'p.v')}*{dot('p.w', 'p.u')})/{det})"
-    miss = "sqrt(" + "+".join(f"power(p.w.{k}-{s}*p.u.{k}-{t}*p.v.{k}, 2)" for k in "rgb") + ")"
-    inside = f"exists({triples}, p -> {det} >= 1e-9 AND {s} >= -0.02d AND {t} >= -0.02d AND {s}+{t} <= 1.02d AND {miss} <= {tol}d)"
-    return F.expr(f"({on_line}) OR ({inside})")
+    cell = [F.floor(F.col(c) / CUBE).cast("int") for c in "rgb"]
+    colors = px.select(IMG, "r", "g", "b").distinct()
+    # a slab of the cube is a task's unit, however many colours an image has
+    asked = st.with_known(colors, anchors.select(IMG, "anchors"), [IMG]).groupBy(IMG, cell[0].alias("slab"))
+    kinds = dict(px.dtypes)
+    schema = f"{IMG} {kinds[IMG]}, " + ", ".join(f"{c} {kinds[c]}" for c in "rgb") + ", is_mixture boolean"
+
+    def test(pdf: pd.DataFrame) -> pd.DataFrame:
+        points = np.array([[a["r"], a["g"], a["b"]] for a in pdf["anchors"].iloc[0]], dtype=float).reshape(-1, 3)
+        tool, rgb = _Mixtures(points, tol), pdf[["r", "g", "b"]].to_numpy(dtype=float)
+        cells, which = np.unique(np.floor(rgb / CUBE), axis=0, return_inverse=True)
+        out = np.zeros(len(pdf), dtype=bool)
+        for k, at in enumerate(np.split(np.argsort(which, kind="stable"), np.cumsum(np.bincount(which))[:-1])):
+            out[at] = tool.holds(rgb[at], *tool.near(cells[k] * CUBE + CUBE / 2))
+        return pdf[[IMG, "r", "g", "b"]].assign(is_mixture=out)
+
+    known = asked.applyInPandas(test, schema)
+    out = st.with_known(px, known, [IMG, "r", "g", "b"], "left", shares=8)
+    return out.withColumn("is_mixture", F.coalesce("is_mixture", F.lit(False))).select(*px.columns, "is_mixture")
 
 
 def palette_array(colors: DataFrame, order: str = "ord") -> DataFrame:

@@ -154,8 +154,8 @@ def _mix_sql() -> str:
 @query("mixture_of", f"SELECT image_id, x, y, ({_mix_sql()}) AS is_mixture FROM px")
 def _(t: Tables):
     anchors = F.array(*[F.struct(*[F.lit(float(v)).alias(c) for c, v in zip("rgb", p)]) for p in k.PALETTE[:4]])
-    d = t("px").select("image_id", "x", "y", F.struct(*[F.col(c).cast("double").alias(c) for c in "rgb"]).alias("c"), anchors.alias("anchors"))
-    return d.select("image_id", "x", "y", px.mixture_of(26.0).alias("is_mixture"))
+    pix = t("px")
+    return px.mixture_of(pix, pix.select("image_id").distinct().withColumn("anchors", anchors), 26.0).select("image_id", "x", "y", "is_mixture")
 
 
 @query("nearest_center", f"SELECT image_id, x, y, CAST({k.nearest('r','g','b')[0]} AS INT) AS center, round(CAST({k.nearest('r','g','b')[1]} AS DOUBLE),6) AS center_d2 FROM px")

@@ -123,6 +123,35 @@ def test_boundary_offsets_of_a_far_cluster(spark):
     assert r["hausdorff_max"] == pytest.approx(math.hypot(9000, 7000)) and time.time() - start < 60
 
 
+def test_mixtures_as_every_pair_and_triple_says(spark):
+    rnd = np.random.default_rng(8)
+    images = {1: rnd.integers(0, 256, (6, 3)), 2: np.array([[0, 0, 0], [255, 255, 255]]), 3: np.array([[9, 9, 9]]), 4: np.array([[1, 2, 3], [1, 2, 3], [200, 10, 10], [90, 90, 90]])}
+    colors = rnd.integers(0, 256, (700, 3))
+    rows = [(k, i % 40, i // 40, *map(int, c)) for k in (1, 2, 3, 4, 5) for i, c in enumerate(colors)]
+    df = spark.createDataFrame(rows, "image_id long, x int, y int, r int, g int, b int")
+    anchors = spark.createDataFrame([(k, [tuple(map(float, c)) for c in v]) for k, v in images.items()], "image_id long, anchors array<struct<r double, g double, b double>>")
+
+    def plain(c, points, tol=26.0):
+        for i, a in enumerate(points):
+            for j in range(i + 1, len(points)):
+                u, w = points[j] - a, c - a
+                if u @ u >= 1e-9 and 0.04 <= w @ u / (u @ u) <= 0.96 and np.linalg.norm(w - w @ u / (u @ u) * u) <= tol:
+                    return True
+                for q in range(j + 1, len(points)):
+                    v = points[q] - a
+                    det = (u @ u) * (v @ v) - (u @ v) ** 2
+                    if det >= 1e-9:
+                        s, t = ((v @ v) * (w @ u) - (u @ v) * (w @ v)) / det, ((u @ u) * (w @ v) - (u @ v) * (w @ u)) / det
+                        if s >= -0.02 and t >= -0.02 and s + t <= 1.02 and np.linalg.norm(w - s * u - t * v) <= tol:
+                            return True
+        return False
+
+    got = px.mixture_of(df, anchors).collect()
+    assert len(got) == len(rows) and {r.is_mixture for r in got} == {True, False}
+    for r in got:
+        assert r.is_mixture == (r.image_id in images and plain(np.array([r.r, r.g, r.b], float), images[r.image_id].astype(float)))
+
+
 def plain_topology(raster, min_area):
     def parts(mask):
         seen, out = np.zeros(mask.shape, dtype=bool), []
