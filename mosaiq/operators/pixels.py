@@ -564,17 +564,12 @@ def fit_linear_gradient(px: DataFrame, region: str, min_px: int = 900, min_gain:
 
 # -- clustering ------------------------------------------------------------------------
 
-def kmeans_palette(px: DataFrame, k: int, rounds: int = 20, shift: float = 1.0) -> DataFrame:
-    """Lloyd iterations for all images at once, started from the k most common colour buckets.
+def lloyd(hist: DataFrame, start: DataFrame, rounds: int = 20, shift: float = 1.0) -> DataFrame:
+    """Lloyd iterations for all images at once: hist(image_id, r, g, b, n) and start(image_id, centers) -> (image_id, centers).
 
-    An image is done when no centre moves by ``shift`` or after ``rounds``; only the
-    others go on. Works on distinct colours with counts, so repeated colours cost one row.
+    An image is done when no centre moves by ``shift`` or after ``rounds``; only the others go on. A centre without
+    colours goes.
     """
-    hist = cut_lineage(px.groupBy(IMG, "r", "g", "b").agg(F.count(F.lit(1)).alias("n")))
-    seeds = dominant_colors(px, 0.0)
-    start = seeds.groupBy(IMG).agg(F.expr(
-        f"transform(slice(array_sort(collect_list(struct(-n AS k, r, g, b))), 1, {k}), s -> struct(double(s.r) AS r, double(s.g) AS g, double(s.b) AS b))"
-    ).alias("centers"))
     live, done = cut_lineage(start), []
     moves = "array_max(zip_with(_old, centers, (a, b) -> sqrt(power(a.r - b.r, 2) + power(a.g - b.g, 2) + power(a.b - b.b, 2))))"
     for _ in range(rounds):
@@ -590,6 +585,39 @@ def kmeans_palette(px: DataFrame, k: int, rounds: int = 20, shift: float = 1.0)
     return reduce(DataFrame.unionByName, done, live)
 
 
+def kmeans_palette(px: DataFrame, k: int, rounds: int = 20, shift: float = 1.0) -> DataFrame:
+    """K-means centres per image, started from the k most common colour buckets.
+
+    Works on distinct colours with counts, so repeated colours cost one row.
+    """
+    hist = cut_lineage(px.groupBy(IMG, "r", "g", "b").agg(F.count(F.lit(1)).alias("n")))
+    seeds = dominant_colors(px, 0.0)
+    start = seeds.groupBy(IMG).agg(F.expr(
+        f"transform(slice(array_sort(collect_list(struct(-n AS k, r, g, b))), 1, {k}), s -> struct(double(s.r) AS r, double(s.g) AS g, double(s.b) AS b))"
+    ).alias("centers"))
+    return lloyd(hist, start, rounds, shift)
+
+
+def spread_seeds(hist: DataFrame, wanted: DataFrame, most: int, seed: str) -> DataFrame:
+    """Starting centres by seeded squared-distance sampling: (image_id, centers), up to ``k`` of wanted(image_id, k).
+
+    The first colour is drawn by its count, each further one by its count times the squared distance to the
+    nearest one drawn. A draw takes the smallest exponential waiting time, -ln(u) / weight, with u fixed by seed, draw, image and
+    colour: one aggregate for all images, no colours in an array, the same in every run.
+    """
+    chosen = wanted.select(IMG, "k", F.expr("array()").cast("array<struct<r:double,g:double,b:double>>").alias("centers"))
+    color = F.struct(*[F.col(c).cast("double").alias(c) for c in "rgb"])
+    for draw in range(most):
+        d2 = F.coalesce(F.array_min(F.transform("centers", lambda c: F.pow(c["r"] - F.col("r"), 2) + F.pow(c["g"] - F.col("g"), 2) + F.pow(c["b"] - F.col("b"), 2))), F.lit(1.0))
+        text = F.concat_ws(":", F.lit(seed), F.lit(str(draw)), F.col(IMG).cast("string"), *[F.col(c).cast("int").cast("string") for c in "rgb"])
+        u = (F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
+        asked = st.with_known(hist, chosen.where(F.size("centers") < F.col("k")), [IMG]).withColumn("_w", F.col("n") * d2).where("_w > 0")
+        drawn = asked.groupBy(IMG).agg(F.min_by(color, F.struct(-F.log(u) / F.col("_w"), "r", "g", "b")).alias("_new"))
+        both = chosen.join(drawn, IMG, "left")
+        chosen = cut_lineage(both.select(IMG, "k", F.when(F.col("_new").isNull(), F.col("centers")).otherwise(F.concat("centers", F.array("_new"))).alias("centers")))
+    return chosen.where(F.size("centers") > 0).select(IMG, "centers")
+
+
 def recenter_by_median(labels: DataFrame, label: str = "label") -> DataFrame:
     return labels.groupBy(IMG, label).agg(*[F.median(c).alias(f"m{c}") for c in "rgb"], F.count(F.lit(1)).alias("n"))
 

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from mosaiq.functions import color as cl
 from mosaiq.functions.columns import codes, keep_rows
 from mosaiq.operators import stencil as st
-from mosaiq.operators.pixels import nearest_center
+from mosaiq.operators.pixels import lloyd, nearest_center, spread_seeds
 from mosaiq.session import cut_lineage
 
 IMG = "image_id"
@@ -849,30 +849,33 @@ def validate_half_edges(half_edges: DataFrame, faces: DataFrame, cycles: DataFra
     return rows.unionByName(bare).unionByName(pinch).unionByName(inf)
 
 
-def augment_centers(px: DataFrame, centers: DataFrame, max_extra: int = 10, min_component: int = 400, de: float = 18.0, rounds: int = 3) -> DataFrame:
+def augment_centers(px: DataFrame, centers: DataFrame, max_extra: int = 10, min_component: int = 400, de: float = 18.0, rounds: int = 3, a_round: int = 4, seed: str = "augment") -> DataFrame:
     """Add centres where pixels lie far from all centres in large or structured areas.
 
-    ``px`` has lab8 columns l8, a8, b8 and ``energy``; ``centers`` hold (r, g, b)
-    = (l8, a8, b8).  Each round adds the most common far colours (at most four).
+    ``px`` has lab8 columns l8, a8, b8 and ``energy``; ``centers`` hold (r, g, b) = (l8, a8, b8). Each round clusters the far
+    colours that are left, with their counts: up to ``a_round`` new centres by k-means from seeded squared-distance
+    sampling. An image stops when fewer than .1 % of its pixels are far or ``max_extra`` centres were added.
     """
     source = "named_struct('r', l8, 'g', a8, 'b', b8)"
-    start = centers.select(IMG, F.size("centers").alias("_k0"))
-    for _ in range(rounds):
-        far = nearest_center(px, centers, source).where(F.col("center_d2") > de * de)
+    total = cut_lineage(px.groupBy(IMG).agg(F.count(F.lit(1)).alias("_t")))
+    known = centers.select(IMG, "centers", F.size("centers").alias("_k0"))
+    for turn in range(rounds):
+        open_ = known.where(F.size("centers") - F.col("_k0") < max_extra)
+        far = nearest_center(px, open_.select(IMG, "centers"), source).where(F.col("center_d2") > de * de)
         lab = components(far.withColumn("label", F.lit(1)), "label", 8)
         big = lab.groupBy(IMG, "region").agg(F.count(F.lit(1)).alias("_n"))
         flat = (F.hypot(F.col("a8") - 128.0, F.col("b8") - 128.0) <= 12.0) & (F.col("energy") <= 1.0)
         keep = lab.join(big, [IMG, "region"]).where((F.col("_n") >= min_component) | ~flat)
-        total = px.groupBy(IMG).agg(F.count(F.lit(1)).alias("_t"))
-        bins = keep.groupBy(IMG, *[F.floor(F.col(c) / 16).alias(f"_{c}") for c in ("l8", "a8", "b8")]).agg(
-            F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(c) for c in ("l8", "a8", "b8")]
-        )
-        share = keep.groupBy(IMG).agg(F.count(F.lit(1)).alias("_f")).join(total, IMG).where(F.col("_f") / F.col("_t") >= 0.001).select(IMG)
-        order = Window.partitionBy(IMG).orderBy(F.col("n").desc(), "l8", "a8", "b8")
-        best = bins.join(share, IMG, "left_semi").withColumn("_r", F.row_number().over(order)).where("_r <= 4")
-        new = best.groupBy(IMG).agg(F.array_sort(F.collect_list(F.struct("_r", F.col("l8").alias("r"), F.col("a8").alias("g"), F.col("b8").alias("b")))).alias("_new"))
-        room = F.greatest(F.lit(0), F.lit(max_extra) - (F.size("centers") - F.col("_k0")))
-        added = F.expr("transform(_new, s -> struct(s.r AS r, s.g AS g, s.b AS b))")
-        j = centers.join(start, IMG).join(new, IMG, "left")
-        centers = cut_lineage(j.select(IMG, F.when(F.col("_new").isNull(), F.col("centers")).otherwise(F.concat("centers", F.slice(added, F.lit(1), room))).alias("centers")))
-    return centers
+        hist = cut_lineage(keep.groupBy(IMG, F.col("l8").alias("r"), F.col("a8").alias("g"), F.col("b8").alias("b")).agg(F.count(F.lit(1)).alias("n")))
+        kinds = F.count_distinct(*[F.floor(c) for c in "rgb"])
+        left = hist.groupBy(IMG).agg(F.sum("n").alias("_f"), kinds.alias("_c")).join(total, IMG).where(F.col("_f") / F.col("_t") >= 0.001).join(open_, IMG)
+        k = F.least(F.lit(a_round), F.lit(max_extra) - (F.size("centers") - F.col("_k0")), F.col("_c")).cast("int")
+        wanted = cut_lineage(left.select(IMG, k.alias("k")))
+        if wanted.isEmpty():
+            break
+        new = lloyd(hist.join(wanted.select(IMG), IMG, "left_semi"), spread_seeds(hist, wanted, a_round, f"{seed}{turn}"))
+        inside = lambda v: F.greatest(F.lit(0.0), F.least(F.lit(255.0), v))
+        new = new.select(IMG, F.transform("centers", lambda c: F.struct(*[inside(c[x]).alias(x) for x in "rgb"])).alias("_new"))
+        j = known.join(new, IMG, "left")
+        known = cut_lineage(j.select(IMG, F.when(F.col("_new").isNull(), F.col("centers")).otherwise(F.concat("centers", "_new")).alias("centers"), "_k0"))
+    return known.select(IMG, "centers")

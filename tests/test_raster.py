@@ -1,5 +1,6 @@
 """Rasters taller than one band against plain array code, and hand cases for palettes."""
 
+import hashlib
 import math
 import random
 import time
@@ -152,6 +153,70 @@ def test_mixtures_as_every_pair_and_triple_says(spark):
         assert r.is_mixture == (r.image_id in images and plain(np.array([r.r, r.g, r.b], float), images[r.image_id].astype(float)))
 
 
+def plain_augment(raster, energy, centers, image, max_extra, min_component, de=18.0):
+    """One image, one colour after the other: the same draws, k-means and rules as plain loops."""
+    h, w, _ = raster.shape
+    k0, centers = len(centers), [np.array(c, float) for c in centers]
+    for turn in range(3):
+        if len(centers) - k0 >= max_extra:
+            break
+        far = np.min([((raster - c) ** 2).sum(axis=2) for c in centers], axis=0) > de * de
+        flat = (np.hypot(raster[:, :, 1] - 128.0, raster[:, :, 2] - 128.0) <= 12) & (energy <= 1)
+        seen, keep = np.zeros((h, w), dtype=bool), np.zeros((h, w), dtype=bool)
+        for start in zip(*np.nonzero(far)):
+            if seen[start]:
+                continue
+            seen[start], todo, cells = True, [start], []
+            while todo:
+                i, j = todo.pop()
+                cells.append((i, j))
+                for p in ((i + a, j + b) for a in (-1, 0, 1) for b in (-1, 0, 1)):
+                    if 0 <= p[0] < h and 0 <= p[1] < w and far[p] and not seen[p]:
+                        seen[p] = True
+                        todo.append(p)
+            for c in cells:
+                keep[c] = len(cells) >= min_component or not flat[c]
+        colors, n = np.unique(raster[keep].reshape(-1, 3), axis=0, return_counts=True)
+        k = min(4, max_extra - (len(centers) - k0), len(colors))
+        if keep.mean() < 0.001 or k < 1:
+            break
+        new = []
+        for draw in range(k):
+            weight = n * (np.min([((colors - c) ** 2).sum(axis=1) for c in new], axis=0) if new else 1.0)
+            u = [(int(hashlib.md5(f"augment{turn}:{draw}:{image}:{':'.join(map(str, c))}".encode()).hexdigest()[:12], 16) + 0.5) / (1 << 48) for c in colors.tolist()]
+            best = min((-math.log(x) / y, tuple(c)) for x, y, c in zip(u, weight, colors.tolist()) if y > 0)
+            new.append(np.array(best[1], float))
+        for _ in range(20):
+            near = np.argmin([((colors - c) ** 2).sum(axis=1) for c in new], axis=0)
+            moved = [(colors[near == i] * n[near == i, None]).sum(axis=0) / n[near == i].sum() for i in range(len(new)) if (near == i).any()]
+            still = len(moved) == len(new) and max(np.linalg.norm(a - b) for a, b in zip(moved, new)) < 1.0
+            new = moved
+            if still:
+                break
+        centers += new
+    return centers
+
+
+def test_augmented_centers_as_plain_loops(spark):
+    rnd = np.random.default_rng(21)
+    rows, want, start = [], {}, {1: [(40, 128, 128)], 2: [(40, 128, 128), (200, 128, 128)], 3: [(100, 120, 140)]}
+    for image, first in start.items():
+        raster = np.full((24, 30, 3), first[0])
+        raster[2:12, 3:14] = (180, 160, 100)
+        raster[14:20, 2:20] = (90, 128, 129) if image != 3 else (220, 90, 200)
+        raster[5:9, 20:28] = rnd.integers(0, 256, (4, 8, 3))
+        raster[rnd.random((24, 30)) < 0.03] = (120, 127, 128)  # scattered grey in flat parts stays out
+        energy = np.where(rnd.random((24, 30)) < 0.2, 5.0, 0.5)
+        want[image] = plain_augment(raster, energy, first, image, 6, 40)
+        rows += [(image, x, y, *map(int, raster[y, x]), float(energy[y, x])) for y in range(24) for x in range(30)]
+    df = spark.createDataFrame(rows, "image_id long, x int, y int, l8 int, a8 int, b8 int, energy double")
+    first = spark.createDataFrame([(k, [tuple(map(float, c)) for c in v]) for k, v in start.items()], "image_id long, centers array<struct<r double, g double, b double>>")
+    got = {r.image_id: [(c.r, c.g, c.b) for c in r.centers] for r in rg.augment_centers(df, first, max_extra=6, min_component=40).collect()}
+    assert all(len(want[k]) > len(start[k]) for k in want) and set(got) == set(want)
+    for image in want:
+        assert np.allclose(got[image], want[image])
+
+
 def plain_topology(raster, min_area):
     def parts(mask):
         seen, out = np.zeros(mask.shape, dtype=bool), []
