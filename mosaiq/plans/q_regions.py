@@ -227,7 +227,11 @@ def _(t: Tables):
     from mosaiq.plans.q_pixels import palette
 
     r = px.nearest_center(p, palette(t, "px_pair"), "named_struct('r', rr, 'g', rg, 'b', rb)", "cls")
-    return rg.topology_delta(rg.topology_signature(p, "label", 4), rg.topology_signature(r, "cls", 4))
+    # both sides of all images in one pass over region graphs
+    side = lambda df, c, k: df.select((F.col("image_id") * 2 + k).alias("image_id"), "x", "y", F.col(c).alias("label"))
+    both = cut_lineage(rg.topology_signature(side(p, "label", 0).unionByName(side(r, "cls", 1)), "label", 4))
+    of = lambda k: both.where(F.col("image_id") % 2 == k).withColumn("image_id", F.floor(F.col("image_id") / 2))
+    return rg.topology_delta(of(0), of(1))
 
 
 _INK2 = "mo AS (SELECT image_id, x, y, 1 AS label FROM px_pair WHERE GREATEST(255-r,255-g,255-b)>60), mr AS (SELECT image_id, x, y, 1 AS label FROM px_pair WHERE GREATEST(255-rr,255-rg,255-rb)>60)"
