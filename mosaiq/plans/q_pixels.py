@@ -9,6 +9,7 @@ from mosaiq.functions.columns import finite, is_digest, keep_rows, rounded
 from mosaiq.functions.text import markup_structure, redact, sensitive_scan
 from mosaiq.operators import pixels as px, regions as rg, routing as rt, stencil as st
 from mosaiq.plans import sqlkit as k
+from mosaiq.session import cut_lineage
 from mosaiq.plans.registry import Tables, query
 
 BYTE = "CAST(LEAST(255,GREATEST(0,round_even({},0))) AS INT)"
@@ -565,13 +566,14 @@ def _(t: Tables):
     p = t("px").withColumn("v", cl.gray())
     dom = px.dominant_colors(p)
     n = dom.groupBy("image_id").agg(F.count(F.lit(1)).cast("int").alias("estimated_color_count"))
+    edges = cut_lineage(rg.edge_density(p, "v"))
+    smooth = px.gradient_like(p, edges).select("image_id", F.col("gradient_like").alias("has_gradient"))
     f = (
-        n.withColumn("flat_color_count", F.col("estimated_color_count")).join(rg.edge_density(p, "v"), "image_id").join(st.blur_score(p, "v"), "image_id")
+        n.withColumn("flat_color_count", F.col("estimated_color_count")).join(edges, "image_id").join(smooth, "image_id").join(st.blur_score(p, "v"), "image_id")
         .join(px.palette_stats(dom), "image_id").join(px.foreground_stats(p).withColumnRenamed("chromatic_color_count", "foreground_color_count"), "image_id")
         .join(px.background(p).select("image_id", "is_uniform_background"), "image_id").join(px.transparency_flags(p).withColumnRenamed("alpha_foreground", "has_alpha_foreground"), "image_id")
-        .join(st.thin_ink_ratio(p.withColumn("i", px.ink(tol=40)), "i"), "image_id").join(st.image_size(p).select("image_id", F.least("_w", "_h").alias("min_side")), "image_id")
-        .withColumn("has_gradient", F.lit(False)).withColumn("straight_edge_likelihood", F.lit(0.0)).withColumn("corner_likelihood", F.lit(0.0)).withColumn("semantic_edge_density", F.lit(None).cast("double"))
-        .withColumn("width", F.col("min_side")).withColumn("height", F.col("min_side"))
+        .join(st.thin_ink_ratio(p.withColumn("i", px.ink(tol=40)), "i"), "image_id").join(st.image_size(p).select("image_id", F.col("_w").alias("width"), F.col("_h").alias("height"), F.least("_w", "_h").alias("min_side")), "image_id")
+        .withColumn("straight_edge_likelihood", F.lit(0.0)).withColumn("corner_likelihood", F.lit(0.0)).withColumn("semantic_edge_density", F.lit(None).cast("double"))
     )
     f = rt.image_quality_score(f).withColumnRenamed("image_quality", "quality_score")
     return rt.route_mode(f).select("image_id", "recommended_mode", "warnings")
