@@ -317,12 +317,20 @@ def _(t: Tables):
     return rg.euler_check(rp, ck, v, rg.boundary_chains(ck, v))
 
 
-@query("validate_half_edges", """WITH c AS (SELECT path_id, seq FROM curve) SELECT path_id AS graph_id, CONCAT('h', seq) AS subject, 'twin_missing' AS code FROM c WHERE path_id%11=0 AND seq=5 UNION ALL SELECT path_id, CONCAT('t', seq), 'twin_missing' FROM c WHERE FALSE
+_STEEP, _FAR = 30, 20
+"""Rises of an outline at which a twin gets a wrong origin, and heights beyond which a vertex gets no finite place."""
+
+
+@query("validate_half_edges", f"""WITH c AS (SELECT path_id, seq, y, ABS(COALESCE(LEAD(y) OVER w, FIRST_VALUE(y) OVER w)-y)>{_STEEP} AS steep FROM curve WINDOW w AS (PARTITION BY path_id ORDER BY seq)) SELECT path_id AS graph_id, CONCAT('h', seq) AS subject, 'twin_missing' AS code FROM c WHERE path_id%11=0 AND seq=5 UNION ALL SELECT path_id, CONCAT('t', seq), 'twin_missing' FROM c WHERE FALSE
 UNION ALL SELECT path_id, CONCAT('h', seq), 'twin_same_direction' FROM c WHERE path_id%13=0 AND seq=7 AND path_id%11<>0 UNION ALL SELECT path_id, CONCAT('t', seq), 'twin_same_direction' FROM c WHERE path_id%13=0 AND seq=7 AND path_id%11<>0
 UNION ALL SELECT path_id, CONCAT('h', seq), 'next_previous_mismatch' FROM c WHERE path_id%17=0 AND seq=9 UNION ALL SELECT path_id, CONCAT('h', seq+1), 'previous_next_mismatch' FROM c WHERE path_id%17=0 AND seq=9
-UNION ALL SELECT path_id, 'f', 'outer_cycle_missing' FROM c WHERE path_id%19=0 AND seq=0""")
+UNION ALL SELECT path_id, 'f', 'outer_cycle_missing' FROM c WHERE path_id%19=0 AND seq=0
+UNION ALL SELECT path_id, CONCAT('h', seq), 'twin_endpoints_not_swapped' FROM c WHERE steep AND NOT (path_id%11=0 AND seq=5) UNION ALL SELECT path_id, CONCAT('t', seq), 'twin_endpoints_not_swapped' FROM c WHERE steep
+UNION ALL SELECT path_id, CONCAT('v', seq), 'nonfinite_coordinate' FROM c WHERE ABS(y)>{_FAR}""")
 def _(t: Tables):
-    c = t("curve").select(F.col("path_id").alias("graph_id"), "seq")
+    # outlines as rings of half-edges with their own coordinates; some of the rules are broken on purpose
+    ring = pt.with_neighbours(t("curve").withColumn("closed", F.lit(True)))
+    c = cut_lineage(ring.select(F.col("path_id").alias("graph_id"), "seq", "x", "y", (F.abs(F.col("ny") - F.col("y")) > _STEEP).alias("steep")))
     nxt = F.pmod(F.col("seq") + 1, F.lit(64))
     prv = F.pmod(F.col("seq") + 63, F.lit(64))
     name = lambda p, s: F.concat(F.lit(p), s.cast("string"))
@@ -333,12 +341,12 @@ def _(t: Tables):
         name("v", s).alias("origin"), name("v", nxt).alias("dest"), F.when(F.expr("graph_id%17=0 AND seq=9"), F.lit("h0")).otherwise(name("h", nxt)).alias("next_id"), name("h", prv).alias("prev_id"),
     )
     w = c.select(
-        "graph_id", name("t", s).alias("id"), name("h", s).alias("twin_id"), s.alias("curve_id"), (~bad_dir).alias("reversed"), name("v", nxt).alias("origin"), name("v", s).alias("dest"), name("t", prv).alias("next_id"), name("t", nxt).alias("prev_id"),
+        "graph_id", name("t", s).alias("id"), name("h", s).alias("twin_id"), s.alias("curve_id"), (~bad_dir).alias("reversed"), F.when(F.col("steep"), name("v", s)).otherwise(name("v", nxt)).alias("origin"), name("v", s).alias("dest"), name("t", prv).alias("next_id"), name("t", nxt).alias("prev_id"),
     )
     g = c.where("seq = 0")
     faces = g.select("graph_id", F.lit("f").alias("id"), F.lit(True).alias("visible"), F.lit(False).alias("is_exterior"), F.when(F.expr("graph_id%19<>0"), F.lit("c")).alias("outer_cycle_id"))
     cycles = g.select("graph_id", F.lit("c").alias("id"), F.lit("f").alias("face_id"), F.lit(True).alias("is_outer"), F.lit(False).alias("is_inner_of_face"))
-    verts = c.select("graph_id", name("v", s).alias("id"), s.cast("double").alias("x"), s.cast("double").alias("y"))
+    verts = c.select("graph_id", name("v", s).alias("id"), "x", F.when(F.abs("y") > _FAR, F.lit(float("inf"))).otherwise(F.col("y")).alias("y"))
     return rg.validate_half_edges(h.unionByName(w), faces, cycles, verts)
 
 
