@@ -107,22 +107,11 @@ class Automaton:
         return found + (state != 0)
 
 
-_BUILT: dict[bytes, Automaton] = {}
-
-
-def _automaton(sample: bytes) -> Automaton:
-    if sample not in _BUILT:
-        if len(_BUILT) >= 64:
-            _BUILT.clear()
-        _BUILT[sample] = Automaton(sample)
-    return _BUILT[sample]
-
-
-def score_texts(column: pa.Array, models: dict[str, bytes]) -> tuple[list[str], np.ndarray, np.ndarray]:
+def score_texts(column: pa.Array, models: dict[str, Automaton]) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Language, confidence and bits per byte of each text (the caller knows which have letters)."""
     data, at = text_buffers(column)
     names = sorted(models)
-    tools = [_automaton(models[k]) for k in names]
+    tools = [models[k] for k in names]
     best = np.zeros(len(at) - 1, dtype=np.int64)
     sure, rate = np.zeros(len(at) - 1), np.zeros(len(at) - 1)
     for first, last in blocks(at):
@@ -185,16 +174,23 @@ def identify(docs: DataFrame, models: dict[str, bytes]) -> DataFrame:
     names = ("lang_pred", "score", "bits_per_byte")
     kept = docs.drop(*[c for c in docs.columns if c.lower() in names])
     # letters are looked for on the JVM
-    sent = kept.withColumn("_lettered", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+    lettered = "_lettered"
+    while lettered in map(str.lower, kept.columns):
+        lettered += "_"
+    sent = kept.withColumn(lettered, F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
     place = [c.lower() for c in kept.columns].index("text")
     schema = T.StructType([*kept.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("bits_per_byte", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # built once a task and gone with it: Spark keeps the worker for other stages
+        tools: dict[str, Automaton] = {}
         for batch in batches:
-            k = batch.schema.get_field_index("_lettered")
+            if not tools:
+                tools = {name: Automaton(sample) for name, sample in models.items()}
+            k = batch.schema.get_field_index(lettered)
             column = batch.column(place)
             has = np.asarray(batch.column(k).fill_null(False)).astype(bool) & bool(models)
-            pred, sure, rate = score_texts(column, models) if models else ([UNKNOWN] * len(column), np.zeros(len(column)), np.zeros(len(column)))
+            pred, sure, rate = score_texts(column, tools) if tools else ([UNKNOWN] * len(column), np.zeros(len(column)), np.zeros(len(column)))
             pred = [p if h else UNKNOWN for p, h in zip(pred, has)]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:k], *batch.columns[k + 1:], pa.array(pred, pa.string()), pa.array(np.where(has, sure, 0.0)), pa.array(np.where(has, rate, 0.0))],

@@ -154,13 +154,14 @@ def test_phrases(frame, monkeypatch, words_a_table, phrases_a_trie):
     df = frame([(1, text, lang) for lang, text in rows], word=1, phrase=2, n=3, key=4, w=5)
     got = sorted(tuple(r) for r in phrases.mine_phrases(df, least=8).collect())
     assert got == plain_phrases(rows, 8) and len(got) > 50
-    few = sorted(tuple(r) for r in phrases.mine_phrases(df, least=8, top=3).collect())
-    assert few == plain_phrases(rows, 8, top=3)
 
 
 def test_phrases_of_odd_documents(odd):
+    small = odd.where("length(text) < 1000")
+    few = sorted(tuple(r) for r in phrases.mine_phrases(small, least=2, top=3).collect())
+    assert few == plain_phrases([(r.lang, r.text) for r in small.collect()], 2, top=3) and few
     rows = [(r.lang, r.text) for r in odd.collect()]
-    assert sorted(tuple(r) for r in phrases.mine_phrases(odd, least=2, longest=2).limit(100_000).where("lang <> 'en'").collect()) == [
+    assert sorted(tuple(r) for r in phrases.mine_phrases(odd.where("lang <> 'en' or lang is null"), least=2, longest=2).collect()) == [
         x for x in plain_phrases([r for r in rows if r[0] != "en"], 2, longest=2)]
     for df in (odd.limit(0), odd.where("text is null"), odd.where("doc_id = 3")):
         assert phrases.mine_phrases(df).count() == 0

@@ -101,6 +101,8 @@ def test_language_of_odd_documents(odd):
     assert pred[1] == pred[2] == pred[3] == "und"
     assert all(0 <= r.score <= 1 for r in found.collect())
     assert language.identify(odd.limit(0), {}).count() == 0
+    kept = language.identify(odd.selectExpr("*", "7 as _lettered"), language.fit(odd))
+    assert {r._lettered for r in kept.collect()} == {7} and kept.columns[-3:] == ["lang_pred", "score", "bits_per_byte"]
     assert {r.lang_pred for r in language.identify(odd, language.fit(odd.limit(0))).collect()} == {"und"}
 
 
