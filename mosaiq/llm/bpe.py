@@ -144,10 +144,10 @@ def _heap_merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
-def _blocks(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, pa.Array]]:
-    """Ids and texts, BLOCK_BYTES of text at a time: a block's distinct words are held at once."""
+def _blocks(batch: pa.RecordBatch, block_bytes: int) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """Ids and texts, ``block_bytes`` of text at a time: a block's distinct words are held at once."""
     _, at = text_buffers(batch.column(1))
-    for first, last in blocks(at, BLOCK_BYTES):
+    for first, last in blocks(at, block_bytes):
         yield batch.column(0).slice(first, last - first), batch.column(1).slice(first, last - first)
 
 
@@ -175,12 +175,13 @@ def pieces_of(rank_file: str) -> list[bytes]:
     return out
 
 
-def encode(docs: DataFrame, rank_file: str, pattern: str, summary: tuple[str, Callable[[list[list[int]]], list[pa.Array]]] | None = None, known_words: int = KNOWN_WORDS) -> DataFrame:
+def encode(docs: DataFrame, rank_file: str, pattern: str, summary: tuple[str, Callable[[list[list[int]]], list[pa.Array]]] | None = None, known_words: int = KNOWN_WORDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs(doc_id, text) -> doc_id, ids (array of int), for whole texts, without special tokens.
 
     ``summary`` (columns as DDL, a function from id sequences to these columns) returns
     what it makes of the ids in their place, in the task that has them. ``known_words``
-    bounds the memory of a task: beyond so many distinct words it starts to number anew.
+    and ``block_bytes`` bound the memory of a task: beyond so many distinct words it starts to number anew, and
+    so many bytes of text are numbered at once.
 
     Each match of ``pattern`` is encoded by itself. Null text counts as empty: no ids.
     Rows pass one by one: repeated rows, null ids and empty tables need no rule. Other
@@ -200,7 +201,7 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, summary: tuple[str, Ca
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = regex.compile(pattern).findall
         numbers = _Numbers()
-        for names, texts in (x for batch in batches for x in _blocks(batch)):
+        for names, texts in (x for batch in batches for x in _blocks(batch, block_bytes)):
             # words of earlier blocks of the task are not folded again
             if len(numbers) > known_words:
                 numbers.clear()
